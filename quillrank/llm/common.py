@@ -58,7 +58,7 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], st
     names = df.columns
     out = T.StructType(list(df.schema.fields))
     for name, kind in fields:
-        out.add(fresh(out.fieldNames(), name), kind)
+        out.add(fresh(out.fieldNames(), name), T.DataType.fromDDL(kind))
     at = [names.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
