@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "sentencepiece_codec")
+MODULES = ("suffix_dedup", "decontaminate", "sentencepiece_codec")
 
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
