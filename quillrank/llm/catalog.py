@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "decontaminate", "toxicity", "sentencepiece_codec", "minhash_join", "topk_search", "language")
+MODULES = ("suffix_dedup", "decontaminate", "toxicity", "sentencepiece_codec", "minhash_join", "topk_search", "chat_format", "language")
 
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
