@@ -26,6 +26,8 @@ from quillrank.llm.common import chunks, mix, shingles, table, utf8, words, writ
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Classes of one component that are compared with each other in one go.
 BLOCK = 512
+#: Bits of the broadcast filter: at most 2^19 rows of two longs, however many documents there are.
+FILTER_BITS = 1 << 25
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -108,6 +110,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def likely(rows: DataFrame, col: str, members: DataFrame, key: str) -> DataFrame:
+    """rows whose `col` may be among the members' keys: a bit table of fixed size, broadcast, keeps most other rows from being shuffled."""
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
+    table = members.select(bit(key).alias("p")).groupBy(F.shiftright("p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_b"))
+    kept = rows.withColumn("_p", bit(col)).join(F.broadcast(table), F.shiftright("_p", 6) == F.col("_w"))
+    return kept.filter(F.expr("(shiftrightunsigned(_b, cast(_p & 63 as int)) & 1) = 1")).drop("_p", "_w", "_b")
+
+
 def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
     """For each block pair in a bin: links of each class, weighted by the other class's documents, and its smallest linked class."""
     flat, offs = utf8(rows.column("text"))
@@ -177,9 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = found.groupBy("comp").agg(F.count("*").alias("m"))
     blocks = found.join(size, "comp").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("k")))
     members = written(blocks.join(classes.select("rep", "k1", "k2", "n"), "rep").select("comp", "rep", "k1", "k2", "n", "k", "blk"))
-    bins = max(64, members.count() // 1000)
+    bins = max(256, members.count() // 256)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = texts.join(members, "rep").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    held = likely(texts, "rep", members, "rep").join(members, "rep").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     held = held.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).withColumn("bin", F.pmod(F.when(F.col("k") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", "i", "j")), F.lit(bins)))
     pairs = written(held.select("bin", "comp", "i", "j", "blk", "rep", "k1", "k2", "n", "text").groupBy("bin").applyInArrow(lambda t: link_blocks(t, similarity), "rep long, links long, link long"))
     groups = components(pairs.filter("rep <> link").select(F.col("rep").alias("a"), F.col("link").alias("b")))
