@@ -110,12 +110,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def likely(rows: DataFrame, col: str, members: DataFrame, key: str) -> DataFrame:
-    """rows whose `col` may be among the members' keys: a bit table of fixed size, broadcast, keeps most other rows from being shuffled."""
+def marked(rows: DataFrame, col: str, members: DataFrame, key: str) -> DataFrame:
+    """rows with _likely: whether `col` may be among the members' keys, by a broadcast bit table of fixed size. It keeps most rows from being shuffled for a join with the members."""
     bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
     table = members.select(bit(key).alias("p")).groupBy(F.shiftright("p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_b"))
-    kept = rows.withColumn("_p", bit(col)).join(F.broadcast(table), F.shiftright("_p", 6) == F.col("_w"))
-    return kept.filter(F.expr("(shiftrightunsigned(_b, cast(_p & 63 as int)) & 1) = 1")).drop("_p", "_w", "_b")
+    kept = rows.withColumn("_p", bit(col)).join(F.broadcast(table), F.shiftright("_p", 6) == F.col("_w"), "left")
+    return kept.withColumn("_likely", F.expr("coalesce((shiftrightunsigned(_b, cast(_p & 63 as int)) & 1) = 1, false)")).drop("_p", "_w", "_b")
 
 
 def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(blocks.join(classes.select("rep", "k1", "k2", "n"), "rep").select("comp", "rep", "k1", "k2", "n", "k", "blk"))
     bins = max(256, members.count() // 256)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = likely(texts, "rep", members, "rep").join(members, "rep").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    held = marked(texts, "rep", members, "rep").filter("_likely").join(members, "rep").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     held = held.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).withColumn("bin", F.pmod(F.when(F.col("k") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", "i", "j")), F.lit(bins)))
     pairs = written(held.select("bin", "comp", "i", "j", "blk", "rep", "k1", "k2", "n", "text").groupBy("bin").applyInArrow(lambda t: link_blocks(t, similarity), "rep long, links long, link long"))
     groups = components(pairs.filter("rep <> link").select(F.col("rep").alias("a"), F.col("link").alias("b")))
@@ -202,8 +202,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, the one of the smallest id, of each group of near-duplicates; same columns."""
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = written(near_duplicates(docs, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
+    split = marked(docs, id_col, gone, "_gone")
+    doubtful = split.filter("_likely").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return split.filter("not _likely").unionByName(doubtful).select(*docs.columns)
 
 
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     combination = F.concat_ws("", *[f"y{k}" for k in range(len(chain))])
     few = bounded(full, "id", combination, sample)
     ys = [f"y{k}" for k in range(len(chain))]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few.select("id", *ys), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few.select("id", *ys)), "id")  # at most about `sample` rows a combination
 
     def features(batches):
         for batch in batches:
