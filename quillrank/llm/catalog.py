@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "decontaminate", "toxicity", "sentencepiece_codec", "minhash_join", "topk_search", "chat_format", "training_order", "language")
+MODULES = ("kneser_ney", "suffix_dedup", "decontaminate", "toxicity", "sentencepiece_codec", "minhash_join", "topk_search", "chat_format", "training_order", "language")
 
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
