@@ -18,7 +18,13 @@ from pyspark.sql import types as T
 CHUNK = 1 << 20
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the Arrow batches of the session: rows hold whole texts, and a worker holds several batches' worth."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

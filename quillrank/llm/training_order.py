@@ -22,6 +22,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from quillrank.llm.common import mix, shared_dir, table, utf8, written
 LENGTH, SLOTS, KEY, ROUNDS = 2048, 512, 20240601, 6
 HEADER = 16
 #: Bytes of records that a task collects before it sends them on.
-FLUSH = 48 << 20
+FLUSH = 16 << 20
 NO_ID = -(1 << 63)
 
 
@@ -58,7 +59,8 @@ def byte_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             flat, offs = utf8(batch.column(1))
             ids = flat.astype("<u2") + np.uint16(3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[s:e].tobytes() for s, e in zip(offs[:-1], offs[1:])], pa.binary())], names=["doc_id", "ids"])
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(2 * offs), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids binary")
 
@@ -70,7 +72,7 @@ def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: in
     def number(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = [-(-len(b.as_py() or b"") // (2 * length)) if b.is_valid else 0 for b in batch.column(1)]
+            n = [-(-int(b or 0) // (2 * length)) for b in pc.binary_length(batch.column(1)).to_pylist()]
             begin = at + np.append(0, np.cumsum(n))[:-1].astype(np.int64)
             at += int(sum(n))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), pa.array(begin), pa.array(n, pa.int64()), *batch.columns], names=["part", "begin", "n", "doc_id", "ids"])
@@ -96,16 +98,18 @@ def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: in
             return pa.RecordBatch.from_arrays([pa.array(shard[order[cut[:-1]]]), pa.array([int(e - s) for s, e in zip(cut[:-1], cut[1:])], pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "n", "blob"])
 
         for batch in batches:
-            for part, begin, n, doc, ids in zip(*[c.to_pylist() for c in batch.columns]):
+            for row in range(batch.num_rows):
+                part, begin, n, doc = (batch.column(c)[row].as_py() for c in range(4))
                 if not n:
                     continue
+                ids = batch.column(4)[row].as_buffer()
                 for k in range(0, n, 4096):  # very long texts: some sequences at a time
                     m = min(4096, n - k)
                     rows = np.zeros((m, stride), np.uint8)
                     head = rows[:, :HEADER].view(np.dtype([("doc", "<i8"), ("part", "<u4"), ("used", "<u2"), ("none", "<u2")]))[:, 0]
                     head["doc"] = NO_ID if doc is None else doc
                     head["part"] = np.arange(k, k + m)
-                    body = np.frombuffer(ids[2 * length * k : 2 * length * (k + m)], np.uint8)
+                    body = np.frombuffer(ids, np.uint8)[2 * length * k : 2 * length * (k + m)]
                     head["used"] = np.minimum(len(body) // 2 - np.arange(m) * length, length)
                     room = np.zeros(m * 2 * length, np.uint8)
                     room[: len(body)] = body
@@ -147,8 +151,9 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
 
     def run(batches):
         for batch in batches:
-            for shard, first, n, stride, raw in zip(*[c.to_pylist() for c in batch.columns]):
-                rows = np.frombuffer(raw, np.uint8).reshape(n, stride)
+            for row in range(batch.num_rows):
+                shard, first, n, stride = (batch.column(c)[row].as_py() for c in range(4))
+                rows = np.frombuffer(batch.column(4)[row].as_buffer(), np.uint8).reshape(n, stride)
                 head = rows[:, :HEADER].copy().view(np.dtype([("doc", "<i8"), ("part", "<u4"), ("used", "<u2"), ("none", "<u2")]))[:, 0]
                 take = np.flatnonzero((np.arange(first, first + n) >= start) & (np.arange(first, first + n) < (stop if stop is not None else 1 << 62)))
                 docs = head["doc"][take]
