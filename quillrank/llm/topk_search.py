@@ -2,8 +2,8 @@
 
 Vectors become integers, floor(64 x). Queries and candidates are each indexed in a cover tree:
 a node at a level covers its points within the level's radius, its children's centres are picked
-greedily among them at half the radius, and the first child keeps the parent's centre; a node of
-few points is a leaf. Two trees are searched together: the inner product of any query and any
+greedily among them at a smaller radius, and the first child keeps the parent's centre; a node of
+few points is a leaf, and points that no well-filled child covers are leaves of their own. Two trees are searched together: the inner product of any query and any
 candidate below a pair of nodes is at most q.c + |q| rc + |c| rq + rq rc for centres q, c and
 covering radii rq, rc, and the pair is dropped if that is under the worst kth score held for the
 queries of the query node. Equal bounds stay, so ties go to the smaller id.
@@ -28,7 +28,11 @@ from quillrank.llm.common import table
 
 SCALE, K, EVERY = 64, 20, 20
 #: Points in a leaf; candidates in one tree; queries in one block.
-LEAF, TREE, BLOCK = 48, 8192, 8192
+LEAF, TREE, BLOCK = 128, 8192, 8192
+#: Candidates of the most promising leaves that a query leaf looks at in one go.
+WIDE = 1024
+#: A level's radius over the next one's, and most children of a node: in many dimensions distances are alike, and halving would leave single points.
+BASE, CHILDREN = 1.25, 24
 
 
 class CoverTree:
@@ -42,7 +46,9 @@ class CoverTree:
         if n:
             dist = np.sqrt(np.maximum(((x - x[0]) ** 2).sum(axis=1), 0))
             self._grow(0, n, 0, dist, leaf)
-        self.center_norm = np.array([np.linalg.norm(x[c]) for c in self.center])
+        self.centers = x[self.center] if n else x
+        self.radii, self.norms = np.array(self.radius), np.linalg.norm(self.centers, axis=1)
+        self.inner = np.array([bool(c) for c in self.children])
 
     def _grow(self, s: int, e: int, c: int, dist: np.ndarray, leaf: int) -> int:
         """A node over order[s:e] around point c; dist: of those points to c."""
@@ -54,26 +60,41 @@ class CoverTree:
         self.children.append([])
         if e - s <= leaf or far == 0:
             return node
-        left, near, bound = self.order[s:e].copy(), dist, far / 2
-        at = s
-        while len(left):
-            if at > s:
+        left, near, bound = self.order[s:e].copy(), dist, far / BASE
+        at, first = s, True
+        rest = []
+        while len(left) and len(self.children[node]) + len(rest) < CHILDREN:
+            if not first:
                 c = left[0]
                 near = np.sqrt(np.maximum(((self.x[left] - self.x[c]) ** 2).sum(axis=1), 0))
             mine = near <= bound
-            group = left[mine]
+            group, reach = left[mine], near[mine]
+            left, near = left[~mine], near[~mine]
+            first = False
+            if len(group) < leaf // 8:
+                rest.append(group)
+                continue
             self.order[at : at + len(group)] = group
-            self.children[node].append(self._grow(at, at + len(group), c, near[mine], leaf))
+            self.children[node].append(self._grow(at, at + len(group), c, reach, leaf))
             at += len(group)
-            left, near = left[~mine], near[~mine]
+        # Points that no well-filled child covers: leaves around their nearest common centre, the node's own.
+        rest = np.concatenate([*rest, left]) if rest or len(left) else left
+        if len(rest):
+            own = self.center[node]
+            away = np.sqrt(((self.x[rest] - self.x[own]) ** 2).sum(axis=1))
+            by = np.argsort(away, kind="stable")
+            rest, away = rest[by], away[by]
+            self.order[at:e] = rest
+            for i in range(0, len(rest), leaf):
+                part = away[i : i + leaf]
+                self.children[node].append(len(self.center))
+                self.center.append(own)
+                self.radius.append(float(part.max()))
+                self.run.append((at + i, min(at + i + leaf, e)))
+                self.children.append([])
         return node
 
 
-def better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row: highest score, then smallest id."""
-    return np.lexsort((ids, -scores), axis=1)[:, :k]
-
-
 class Search:
     """Top-k state of a block of queries, fed with batches of candidates."""
 
@@ -86,43 +107,57 @@ class Search:
         t = CoverTree(x)
         if not t.center or not self.tree.center:
             return
-        self._visit(0, t, ids, np.zeros(1, np.int64), *self._bounds(0, t, np.zeros(1, np.int64)))
+        self._visit(0, t, ids, np.zeros(1, np.int64))
 
-    def _bounds(self, q: int, t: CoverTree, nodes: np.ndarray):
-        cq, rq = self.x[self.tree.center[q]], self.tree.radius[q]
-        centers = np.array(t.center)[nodes]
-        r, norm = np.array(t.radius)[nodes], t.center_norm[nodes]
-        return ((t.x[centers] @ cq) + self.tree.center_norm[q] * r + norm * rq + rq * r + 1e-6 * (1 + norm * self.tree.center_norm[q]),)
+    def _bounds(self, q: int, t: CoverTree, nodes: np.ndarray) -> np.ndarray:
+        rq, nq, r, norm = self.tree.radii[q], self.tree.norms[q], t.radii[nodes], t.norms[nodes]
+        return t.centers[nodes] @ self.tree.centers[q] + nq * r + norm * rq + rq * r + 1e-6 * (1 + norm * nq)
 
-    def _visit(self, q: int, t: CoverTree, ids: np.ndarray, nodes: np.ndarray, bounds: np.ndarray) -> None:
+    def _visit(self, q: int, t: CoverTree, ids: np.ndarray, nodes: np.ndarray) -> None:
+        """The queries below q against the candidates below `nodes`; the wider of both sides is opened next."""
         s, e = self.tree.run[q]
         rows = self.tree.order[s:e]
-        keep = bounds >= self.scores[rows, -1].min()
-        nodes, bounds = nodes[keep], bounds[keep]
-        if not len(nodes):
-            return
-        open_nodes = [i for i in nodes if t.children[i]]
-        if self.tree.children[q] and (not open_nodes or self.tree.radius[q] >= max(t.radius[i] for i in open_nodes)):
-            for child in self.tree.children[q]:
-                self._visit(child, t, ids, nodes, *self._bounds(child, t, nodes))
-        elif open_nodes:
-            wider = np.array(sorted({c for i in open_nodes for c in t.children[i]} | {i for i in nodes if not t.children[i]}))
-            self._visit(q, t, ids, wider, *self._bounds(q, t, wider))
-        else:
-            best = np.argsort(-bounds, kind="stable")
-            for part in np.array_split(best, max(1, len(best) // 16)):
-                part = part[bounds[part] >= self.scores[rows, -1].min()]
-                if len(part):
-                    self._leaf(rows, np.concatenate([t.order[slice(*t.run[i])] for i in nodes[part]]), t, ids)
+        while True:
+            bounds = self._bounds(q, t, nodes)
+            keep = bounds >= self.scores[rows, -1].min()
+            nodes, bounds = nodes[keep], bounds[keep]
+            if not len(nodes):
+                return
+            inner = t.inner[nodes]
+            if self.tree.children[q] and (not inner.any() or self.tree.radii[q] >= t.radii[nodes[inner]].max()):
+                for child in self.tree.children[q]:
+                    self._visit(child, t, ids, nodes)
+                return
+            if not inner.any():
+                break
+            nodes = np.concatenate([nodes[~inner], *[np.array(t.children[i]) for i in nodes[inner]]])
+        best = np.argsort(-bounds, kind="stable")
+        size = np.cumsum([t.run[i][1] - t.run[i][0] for i in nodes[best]])
+        for part in np.split(best, np.searchsorted(size, np.arange(WIDE, size[-1], WIDE))):
+            part = part[bounds[part] >= self.scores[rows, -1].min()]
+            if len(part):
+                self._leaf(rows, np.concatenate([t.order[slice(*t.run[i])] for i in nodes[part]]), t, ids)
 
     def _leaf(self, rows: np.ndarray, at: np.ndarray, t: CoverTree, ids: np.ndarray) -> None:
+        """All products of some queries and candidates; those that reach a query's kth score are merged into its best."""
         score = self.x[rows] @ t.x[at].T
         score[ids[at][None, :] == self.ids[rows][:, None]] = -np.inf
-        scores = np.concatenate([self.scores[rows], score], axis=1)
-        found = np.concatenate([self.found[rows], np.broadcast_to(ids[at], score.shape)], axis=1)
-        pick = better(scores, found, self.k)
-        self.scores[rows] = np.take_along_axis(scores, pick, 1)
-        self.found[rows] = np.take_along_axis(found, pick, 1)
+        bound = self.scores[rows, -1]
+        if score.shape[1] > self.k:
+            bound = np.maximum(bound, np.partition(score, -self.k, axis=1)[:, -self.k])
+        r, c = np.nonzero((score >= bound[:, None]) & np.isfinite(score))
+        some = np.unique(r)
+        if not len(some):
+            return
+        row = np.concatenate([np.repeat(some, self.k), r])
+        value = np.concatenate([self.scores[rows[some]].ravel(), score[r, c]])
+        who = np.concatenate([self.found[rows[some]].ravel(), ids[at[c]]])
+        order = np.lexsort((who, -value, row))
+        row = row[order]
+        seat = np.arange(len(row)) - np.searchsorted(row, row)
+        take = order[seat < self.k]
+        self.scores[rows[some]] = value[take].reshape(-1, self.k)
+        self.found[rows[some]] = who[take].reshape(-1, self.k)
 
 
 def quantise(vectors: pa.Array, ids: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
