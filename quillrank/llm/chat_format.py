@@ -45,13 +45,16 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     real = nodes.select(F.col("tree").alias("t"), F.col("node").alias("up"))
     start = nodes.join(real, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("up")), "left").select("tree", "node", "up", "total")
     level = written(start)
-    count, levels = level.count(), []
-    while level.filter("up is not null").take(1) and 2 ** len(levels) <= count:
-        levels.append(level.filter("up is not null").select("tree", "node", "up"))
-        above = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"))
-        level = written(level.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left").select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+    count, levels, done = level.count(), [], level.filter("up is null")
+    level = level.filter("up is not null")
+    # Messages that see their root are done; only the others are joined again, on all of their tree.
+    while level.take(1) and 2 ** len(levels) <= count:
+        levels.append(level.select("tree", "node", "up"))
+        above = done.union(level).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"))
+        made = written(level.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")))
+        done, level = done.union(made.filter("up is null")), made.filter("up is not null")
     inner = start.filter("up is not null").select("tree", F.col("up").alias("node"))
-    leaves = level.filter("up is null").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "total")
+    leaves = done.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "total")
     if branches is not None:
         place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
         leaves = leaves.withColumn("place", place).filter(F.col("place") <= branches)
