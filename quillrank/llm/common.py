@@ -72,10 +72,23 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], st
         for batch in batches:
             made = step(*[batch.column(i) for i in at])
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=out.fieldNames())
+        del step
+        trim()
 
     return df.mapInArrow(run, out)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: worker processes live on from task to task beside the executor's own heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def per_process(key: tuple, make: Callable):
     """make() once for each Python worker process, which Spark uses for many tasks."""
     import sys

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import chunks, mix, shingles, table, utf8, words, written
+from quillrank.llm.common import chunks, mix, shingles, table, trim, utf8, words, written
 
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Classes of one component that are compared with each other in one go.
 BLOCK = 512
-#: Bits of the broadcast filter: at most 2^19 rows of two longs, however many documents there are.
-FILTER_BITS = 1 << 25
+#: Bits of the broadcast filter: at most 2^17 rows of two longs, however many documents there are.
+FILTER_BITS = 1 << 23
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 packed += [k.tobytes() if f else None for k, f in zip(keys, full)]
             cat = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), cat(k1), cat(k2), pa.array(packed, pa.binary())], names=["doc_id", "k1", "k2", "bands"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, k1 long, k2 long, bands binary")
 
@@ -170,6 +171,7 @@ def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
         out_n.append(linked[some] @ n[g])
         out_link.append(rep[g][label[some]])
     cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
+    trim()
     return pa.table([cat(out_rep), cat(out_n), cat(out_link)], names=["rep", "links", "link"])
 
 

@@ -31,7 +31,7 @@ RUN = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 #: Up to so many symbols the agenda is a plain list; beyond, a heap.
 SHORT = 48
 #: Encoded runs that a task keeps, and the longest run it keeps.
-KEPT_RUNS, KEPT_LENGTH = 500_000, 64
+KEPT_RUNS, KEPT_LENGTH = 250_000, 64
 
 
 class Vocabulary:

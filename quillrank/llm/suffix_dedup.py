@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.llm.common import fresh, hash_spans, load8, mix, n_batches, ranges, table, utf8
+from quillrank.llm.common import fresh, hash_spans, load8, mix, n_batches, ranges, table, trim, utf8
 
 WIDTH, GRAM = 50, 20
 #: Distinct strips of one anchor beyond which its windows are dealt singly; one anchor's strips always fit a block.
 HOT = 4096
 #: Bytes of text in a suffix array (positions and ranks take 20 bits each) and in a batch of documents.
-BLOCK, BATCH = 1 << 20, 8 << 20
+BLOCK, BATCH = 1 << 20, 6 << 20
 #: Bytes winnowed at once; longer documents are winnowed in pieces that overlap by WIDTH - 1.
 PIECE, _BITS = 1 << 19, 24
 
@@ -395,6 +395,7 @@ def _rows(made, shape: T.StructType, fixed: int, flip: bool) -> pa.Table:
         b.append(blob)
     mine = [fixed] * len(a)
     cols = (a, mine, b) if flip else (mine, a, b)
+    trim()
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=shape.fieldNames())
 
 

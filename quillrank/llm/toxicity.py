@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import annotate, chunks, table, utf8
+from quillrank.llm.common import annotate, chunks, table, trim, utf8
 from quillrank.llm.linear import bounded, grams, logistic
 
 GRAM, BITS = 5, 20
 #: Labelled rows for each combination of labels; features of a model; folds of the out-of-fold predictions.
-SAMPLE, FEATURES, FOLDS = 2000, 2048, 3
+SAMPLE, FEATURES, FOLDS = 1200, 1536, 3
 #: Least log ratio of class shares of a feature: in long texts many weak ones would add up.
 MARKED = 2.0
 #: Category, label column, value that means it.
@@ -87,15 +87,16 @@ class Chain:
         pick = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
         pick = pick[((yes + no)[pick] > 0) & (np.abs(ratio[pick]) >= MARKED)]
         scale = ratio[pick].astype(np.float32)
-        x = Chain._dense(doc, feature, pick, len(y)) * scale
+        x = Chain._dense(doc, feature, pick, len(y))
+        x *= scale
         w, b = logistic(np.column_stack([x[rows], earlier[rows]]), y[rows])
         return pick, w[: len(pick)] * scale, w[len(pick) :], b
 
     @staticmethod
     def _dense(doc, feature, pick, n):
-        number = np.full(1 << BITS, -1, np.int64)
+        number = np.full(1 << BITS, -1, np.int32)
         number[pick] = np.arange(len(pick))
-        use = number[feature] >= 0
+        use = np.flatnonzero(number[feature] >= 0)
         x = np.zeros((n, len(pick)), np.float32)
         x[doc[use], number[feature[use]]] = 1
         return x
@@ -142,9 +143,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     got = rows.mapInArrow(features, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").toPandas().sort_values("id", kind="stable")
     found = [np.frombuffer(b, np.int32) for b in got["f"]]
+    y = got[ys].to_numpy()
     made = Chain([c[0] for c in chain])
     doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
-    made.fit(doc, np.concatenate(found) if found else np.zeros(0, np.int64), got[ys].to_numpy())
+    made.fit(doc, np.concatenate(found) if found else np.zeros(0, np.int64), y)
+    trim()
     return made
 
 
