@@ -1,0 +1 @@
+"""Execution plans of selected items, and the router that ties the operators together."""
