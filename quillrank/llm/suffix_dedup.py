@@ -40,7 +40,7 @@ WIDTH, GRAM = 50, 20
 #: Distinct strips of one anchor beyond which its windows are dealt singly; one anchor's strips always fit a block.
 HOT = 4096
 #: Bytes of text in a suffix array (positions and ranks take 20 bits each) and in a batch of documents.
-BLOCK, BATCH = 1 << 20, 6 << 20
+BLOCK, BATCH = 1 << 20, 4 << 20
 #: Bytes winnowed at once; longer documents are winnowed in pieces that overlap by WIDTH - 1.
 PIECE, _BITS = 1 << 19, 24
 
@@ -133,9 +133,9 @@ class Strips:
 class Batch:
     """A batch in a fixed order of its rows, its strips and what it sends; the same in every pass."""
 
-    def __init__(self, docs: pa.Table, shards: int):
-        ids = docs.column(0)
-        texts = pc.fill_null(docs.column(1), "") if docs.column(1).null_count else docs.column(1)
+    def __init__(self, docs: pa.Table, shards: int, id_at: int, text_at: int):
+        ids = docs.column(id_at).cast(pa.int64())
+        texts = pc.fill_null(docs.column(text_at), "") if docs.column(text_at).null_count else docs.column(text_at)
         order = pc.sort_indices(pa.table({"i": ids, "t": texts}), [("i", "ascending"), ("t", "ascending")])
         self.docs = docs.take(order)
         self.flat, self.offs = utf8(texts.take(order))
@@ -210,10 +210,10 @@ class Batch:
         own = np.repeat(self.ids[self.doc], n)
         low = least[ranges(windows[self.number], n)]
         place = ranges(self.start, n)[low < own]
-        edge = np.zeros(len(self.flat) + 1, np.int64)
+        edge = np.zeros(len(self.flat) + 1, np.int32)
         np.add.at(edge, place, 1)
         np.add.at(edge, place + WIDTH, -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def suffix_array(flat: np.ndarray) -> np.ndarray:
@@ -406,8 +406,8 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes, binary)."""
     batches = batches or n_batches(docs, text_col, BATCH, 64)
     cols = docs.columns
-    p = fresh(cols, "_p")
-    dealt = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(cols)], F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("long").alias("_p"))
+    at = (cols.index(id_col), cols.index(text_col))
+    dealt = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(cols)], F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("long").alias("_p"))
     shape = T.StructType()
     for f in docs.schema.fields:
         shape.add(f.name, f.dataType)
@@ -415,7 +415,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
         shape.add(fresh(shape.fieldNames(), name), T.DataType.fromDDL(kind))
 
     def first(key, rows: pa.Table) -> pa.Table:
-        return _rows(Batch(rows, batches).send_grams(), MAIL, key[0].as_py(), False)
+        return _rows(Batch(rows, batches, *at).send_grams(), MAIL, key[0].as_py(), False)
 
     def gram_shard(key, rows: pa.Table) -> pa.Table:
         return _rows(answer_grams(rows), MAIL, key[0].as_py(), True)
@@ -423,7 +423,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     def second(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return MAIL_EMPTY
-        b = Batch(rows, batches)
+        b = Batch(rows, batches, *at)
         b.take_codes(dict(zip(answers.column("_s").to_pylist(), answers.column("_blob").to_pylist())))
         return _rows(b.send_texts(), MAIL, key[0].as_py(), False)
 
@@ -433,7 +433,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     def third(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], f.type) for f in arrow_shape], names=shape.fieldNames())
-        b = Batch(rows, batches)
+        b = Batch(rows, batches, *at)
         got = dict(zip(answers.column("_s").to_pylist(), answers.column("_blob").to_pylist()))
         b.take_codes({s: x for s, x in got.items() if s >= 0})
         gone = b.removed({-1 - s: x for s, x in got.items() if s < 0})
