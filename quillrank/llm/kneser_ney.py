@@ -28,7 +28,7 @@ ORDER = 5
 #: Share of the calibration documents that lie below the lower and above the upper bound, each.
 TAIL = 0.005
 #: Entries of one model shard; distinct n-grams a task holds before it sends them on; trusted ids that are broadcast.
-SHARD, HELD, SMALL = 3_000_000, 2_000_000, 1_000_000
+SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
 
 
 def contexts(flat: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +184,8 @@ def shards_of(model: DataFrame, size: int = SHARD):
             spread = F.udf(lambda p: None if p is None else int(mix(np.array([p], np.uint64))[0] % np.uint64(n)), "int")
             numbers = model.sparkSession.range(1 << 16).select(F.col("id").alias("pair"), spread("id").alias("shard"))
             rows = model.withColumn("pair", pair).join(F.broadcast(numbers), "pair", "left").filter(F.coalesce("shard", F.lit(k)) == k)
-        got = rows.select("kind", "key", "value").toPandas()
-        yield ModelShard(got["kind"].to_numpy(), got["key"].to_numpy(), got["value"].to_numpy(), k, max(1, n))
+        got = rows.select(F.col("kind").cast("byte"), "key", "value").toArrow()
+        yield ModelShard(*[got.column(c).to_numpy() for c in ("kind", "key", "value")], k, max(1, n))
 
 
 def log_likelihood(docs: DataFrame, model: DataFrame, text_col: str = "text", size: int = SHARD) -> tuple[DataFrame, str]:
