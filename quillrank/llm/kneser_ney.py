@@ -1,34 +1,49 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model is over UTF-8 bytes (order 5), trained on all trusted documents but a calibration tenth.
-Counts, continuation counts, discounts, context totals and the interpolation down to lower orders
-are grouped sums and joins over the n-gram tables. The finished model is cut into shards of a
-checked size by its contexts' last two bytes; documents stream past one shard after another and add
-up their log-probabilities, so a model of any size is handled whole. A document's perplexity is
-held against quantiles of the calibration documents of its language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word n-grams.
+
+Tokens are runs of word bytes, each with the one blank before it, and the runs between them, so they
+make up the whole text. The model is over three tokens; below single tokens stands a byte 5-gram
+model (Kneser-Ney too) of the different trusted tokens with an end mark, which spells what was never
+seen. Documents are dealt into folds by a hash of the id, and each is scored by a model of the trusted
+documents of the other folds, so no text is scored by a model that has seen its row, and all trusted
+documents both train and calibrate. Counts, continuation counts,
+discounts, context totals and the interpolation down to lower orders are grouped sums and joins over
+the n-gram tables, which grow with the corpus. To score, documents are dealt into batches; each batch
+asks shards of the model, dealt by n-gram hash, for its different n-grams and adds up the answers.
+Spelt tokens pass over shards of the byte model. A document's perplexity, a byte, is held against
+quantiles of the trusted documents of its language.
 
 Defined results: null and empty texts have no bytes, a null perplexity, and are not kept. A language
-that is null or has no calibration documents uses the quantiles over all languages; with no
-calibration documents at all everything with a perplexity is kept. With no trusted text every byte
-has probability 1/256. Labels with a null id take no part, a document is trusted if any of its
-labels says so. Repeated documents are each scored; extra columns stay, and result names that clash
-get underscores. Texts are taken whole.
+that is null or has no trusted documents uses the quantiles over all languages; with no trusted
+documents at all everything with a perplexity is kept. With no trusted text every byte
+and end of a token has probability 1/256. Labels with a null id take no part, a document is trusted if
+any of its labels says so. Repeated documents are each scored; extra columns stay, and result names
+that clash get underscores. Texts are taken whole. N-grams are told apart by 64-bit hashes, and the
+model's logarithms are sent as 32-bit floats.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import annotate, chunks, fresh, mix, table, utf8, written
+from quillrank.llm.common import WORD_TABLE, annotate, chunks, fresh, hash_spans, load8, mix, n_batches, table, trim, utf8, written
 
 ORDER = 5
-#: Share of the calibration documents that lie below the lower and above the upper bound, each.
+#: Parts of the corpus; each is scored by a model of the others.
+FOLDS = 2
+#: Share of the trusted documents that lie below the lower and above the upper bound, each.
 TAIL = 0.005
 #: Entries of one model shard; distinct n-grams a task holds before it sends them on; trusted ids that are broadcast.
 SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
+#: Bytes of text of a batch that asks the word model; entries of one of its shards.
+BATCH, WORD_SHARD = 8 << 20, 500_000
+#: Ends a spelt token; in no UTF-8 text.
+END = b"\xff"
 
 
 def contexts(flat: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +203,8 @@ def shards_of(model: DataFrame, size: int = SHARD):
         yield ModelShard(*[got.column(c).to_numpy() for c in ("kind", "key", "value")], k, max(1, n))
 
 
-def log_likelihood(docs: DataFrame, model: DataFrame, text_col: str = "text", size: int = SHARD) -> tuple[DataFrame, str]:
-    """docs with the log-probability of each text, and that column's name."""
+def spelt(docs: DataFrame, model: DataFrame, col: str, size: int = SHARD) -> tuple[DataFrame, str]:
+    """docs with the log-probability of all byte strings of the lists in `col` together, and that column's name."""
     name, out = "", docs
     for shard in shards_of(model, size):
         shared = docs.sparkSession.sparkContext.broadcast(shard)  # about `size` entries
@@ -197,30 +212,248 @@ def log_likelihood(docs: DataFrame, model: DataFrame, text_col: str = "text", si
         def begin(shared=shared):
             s = shared.value
 
-            def step(texts, earlier=None):
-                flat, offs = utf8(texts)
+            def step(lists, earlier=None):
+                flat, offs = utf8(lists.flatten())
                 parts = [s.sums(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs)]
-                total = np.concatenate(parts) if parts else np.zeros(0)
+                run = np.append(0.0, np.cumsum(np.concatenate(parts))) if parts else np.zeros(1)
+                at = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+                total = run[at[1:]] - run[at[:-1]]
                 return [pa.array(total + earlier.to_numpy() if earlier is not None else total)]
 
             return step
 
         before = name
         name = fresh(out.columns, "log_p")
-        out = annotate(written(out), [text_col, before], [(name, "double")], begin).drop(before) if before else annotate(out, [text_col], [(name, "double")], begin)
+        out = annotate(written(out), [col, before], [(name, "double")], begin).drop(before) if before else annotate(out, [col], [(name, "double")], begin)
     return out, name
 
 
+def tokens(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each token, its start, its length, first token of each text and one more)."""
+    n = len(flat)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    word = np.take(WORD_TABLE, flat) != 0
+    edge = np.zeros(n, bool)
+    edge[offs[:-1][offs[:-1] < n]] = True
+    begin = edge.copy()
+    begin[1:] |= word[1:] != word[:-1]
+    blank = np.flatnonzero((flat[:-1] == 32) & word[1:] & ~edge[1:])
+    begin[blank] = True
+    begin[blank + 1] = False
+    starts = np.flatnonzero(begin)
+    lens = np.diff(np.append(starts, n))
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = flat
+    return hash_spans(load8(padded), starts, lens, 1), starts, lens, np.searchsorted(starts, offs)
+
+
+def xx(seed: np.ndarray | int, value: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long, so that keys made here and in joins agree."""
+    u = np.uint64
+    value = value * u(0xC2B2AE3D27D4EB4F)
+    h = (np.asarray(seed, u) + u(0x27D4EB2F165667C5) + u(8)) ^ ((value << u(31) | value >> u(33)) * u(0x9E3779B185EBCA87))
+    h = (h << u(27) | h >> u(37)) * u(0x9E3779B185EBCA87) + u(0x85EBCA77C2B2AE63)
+    h = (h ^ h >> u(33)) * u(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> u(29)) * u(0x165667B19E3779F9)
+    return h ^ h >> u(32)
+
+
+def before(t: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """The token k before each token in its text; 0 before a text."""
+    out = np.zeros(len(t), t.dtype)
+    out[k:] = t[:-k]
+    seat = np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))
+    out[seat < k] = 0
+    return out
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(f, u, v, w, c): how often each three tokens occur in the texts (f, text) of a fold."""
+
+    def run(batches):
+        for batch in batches:
+            fold = batch.column(0).to_numpy()
+            flat, offs = utf8(batch.column(1))
+            for i, j in chunks(offs):
+                t, _, _, first = tokens(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                f, u, v = np.repeat(fold[i:j], np.diff(first)), before(t, first, 2), before(t, first, 1)
+                _, at, n = np.unique(xx(xx(xx(f.astype(np.uint64), u), v), t), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f[at]), *[pa.array(x[at].view(np.int64)) for x in (u, v, t)], pa.array(n)], names=["f", "u", "v", "w", "c"])
+        trim()
+
+    return texts.select("f", "text").mapInArrow(run, "f long, u long, v long, w long, c long").groupBy("f", "u", "v", "w").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(f, w, token): the different tokens of each fold's texts, with the end mark."""
+
+    def run(batches):
+        for batch in batches:
+            fold = batch.column(0).to_numpy()
+            flat, offs = utf8(batch.column(1))
+            for i, j in chunks(offs):
+                part = flat[offs[i] : offs[j]]
+                t, starts, lens, first = tokens(part, offs[i : j + 1] - offs[i])
+                f, raw = np.repeat(fold[i:j], np.diff(first)), part.tobytes()
+                _, at = np.unique(xx(f.astype(np.uint64), t), return_index=True)
+                found = [raw[s : s + n] + END for s, n in zip(starts[at].tolist(), lens[at].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(t[at].view(np.int64)), pa.array(found, pa.binary())], names=["f", "w", "token"])
+        trim()
+
+    return texts.select("f", "text").mapInArrow(run, "f long, w long, token binary").groupBy("f", "w").agg(F.min("token").alias("token"))
+
+
+def train_words(texts: DataFrame, folds: int = 1) -> tuple[DataFrame, list[float], list[DataFrame]]:
+    """Of texts (f, text): the model (key, p, rest), what each fold leaves to spelling, and its byte model. p: log-probability of an n-gram's last token; rest: log of what it leaves, as a context, to shorter ones."""
+    t3 = written(count_words(texts))
+    t2 = written(t3.groupBy("f", "v", "w").agg(F.count("*").alias("c")))
+    t1 = written(t2.groupBy("f", "w").agg(F.count("*").alias("c")))
+    words = written(vocabulary(texts))
+    spell = [train(words.filter(F.col("f") == k), "token") for k in range(folds)]
+    parts = []
+    for k in range(folds):
+        out, name = spelt(words.filter(F.col("f") == k).withColumn("_t", F.array("token")), spell[k], "_t")
+        parts.append(out.select("f", "w", F.exp(name).alias("q")))
+    base = reduce(DataFrame.unionByName, parts)
+    left = [0.0] * folds
+
+    def smoothed(counts, context, lower, on):
+        """counts with p, and (context, rest)."""
+        d = [discounts(counts.filter(F.col("f") == k)) for k in range(folds)]
+        off = F.lit(0.0)
+        for k in range(folds):
+            off = F.when(F.col("f") == k, F.when(F.col("c") == 1, d[k][0]).when(F.col("c") == 2, d[k][1]).otherwise(d[k][2])).otherwise(off)
+        sums = counts.groupBy("f", *context).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("rest"))
+        p = F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("q")
+        return counts.join(sums, ["f", *context]).join(lower, ["f", *on]).withColumn("p", p), sums.select("f", *context, "rest")
+
+    p1, s1 = smoothed(t1, [], base, ["w"])
+    for r in s1.collect():  # a row a fold
+        left[r["f"]] = float(np.log(r["rest"]))
+    p1 = written(p1.select("f", "w", "p"))
+    p2, s2 = smoothed(t2, ["v"], p1.withColumnRenamed("p", "q"), ["w"])
+    p2 = written(p2.select("f", "v", "w", "p"))
+    p3, s3 = smoothed(t3, ["u", "v"], p2.withColumnRenamed("p", "q"), ["v", "w"])
+    log = lambda c: F.log(F.col(c)).cast("float").alias(c)
+    one = p1.join(s2.withColumnRenamed("v", "w"), ["f", "w"], "full").select(F.xxhash64("f", "w").alias("key"), log("p"), log("rest"))
+    two = p2.join(s3.select("f", F.col("v").alias("w"), F.col("u").alias("v"), "rest"), ["f", "v", "w"], "full").select(F.xxhash64("f", "v", "w").alias("key"), log("p"), log("rest"))
+    three = p3.select(F.xxhash64("f", "u", "v", "w").alias("key"), log("p"), F.lit(None).cast("float").alias("rest"))
+    return written(one.union(two).union(three)), left, spell
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+ANSWER = np.dtype([("p", "<f4"), ("rest", "<f4"), ("hit", "u1")])
+SEED = 42  # Spark's
+
+
+class Asked:
+    """The n-grams of a batch of texts (f, text): their keys, and the different ones in order."""
+
+    def __init__(self, rows: pa.Table):
+        self.flat, self.offs = utf8(rows.column("text"))
+        t, self.starts, self.lens, self.first = tokens(self.flat, self.offs)
+        self.f = np.repeat(rows.column("f").to_numpy().astype(np.uint64), np.diff(self.first))
+        u, v, fold = before(t, self.first, 2), before(t, self.first, 1), xx(SEED, self.f)
+        a, b = xx(fold, u), xx(fold, v)
+        #: n-gram keys of three, two and one tokens, and those of the contexts of two and one.
+        self.keys = [xx(xx(a, v), t), xx(b, t), xx(fold, t), xx(a, v), b]
+        self.distinct = np.unique(np.concatenate(self.keys))
+
+    def cuts(self, shards: int) -> np.ndarray:
+        return np.searchsorted((self.distinct >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+
+    def score(self, answer: np.ndarray, left: list[float]) -> tuple[np.ndarray, list[list[bytes]]]:
+        """Log-probability of each text without spelling, and its tokens to spell."""
+        k3, k2, k1, c2, c1 = (answer[np.searchsorted(self.distinct, k)] for k in self.keys)
+        known = [(k["hit"] & 1) > 0 for k in (k3, k2, k1)]
+        value = np.where(known[2], k1["p"], np.array(left)[self.f.astype(np.int64)])
+        value = np.where(known[1], k2["p"], c1["rest"] + value)
+        value = np.where(known[0], k3["p"], c2["rest"] + value)
+        run = np.append(0.0, np.cumsum(value, dtype=np.float64))
+        rare = np.flatnonzero(~(known[0] | known[1] | known[2]))
+        raw = self.flat.tobytes()
+        parts = [raw[s : s + n] + END for s, n in zip(self.starts[rare].tolist(), self.lens[rare].tolist())]
+        cut = np.searchsorted(rare, self.first).tolist()
+        return run[self.first[1:]] - run[self.first[:-1]], [parts[s:e] for s, e in zip(cut[:-1], cut[1:])]
+
+
+def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int = BATCH, shard: int = WORD_SHARD) -> tuple[DataFrame, str]:
+    """docs (f, text and more) without the text, with n_bytes and the log-probability of each text under its fold's model of `texts`, and that column's name."""
+    model, left, spell = train_words(texts, folds)
+    batches = n_batches(docs, "text", batch, 32)
+    shards = max(batches, -(-model.count() // shard))
+    others = [c for c in docs.columns if c != "text"]
+    dealt = docs.withColumn("_p", F.pmod(F.xxhash64(*docs.columns), F.lit(batches)))
+    mail = "_p long, _s long, blob binary"
+    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", n_bytes long, known double, rare array<binary>"
+
+    def ask(rows: pa.Table) -> pa.Table:
+        asked, p = Asked(rows), rows.column("_p")[0].as_py()
+        cut = asked.cuts(shards)
+        some = [s for s in range(shards) if cut[s] < cut[s + 1]]
+        blobs = [packed(np.diff(asked.distinct[cut[s] : cut[s + 1]], prepend=np.uint64(0))) for s in some]
+        trim()
+        return pa.table([pa.array([p] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["_p", "_s", "blob"])
+
+    def answer(asks: pa.Table, entries: pa.Table) -> pa.Table:
+        key = entries.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        held = np.zeros(len(key) + 1, ANSWER)
+        for c, bit in (("p", 1), ("rest", 2)):
+            x = entries.column(c).to_numpy()[order]
+            held[c][:-1] = np.nan_to_num(x)
+            held["hit"][:-1] |= np.where(np.isnan(x), 0, bit).astype(np.uint8)
+        blobs = []
+        for blob in asks.column("blob").to_pylist():
+            wanted = np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+            at = np.searchsorted(key, wanted)
+            at[np.append(key, np.uint64(0))[at] != wanted] = len(key)
+            at[at > len(key)] = len(key)
+            blobs.append(packed(held[at]))
+        trim()
+        return pa.table([asks.column("_p"), asks.column("_s"), pa.array(blobs, pa.binary())], names=["_p", "_s", "blob"])
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        asked = Asked(rows)
+        order = np.argsort(answers.column("_s").to_numpy())
+        blobs = answers.column("blob").to_pylist()
+        got = np.concatenate([np.zeros(0, ANSWER), *[unpacked(blobs[k], ANSWER) for k in order]])
+        known, rare = asked.score(got, left)
+        out = pa.table([*[rows.column(c) for c in others], pa.array(np.diff(asked.offs)), pa.array(known), pa.array(rare, pa.list_(pa.binary()))], names=[*others, "n_bytes", "known", "rare"])
+        trim()
+        return out
+
+    asks = dealt.groupBy("_p").applyInArrow(lambda t: ask(t), mail)
+    sharded = model.withColumn("_s", F.expr(f"shiftright(shiftrightunsigned(key, 32) * {shards}L, 32)"))
+    answers = asks.groupBy("_s").cogroup(sharded.groupBy("_s")).applyInArrow(lambda a, m: answer(a, m), mail)
+    scored = written(dealt.groupBy("_p").cogroup(answers.groupBy("_p")).applyInArrow(lambda t, a: score(t, a), made))
+    parts = []
+    for k in range(folds):
+        out, name = spelt(scored.filter(F.col("f") == k), spell[k], "rare")
+        parts.append(out.withColumn(name, F.col(name) + F.col("known")).drop("known", "rare"))
+    return reduce(DataFrame.unionByName, parts), name
+
+
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = TAIL) -> DataFrame:
     """doc_id, n_bytes, perplexity, low, high (bounds of its language), keep. trusted: ids of trusted documents."""
     ids = written(trusted.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_trusted")).distinct())
     side = F.broadcast(ids) if ids.count() <= SMALL else ids
     marked = docs.join(side, F.col(id_col) == F.col("_trusted"), "left")
-    calibrates = F.pmod(F.xxhash64(F.col(id_col), F.lit("calibration")), F.lit(10)) == 0
-    model = train(marked.filter(F.col("_trusted").isNotNull() & ~calibrates), text_col)
-    scored, name = log_likelihood(marked.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), (F.col("_trusted").isNotNull() & calibrates).alias("calibrates")), model)
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    scored = written(scored.select("doc_id", "lang", "calibrates", n.alias("n_bytes"), F.when(n > 0, F.exp(-F.col(name) / n)).alias("perplexity")))
+    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit("fold")), F.lit(FOLDS))
+    rows = marked.select(fold.alias("f"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col("_trusted").isNotNull().alias("calibrates"))
+    scored, name = log_likelihood(rows, rows.filter("calibrates").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))).alias("g"), "f", "text").filter("g <> f").select(F.col("g").alias("f"), "text"), FOLDS)
+    n = F.col("n_bytes")
+    scored = written(scored.select("doc_id", "lang", "calibrates", "n_bytes", F.when(n > 0, F.exp(-F.col(name) / n)).alias("perplexity")))
     known = scored.filter("calibrates and perplexity is not null")
     two = [F.percentile_approx("perplexity", q, 10000) for q in (tail, 1 - tail)]
     each = known.groupBy("lang").agg(two[0].alias("low"), two[1].alias("high"))
