@@ -10,10 +10,11 @@ discounts, context totals and the interpolation down to lower orders are grouped
 the n-gram tables, which grow with the corpus. To score, documents are dealt into batches; each batch
 asks shards of the model, dealt by n-gram hash, for its different n-grams and adds up the answers.
 Spelt tokens pass over shards of the byte model. A document's perplexity, a byte, is held against
-quantiles of the trusted documents of its language.
+quantiles of the trusted documents of its language and length (bands of powers of two of its bytes).
 
 Defined results: null and empty texts have no bytes, a null perplexity, and are not kept. A language
-that is null or has no trusted documents uses the quantiles over all languages; with no trusted
+that is null or has no trusted documents uses the quantiles over all languages, a band of fewer than
+FEW trusted documents those of its language; with no trusted
 documents at all everything with a perplexity is kept. With no trusted text every byte
 and end of a token has probability 1/256. Labels with a null id take no part, a document is trusted if
 any of its labels says so. Repeated documents are each scored; extra columns stay, and result names
@@ -36,8 +37,10 @@ from quillrank.llm.common import WORD_TABLE, annotate, chunks, fresh, hash_spans
 ORDER = 5
 #: Parts of the corpus; each is scored by a model of the others.
 FOLDS = 2
-#: Share of the trusted documents that lie below the lower and above the upper bound, each.
-TAIL = 0.005
+#: Shares of the trusted documents below the lower and above the upper bound. The README has what other shares keep and drop.
+TAILS = (0.001, 0.01)
+#: Trusted documents that a band of lengths needs for quantiles of its own.
+FEW = 50
 #: Entries of one model shard; distinct n-grams a task holds before it sends them on; trusted ids that are broadcast.
 SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
 #: Bytes of text of a batch that asks the word model; entries of one of its shards.
@@ -444,7 +447,7 @@ def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int
     return reduce(DataFrame.unionByName, parts), name
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = TAIL) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tails: tuple[float, float] = TAILS) -> DataFrame:
     """doc_id, n_bytes, perplexity, low, high (bounds of its language), keep. trusted: ids of trusted documents."""
     ids = written(trusted.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_trusted")).distinct())
     side = F.broadcast(ids) if ids.count() <= SMALL else ids
@@ -454,12 +457,14 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     scored, name = log_likelihood(rows, rows.filter("calibrates").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))).alias("g"), "f", "text").filter("g <> f").select(F.col("g").alias("f"), "text"), FOLDS)
     n = F.col("n_bytes")
     scored = written(scored.select("doc_id", "lang", "calibrates", "n_bytes", F.when(n > 0, F.exp(-F.col(name) / n)).alias("perplexity")))
+    scored = scored.withColumn("band", F.floor(F.log2(F.greatest("n_bytes", F.lit(1)))))
     known = scored.filter("calibrates and perplexity is not null")
-    two = [F.percentile_approx("perplexity", q, 10000) for q in (tail, 1 - tail)]
-    each = known.groupBy("lang").agg(two[0].alias("low"), two[1].alias("high"))
+    two = [F.percentile_approx("perplexity", q, 10000) for q in (tails[0], 1 - tails[1])]
+    fine = known.groupBy("lang", "band").agg(two[0].alias("low2"), two[1].alias("high2"), F.count("*").alias("_n")).filter(F.col("_n") >= FEW).drop("_n")
+    each = known.groupBy("lang").agg(two[0].alias("low1"), two[1].alias("high1"))
     whole = known.agg(two[0].alias("low"), two[1].alias("high")).first()
-    held = scored.join(F.broadcast(each), "lang", "left")  # a row a language
-    low, high = (F.coalesce(F.col(c), F.lit(whole[c]).cast("double")) for c in ("low", "high"))
+    held = scored.join(F.broadcast(fine), ["lang", "band"], "left").join(F.broadcast(each), "lang", "left")  # rows a language and band
+    low, high = (F.coalesce(F.col(f"{c}2"), F.col(f"{c}1"), F.lit(whole[c]).cast("double")) for c in ("low", "high"))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity").between(low, high), F.lit(True))
     return held.select("doc_id", "n_bytes", "perplexity", low.alias("low"), high.alias("high"), keep.alias("keep"))
 
