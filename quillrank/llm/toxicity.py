@@ -7,7 +7,7 @@ The chain is fitted on a bounded, documented sample of labelled rows (SAMPLE for
 of labels, chosen by a hash of the id) and predicts every document.
 
 Defined results: a null or empty text has no 5-grams and gets probability 0 and no rejection.
-Labels with a null id or category take no part; with no labelled rows, or rows of one class only,
+Labels with a null id take no part, a null label none in its own category; with no labelled rows, or rows of one class only,
 a category is predicted as that class's share. Texts are taken whole; repeated rows give repeated
 results; extra columns stay, and result names that clash get underscores.
 """
@@ -24,7 +24,7 @@ from quillrank.llm.linear import bounded, grams, logistic
 
 GRAM, BITS = 5, 20
 #: Labelled rows for each combination of labels; features of a model; folds of the out-of-fold predictions.
-SAMPLE, FEATURES, FOLDS = 1200, 1536, 3
+SAMPLE, FEATURES, FOLDS = 2000, 2048, 3
 #: Least log ratio of class shares of a feature: in long texts many weak ones would add up.
 MARKED = 2.0
 #: Category, label column, value that means it.
@@ -58,11 +58,11 @@ class Chain:
         earlier = np.zeros((n, 0), np.float32)
         chosen = []
         for k in range(len(self.names)):
-            y = labels[:, k].astype(np.float32)
+            y, known = labels[:, k].astype(np.float32), labels[:, k] >= 0
             out = np.zeros(n, np.float32)
             for f in range(FOLDS):
-                out[fold == f] = self._apply(self._one(doc, feature, y, earlier, fold != f), doc, feature, earlier)[fold == f]
-            self.models.append(self._one(doc, feature, y, earlier, np.ones(n, bool)))
+                out[fold == f] = self._apply(self._one(doc, feature, y, earlier, known & (fold != f)), doc, feature, earlier)[fold == f]
+            self.models.append(self._one(doc, feature, y, earlier, known))
             chosen.append(self.models[-1][0])
             earlier = np.column_stack([earlier, out])
         used = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
@@ -87,18 +87,21 @@ class Chain:
         pick = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
         pick = pick[((yes + no)[pick] > 0) & (np.abs(ratio[pick]) >= MARKED)]
         scale = ratio[pick].astype(np.float32)
-        x = Chain._dense(doc, feature, pick, len(y))
-        x *= scale
-        w, b = logistic(np.column_stack([x[rows], earlier[rows]]), y[rows])
+        x = Chain._dense(doc, feature, pick, scale, earlier, rows)
+        w, b = logistic(x, y[rows])
         return pick, w[: len(pick)] * scale, w[len(pick) :], b
 
     @staticmethod
-    def _dense(doc, feature, pick, n):
+    def _dense(doc, feature, pick, scale, earlier, rows):
+        """The scaled features and earlier probabilities of the rows, in one matrix without copies."""
         number = np.full(1 << BITS, -1, np.int32)
         number[pick] = np.arange(len(pick))
-        use = np.flatnonzero(number[feature] >= 0)
-        x = np.zeros((n, len(pick)), np.float32)
-        x[doc[use], number[feature[use]]] = 1
+        place = np.cumsum(rows) - 1
+        use = np.flatnonzero((number[feature] >= 0) & rows[doc])
+        at = number[feature[use]]
+        x = np.zeros((int(rows.sum()), len(pick) + earlier.shape[1]), np.float32)
+        x[place[doc[use]], at] = scale[at]
+        x[:, len(pick) :] = earlier[rows]
         return x
 
     @staticmethod
@@ -122,11 +125,11 @@ class Chain:
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain=CHAIN, sample: int = SAMPLE) -> Chain:
     """The chain fitted on at most about `sample` labelled rows for each combination of labels."""
     full = labels.filter(F.col(id_col).isNotNull())
-    for _, column, _ in chain:
-        full = full.filter(F.col(column).isNotNull())
-    marks = [(F.col(c) == v).cast("int").alias(f"y{k}") for k, (_, c, v) in enumerate(chain)]
+    full = full.filter(F.coalesce(*[F.col(c).cast("string") for _, c, _ in chain]).isNotNull())
+    # -1: no label in this category.
+    marks = [F.coalesce((F.col(c) == v).cast("int"), F.lit(-1)).alias(f"y{k}") for k, (_, c, v) in enumerate(chain)]
     full = full.select(F.col(id_col).alias("id"), *marks)
-    combination = F.concat_ws("", *[f"y{k}" for k in range(len(chain))])
+    combination = F.concat_ws(" ", *[f"y{k}" for k in range(len(chain))])
     few = bounded(full, "id", combination, sample)
     ys = [f"y{k}" for k in range(len(chain))]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few.select("id", *ys)), "id")  # at most about `sample` rows a combination
@@ -144,9 +147,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     got = rows.mapInArrow(features, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").toPandas().sort_values("id", kind="stable")
     found = [np.frombuffer(b, np.int32) for b in got["f"]]
     y = got[ys].to_numpy()
+    del got
     made = Chain([c[0] for c in chain])
     doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
-    made.fit(doc, np.concatenate(found) if found else np.zeros(0, np.int64), y)
+    feature = np.concatenate(found) if found else np.zeros(0, np.int64)
+    del found
+    made.fit(doc, feature, y)
     trim()
     return made
 
