@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.llm.common import fresh, hash_spans, load8, mix, n_batches, ranges, table, trim, utf8
+from quillrank.llm.common import annotate, fresh, hash_spans, load8, mix, n_batches, ranges, table, trim, utf8
 
 WIDTH, GRAM = 50, 20
 #: Distinct strips of one anchor beyond which its windows are dealt singly; one anchor's strips always fit a block.
@@ -461,8 +461,11 @@ def removed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with the repeated strings cut out of the text, same columns. Parts of characters that a cut leaves go too; a null text stays null."""
     made = removal(docs, id_col, text_col)
     new = made.columns[len(docs.columns) :]
-    kept = F.when(F.col(new[1]) == 0, F.col(text_col)).otherwise(F.regexp_replace(F.make_valid_utf8(F.col(new[3]).cast("string")), "�", ""))
-    made = made.withColumn(text_col, kept)
+    def begin():
+        return lambda kept: [pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())]
+
+    made = annotate(made, [new[3]], [("cut", "string")], begin)  # a U+FFFD of the text itself is valid and stays
+    made = made.withColumn(text_col, F.when(F.col(new[1]) == 0, F.col(text_col)).otherwise(F.col(made.columns[-1])))
     if length_col:
         made = made.withColumn(length_col, F.when(F.col(new[1]) == 0, F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
     return made.select(*docs.columns)
