@@ -143,9 +143,11 @@ def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: in
 
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """slot, shard, byte_offset, doc_id, part, ids (binary) of the slots in [start, stop); only shards that hold some are read."""
-    shards = spark.read.parquet(path).filter(F.col("first_slot") + F.col("n") > start)
+    shards = spark.read.parquet(path)
     if start:
-        shards = shards.filter(F.col("first_slot") >= max(0, start - (1 << 20)))  # reaches the file's statistics; no shard is longer
+        longest = shards.agg(F.max("n")).first()[0] or 0
+        shards = shards.filter(F.col("first_slot") > start - longest)  # reaches the file's statistics
+    shards = shards.filter(F.col("first_slot") + F.col("n") > start)
     if stop is not None:
         shards = shards.filter(F.col("first_slot") < stop)
 
