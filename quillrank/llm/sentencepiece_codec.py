@@ -3,14 +3,18 @@
 Encoding works on a score-ordered agenda of adjacent symbol pairs: the best-scoring pair that
 makes a piece is merged first, the leftmost one on equal scores, until no pair makes a piece.
 No piece of such a vocabulary holds the space mark after another character (this is checked when
-the model is loaded), so no merge crosses the end of a run "spaces, then other characters"; each
-such run is encoded by itself, and the results for runs are kept in the worker process up to a bound. Within
-every Arrow batch the ids of runs met for the first time are checked against the sentencepiece
-library; a difference raises. Decoding joins the pieces' bytes and is likewise checked.
+the model is loaded), so no merge crosses the end of a run "spaces, then other characters".
+
+An Arrow batch is cut into runs, equal runs are found by dictionary encoding, and only runs met for
+the first time are merged: many runs side by side, as rows of numpy matrices that hold each run's
+symbols, links to the neighbours and the agenda, one merge of every row a step. Ids and decoded
+bytes of all runs are then gathered with Arrow's take. A worker process keeps the ids of earlier
+runs up to a bound of bytes. In every batch the ids of all new runs, and the text decoded from them,
+are checked against the sentencepiece library; a difference raises.
 
 Defined results: null text is an empty text; an empty text has no ids and decodes to an empty
-text. Texts of any length are taken whole. Repeated rows give repeated results. Extra columns
-stay; on a name clash the result columns get leading underscores.
+text. Texts of any length are taken whole. Repeated rows give repeated results, an empty table an
+empty one. Extra columns stay; on a name clash the result columns get leading underscores.
 """
 
 from __future__ import annotations
@@ -19,19 +23,25 @@ import codecs
 import hashlib
 import heapq
 import re
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.llm.common import annotate, per_process, table
+from quillrank.llm.common import annotate, per_process, ranges, table, utf8
 
 SPACE = "▁"
 #: A run of blanks with what follows it up to the next blank.
 RUN = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
-#: Up to so many symbols the agenda is a plain list; beyond, a heap.
-SHORT = 48
-#: Encoded runs that a task keeps, and the longest run it keeps.
-KEPT_RUNS, KEPT_LENGTH = 250_000, 64
+#: Runs of more symbols than the last go through a heap one by one; the others lie in matrices of these widths.
+WIDTHS = (8, 12, 16, 24, 40)
+#: Bytes of runs, and number of runs, that a worker process keeps the ids of; the longest run it keeps.
+KEPT_BYTES, KEPT_RUNS, KEPT_LENGTH = 24 << 20, 600_000, 64
+#: Runs gathered at once, and bytes of a line that the library checks.
+PART, LINE = 1_000_000, 1024
+NONE = np.uint32(0xFFFFFFFF)
 
 
 class Vocabulary:
@@ -63,28 +73,71 @@ class Vocabulary:
                 self.raw.append(p.piece.replace(SPACE, " ").encode())
             else:
                 self.raw.append(b"")
+        if len(self.raw) > 1 << 16 or 0 in self.ids.values():
+            raise ValueError("at most 2^16 pieces are supported, and the first one must not stand for text")
+        if any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("a piece has a character that is no piece")
 
         #: Adjacent characters inside pieces: no merge joins any others.
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Piece of each character (0: none); blanks are space marks.
+        self.symbol = np.zeros(0x110000, np.uint16)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(" " if p == SPACE else p)] = i
+        self._pairs()
+        self.raw_array = pa.array(self.raw, pa.binary())
+        self.decimal = pa.array([b"%d," % i for i in range(len(self.raw))], pa.binary())
+
+    def _pairs(self) -> None:
+        """A hash table of all pairs of pieces that make a piece: its place in the order of scores, and its id."""
+        scores = np.array(sorted(set(self.rank.values())))
+        place = {s: k for k, s in enumerate(scores.tolist())}
+        #: With a score for each piece, a pair's place and id are compared as one number.
+        self.one_score = len(scores) == len(self.rank)
+        key, value = [], []
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    key.append(a << 16 | b)
+                    value.append(place[self.rank[p]] << 16 | i)
+        key, value = np.array(key, np.uint32), np.array(value, np.uint32)
+        bits = max(8, int(len(key) * 4).bit_length())
+        self.shift = np.uint32(32 - bits)
+        self.table_key, self.table_value = np.zeros((1 << bits) + 4096, np.uint32), np.full((1 << bits) + 4096, NONE)
+        todo, at = np.arange(len(key)), self._hash(key)
+        while len(todo):
+            free = self.table_key[at[todo]] == 0
+            some, first = np.unique(at[todo[free]], return_index=True)
+            won = todo[free][first]
+            self.table_key[some], self.table_value[some] = key[won], value[won]
+            lost = np.ones(len(key), bool)
+            lost[won] = False
+            todo = todo[lost[todo]]
+            at[todo] += 1
+
+    def _hash(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place in the order of scores and id of the piece that each pair makes (NONE: it makes none)."""
+        key = (a.astype(np.uint32) << np.uint32(16)) | b
+        at = self._hash(key)
+        have = self.table_key[at]
+        out = np.where(have == key, self.table_value[at], NONE)
+        todo = np.flatnonzero((have != key) & (have != 0))
+        while len(todo):
+            at[todo] += 1
+            have = self.table_key[at[todo]]
+            hit = have == key[todo]
+            out[todo[hit]] = self.table_value[at[todo[hit]]]
+            todo = todo[~hit & (have != 0)]
+        return out
 
     def merge(self, text: str) -> list[str]:
-        """The symbols left when no adjacent pair makes a piece."""
+        """The symbols left when no adjacent pair makes a piece, by a heap."""
         symbols, rank = list(text), self.rank
-        if len(symbols) <= SHORT:
-            none = float("inf")
-            agenda = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-            while agenda:
-                best = min(agenda)
-                if best == none:
-                    break
-                i = agenda.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-                del agenda[i]
-                if i < len(agenda):
-                    agenda[i] = rank.get(symbols[i] + symbols[i + 1], none)
-                if i:
-                    agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
-            return symbols
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         heap = [(r, i, i + 1, a + b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank.get(a + b)) is not None]
         heapq.heapify(heap)
@@ -105,9 +158,11 @@ class Vocabulary:
     def encode_run(self, run: str) -> list[int]:
         """Ids of one run, blanks given as space marks."""
         out: list[int] = []
-        for s in self.merge(run):
-            i = self.ids.get(s)
-            out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
+        cuts = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in self.inner]
+        for i, j in zip([0, *cuts], [*cuts, len(run)]):
+            for s in self.merge(run[i:j]):
+                k = self.ids.get(s)
+                out += [k] if k is not None else [self.byte_ids[b] for b in s.encode()]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -117,7 +172,86 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library's decode: a blank that leads the first piece goes; each byte that is no UTF-8 becomes a replacement character."""
         raw = b"".join([self.raw[i] for i in ids])
-        return decode_bytes(raw) if ids and ids[0] not in self.byte_ids.values() else to_text(raw)
+        return to_text(raw.removeprefix(b" ") if ids and ids[0] not in self.byte_ids.values() else raw)
+
+    def encode_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs, where each run's begin): the agendas of many runs side by side. Runs are UTF-8 with plain blanks."""
+        flat, offs = utf8(runs)
+        points = np.frombuffer(flat.tobytes().decode().encode("utf-32-le"), np.uint32)
+        begin = np.append(0, np.cumsum((flat & 0xC0) != 0x80, dtype=np.int64))[offs]
+        size = np.diff(begin)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (rows, ids a row, ids)
+        least = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((size > least) & (size <= width))
+            for k in range(0, len(rows), 1 << 16):
+                some = rows[k : k + (1 << 16)]
+                parts.append((some, *self._merge_rows(points, begin[some], size[some], width)))
+            least = width
+        for r in np.flatnonzero(size > least):
+            ids = np.array(self.encode_run(flat[offs[r] : offs[r + 1]].tobytes().decode().replace(" ", SPACE)), np.int32)
+            parts.append((np.array([r]), np.array([len(ids)]), ids))
+        count = np.zeros(len(runs), np.int64)
+        for rows, n, _ in parts:
+            count[rows] = n
+        out_begin = np.append(0, np.cumsum(count))
+        out = np.zeros(out_begin[-1], np.int32)
+        for rows, n, ids in parts:
+            out[ranges(out_begin[rows], n)] = ids
+        return out, out_begin
+
+    def _merge_rows(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each run, their ids) for runs of at most `width` symbols."""
+        n, stride = len(begin), width + 2  # a column before and one behind take writes past the ends
+        column = np.arange(stride)
+        real = (column > 0) & (column <= size[:, None])
+        place = np.minimum(begin[:, None] + np.maximum(column - 1, 0), len(points) - 1)
+        char = points[place]
+        symbols = np.where(real, self.symbol[char], np.uint16(0))
+        agenda = np.full((n, stride), NONE)
+        some = real[:, :-1] & real[:, 1:]
+        agenda[:, :-1][some] = self.look(symbols[:, :-1][some], symbols[:, 1:][some])
+        alive = real.copy()
+        after = np.tile((column + 1).astype(np.int16), n)
+        before = np.tile((column - 1).astype(np.int16), n)
+        s, a, live = symbols.ravel(), agenda.ravel(), alive.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            open_ = agenda[rows]
+            i = (open_ if self.one_score else open_ >> np.uint32(16)).argmin(axis=1)
+            best = open_[np.arange(len(rows)), i]
+            going = best != NONE
+            rows, i, best = rows[going], i[going], best[going]
+            base = rows * stride
+            left = base + i
+            right = base + after[left]
+            s[left] = best & np.uint32(0xFFFF)
+            live[right], a[right] = False, NONE
+            k = after[right]
+            after[left] = k
+            next_ = base + k
+            before[next_] = i
+            prev = base + before[left]
+            # Columns outside the run hold symbol 0, which no piece is made of.
+            a[left] = self.look(s[left], s[next_])
+            inside = before[left] > 0
+            a[prev[inside]] = self.look(s[prev[inside]], s[left[inside]])
+        ids = s[live].astype(np.int32)
+        count = alive.sum(axis=1)
+        unknown = np.flatnonzero(ids == 0)
+        if len(unknown):  # characters that are no piece become the ids of their bytes
+            what, which = np.unique(char.ravel()[live][unknown], return_inverse=True)
+            spelt = [[self.byte_ids[b] for b in chr(c).encode()] for c in what.tolist()]
+            length = np.array([len(x) for x in spelt])
+            repeat = np.ones(len(ids), np.int64)
+            repeat[unknown] = length[which]
+            owner = np.repeat(np.arange(n), count)
+            at = np.cumsum(repeat) - repeat
+            ids = np.repeat(ids, repeat)
+            pool, first = np.array(list(chain.from_iterable(spelt)), np.int32), np.cumsum(length) - length
+            ids[ranges(at[unknown], length[which])] = pool[ranges(first[which], length[which])]
+            count = np.bincount(owner, repeat, minlength=n).astype(np.int64)
+        return count, ids
 
 
 def to_text(raw: bytes) -> str:
@@ -125,78 +259,134 @@ def to_text(raw: bytes) -> str:
     try:
         return raw.decode()
     except UnicodeDecodeError:
-        codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+        codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
         return raw.decode("utf-8", errors="each_byte")
 
 
-def decode_bytes(raw: bytes) -> str:
-    return to_text(raw.removeprefix(b" "))
+def binary(offs: np.ndarray, data) -> pa.Array:
+    """A binary array over a buffer (the offsets must fit 32 bits)."""
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs.astype(np.int32))), pa.py_buffer(data)])
 
 
 class Codec:
-    """Encodes batches of texts, word by word, with the results of earlier words at hand.
-
-    A word stands for the run "one blank, then the word"; runs with other blanks are kept as they are.
-    """
+    """Encodes batches of texts, run by run, with the ids of earlier runs at hand."""
 
     def __init__(self, model: bytes, check: bool = True):
         self.vocabulary, self.check = Vocabulary(model), check
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
-
-    def part(self, text: str) -> tuple[bytes, bytes]:
-        """A piece of a run that no merge leaves: (its ids in decimal, a comma after each; its bytes decoded)."""
-        if (got := self.parts.get(text)) is None:
-            v = self.vocabulary
-            ids = v.encode_run(text)
-            got = ("".join([f"{i}," for i in ids]).encode(), b"".join([v.raw[i] for i in ids]))
-            if len(text) <= KEPT_LENGTH:
-                self.parts[text] = got
-        return got
-
-    def learn(self, runs: list[str]) -> list[tuple[bytes, bytes]]:
-        """The same for whole runs, given with space marks."""
-        out, inner, part = [], self.vocabulary.inner, self.part
-        for r in runs:
-            cuts = [i for i in range(1, len(r)) if r[i - 1 : i + 1] not in inner]
-            if not cuts:
-                out.append(part(r))
-                continue
-            made = [part(r[i:j]) for i, j in zip([0, *cuts], [*cuts, len(r)])]
-            out.append((b"".join([m[0] for m in made]), b"".join([m[1] for m in made])))
-        if self.check:
-            # The library puts a space mark before every text, so a run's own first one stays out.
-            at = [i for i, r in enumerate(runs) if r[0] == SPACE and len(r) > 1]
-            for i, ids in zip(at, self.vocabulary.library.encode([runs[i][1:] for i in at], num_threads=1)):
-                if ",".join(map(str, ids)) != out[i][0][:-1].decode():
-                    raise AssertionError(f"ids of {runs[i][:40]!r} differ from the library's")
-        return out
+        self.known = pa.array([], pa.binary())
+        #: Ids of the known runs, four bytes each.
+        self.held = pa.array([], pa.binary())
 
-    def batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """For each text (ids in decimal with a comma after each, decoded bytes before the leading blank is dropped)."""
-        split, known = [], self.known
-        for t in texts:
-            if not t:
-                split.append([])
-            elif "  " in t or SPACE in t or t[0] == " " or t[-1] == " ":
-                runs = RUN.findall((" " + t).replace(" ", SPACE))
-                split.append([r[1:] if len(r) > 1 and r[0] == SPACE != r[1] else r for r in runs])
+    def learn(self, runs: pa.Array) -> pa.Array:
+        """Ids of distinct runs (UTF-8, plain blanks), as 32-bit numbers."""
+        ids, begin = self.vocabulary.encode_runs(runs)
+        if self.check:
+            self._compare(runs, ids, begin)
+        return binary(4 * begin, ids)
+
+    def _compare(self, runs: pa.Array, ids: np.ndarray, begin: np.ndarray) -> None:
+        """The library's ids of lines of runs, and its text for these ids, must be ours. It puts a blank before a line, so a line's own first one stays out."""
+        flat, offs = utf8(runs)
+        blank = flat[offs[1:] - 1] == 32  # nothing but blanks: they would run on into the next run
+        lines, spans = [], []
+        i, n = 0, len(runs)
+        raw = flat.tobytes()
+        while i < n:
+            if blank[i]:
+                line, j, lead = "a" + raw[offs[i] : offs[i + 1]].decode(), i + 1, self.vocabulary.encode_run(SPACE + "a")
             else:
-                split.append(t.split(" "))
-        if len(known) > KEPT_RUNS:
-            known.clear()
-            self.parts.clear()
-        new = list(set().union(*split).difference(known))
-        made = dict(zip(new, self.learn([w if w[0] == SPACE else SPACE + w for w in new])))
-        known.update(made)
-        out = []
-        for runs in split:
-            ids, raw = zip(*[known[r] for r in runs]) if runs else ((), ())
-            out.append((b"".join(ids), b"".join(raw)))
-        for r in new:
-            if len(r) > KEPT_LENGTH:
-                del known[r]
-        return out
+                j = max(i + 1, int(np.searchsorted(offs, offs[i] + LINE, "right")) - 1)
+                stop = np.flatnonzero(blank[i:j])
+                j = i + int(stop[0]) if len(stop) else j
+                line, lead = raw[offs[i] + 1 : offs[j]].decode(), []
+            lines.append(line)
+            spans.append((i, j, lead))
+            i = j
+        library = self.vocabulary.library
+        said = library.encode(lines, num_threads=1, out_type="numpy")
+        for line, (i, j, lead), theirs in zip(lines, spans, said):
+            if not np.array_equal(theirs[len(lead) :], ids[begin[i] : begin[j]]) or theirs[: len(lead)].tolist() != lead:
+                raise AssertionError(f"ids of {line[:40]!r} differ from the library's")
+        made = pc.take(self.vocabulary.raw_array, pa.array(ids))
+        data, ends = utf8(made)
+        data = data.tobytes()
+        for text, (i, j, lead) in zip(library.decode(said, num_threads=1), spans):
+            ours = data[ends[begin[i]] : ends[begin[j]]].decode()
+            if text != ("a" + ours if lead else ours[1:]):
+                raise AssertionError(f"the text decoded from the ids of {ours[:40]!r} differs from the library's")
+
+    def runs_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all texts with a blank before each, where each run starts and the end, first run of each text and one more). Empty texts have no run."""
+        if pc.any(pc.match_substring(texts, SPACE)).as_py():
+            texts = pc.replace_substring(texts, SPACE, " ")
+        flat, offs = utf8(texts)
+        size = np.diff(offs)
+        some = size > 0
+        shift = np.cumsum(some)
+        begin = offs[:-1] + shift - some
+        out = np.full(len(flat) + int(shift[-1] if len(shift) else 0), 32, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[begin[some]] = False
+        out[inside] = flat
+        blank = out == 32
+        head = blank.copy()
+        head[1:] &= ~blank[:-1]
+        head[begin[some]] = True  # a text's end closes its last run
+        # A text's own leading blanks belong to its first run.
+        starts = np.flatnonzero(head)
+        return out, np.append(starts, len(out)), np.searchsorted(starts, np.append(begin, len(out)))
+
+    def pieces(self, texts: pa.Array):
+        """(first text, last text and one more, number of ids of each, ids as 32-bit numbers): parts of the batch in order; a text of many runs comes in several parts."""
+        flat, starts, first = self.runs_of(texts)
+        n, i, text = len(starts) - 1, 0, 0
+        while i < n:
+            j = min(n, i + PART)
+            lo, hi = starts[i], starts[j]
+            runs = binary(starts[i : j + 1] - lo, np.ascontiguousarray(flat[lo:hi])).dictionary_encode()
+            at = pc.index_in(runs.dictionary, value_set=self.known)
+            new = runs.dictionary.filter(pc.is_null(at))
+            made = self.learn(new)
+            pick = at.to_numpy(zero_copy_only=False)
+            pick = np.where(np.isnan(pick), 0, pick).astype(np.int64) if pick.dtype.kind == "f" else pick.astype(np.int64)
+            fresh = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+            pick[fresh] = len(self.known) + np.arange(len(fresh))
+            every = pa.concat_arrays([self.held, made])
+            got = every.take(pa.array(pick)).take(runs.indices)
+            data, ends = utf8(got)
+            ids, ends = data.view(np.int32) if len(data) else np.zeros(0, np.int32), ends // 4
+            self._keep(new, made)
+            last = int(np.searchsorted(first, j, "left"))  # texts that begin before run j
+            bounds = np.clip(first[text : last + 1], i, j) - i
+            yield text, last, np.diff(ends[bounds]), ids
+            text = last if first[last] == j else last - 1
+            i = j
+
+    def _keep(self, new: pa.Array, made: pa.Array) -> None:
+        """The newest runs first, as many as the bounds allow."""
+        short = pc.less_equal(pc.binary_length(new), KEPT_LENGTH)
+        known, held = pa.concat_arrays([new.filter(short), self.known]), pa.concat_arrays([made.filter(short), self.held])
+        if len(known) > KEPT_RUNS or known.nbytes + held.nbytes > KEPT_BYTES:
+            # Down to half, so that the oldest go seldom.
+            size = np.cumsum(pc.binary_length(known).to_numpy() + pc.binary_length(held).to_numpy() + 8)
+            n = min(KEPT_RUNS // 2, int(np.searchsorted(size, KEPT_BYTES // 2)))
+            known, held = pa.concat_arrays([known.slice(0, n)]), pa.concat_arrays([held.slice(0, n)])
+        self.known, self.held = known, held
+
+    def text_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decoded bytes of all ids, and where each id's begin."""
+        return utf8(pc.take(self.vocabulary.raw_array, pa.array(ids)))
+
+    def batch(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
+        """For each text its ids and the text decoded from them."""
+        ids, raw = [[] for _ in texts], [[] for _ in texts]
+        for s, e, counts, part in self.pieces(pc.fill_null(pa.array(texts, pa.string()), "")):
+            data, ends = self.text_bytes(part)
+            at = np.append(0, np.cumsum(counts))
+            for t, i, j in zip(range(s, e), at[:-1].tolist(), at[1:].tolist()):
+                ids[t] += part[i:j].tolist()
+                raw[t].append(data[ends[i] : ends[j]].tobytes())
+        return [(i, to_text(b"".join(r).removeprefix(b" "))) for i, r in zip(ids, raw)]
 
 
 def load_model(path: str, limit: int = 64 << 20) -> bytes:
@@ -213,20 +403,6 @@ def codec_starter(spark: SparkSession, model_path: str, check: bool):
     return lambda: per_process(("codec", hashlib.sha256(model.value).digest(), check), lambda: Codec(model.value, check))
 
 
-def small_lists(texts: pa.Array, size: int = 2 << 20):
-    """The texts in lists of at most `size` characters together (a longer text alone)."""
-    held, total = [], 0
-    for t in texts:
-        t = t.as_py()
-        if held and total + len(t or "") > size:
-            yield held
-            held, total = [], 0
-        held.append(t)
-        total += len(t or "")
-    if held:
-        yield held
-
-
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """docs with ids array<int> and decoded string."""
     start = codec_starter(docs.sparkSession, model_path, check)
@@ -235,12 +411,24 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", chec
         codec = start()
 
         def step(texts):
-            ids, decoded = [], []
-            for part in small_lists(texts):
-                for joined, raw in codec.batch(part):
-                    ids.append(list(map(int, joined[:-1].split(b","))) if joined else [])
-                    decoded.append(decode_bytes(raw))
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            texts = pc.fill_null(texts.cast(pa.string()), "")
+            total, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            ids, raw = [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+            for s, e, counts, part in codec.pieces(texts):
+                data, ends = codec.text_bytes(part)
+                at = np.append(0, np.cumsum(counts))
+                head = (total[s:e] == 0) & (counts > 0)  # the blank that leads a text's first run goes
+                total[s:e] += counts
+                size[s:e] += np.diff(ends[at]) - head
+                stay = np.ones(len(data), bool)
+                stay[ends[at[:-1][head]]] = False
+                ids.append(part)
+                raw.append(data[stay])
+            ids, raw = np.concatenate(ids), np.concatenate(raw)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(total)).astype(np.int32)), pa.array(ids))
+            texts_out = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(raw)])
+            texts_out.validate(full=True)
+            return [lists, texts_out]
 
         return step
 
@@ -255,13 +443,25 @@ def encode_digest(docs: DataFrame, model_path: str, text_col: str = "text", chec
         codec = start()
 
         def step(texts):
-            n, a, b = [], [], []
-            for part in small_lists(texts):
-                for joined, raw in codec.batch(part):
-                    n.append(joined.count(b","))
-                    a.append(hashlib.sha256(joined[:-1]).hexdigest())
-                    b.append(hashlib.sha256(decode_bytes(raw).encode()).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            texts = pc.fill_null(texts.cast(pa.string()), "")
+            total = np.zeros(len(texts), np.int64)
+            of_ids, of_text = [None] * len(texts), [None] * len(texts)
+            for s, e, counts, part in codec.pieces(texts):
+                data, ends = codec.text_bytes(part)
+                said, stops = utf8(pc.take(codec.vocabulary.decimal, pa.array(part)))
+                at = np.append(0, np.cumsum(counts))
+                for t, i, j, k, m, x, y in zip(range(s, e), *(z.tolist() for z in (at[:-1], at[1:], stops[at[:-1]], stops[at[1:]], ends[at[:-1]], ends[at[1:]]))):
+                    if i == j:
+                        continue
+                    if of_ids[t] is None:
+                        of_ids[t], of_text[t] = hashlib.sha256(said[k : m - 1]), hashlib.sha256(data[x + 1 : y])
+                    else:  # a text that goes on from the part before
+                        of_ids[t].update(b",")
+                        of_ids[t].update(said[k : m - 1])
+                        of_text[t].update(data[x:y])
+                total[s:e] += counts
+            none = hashlib.sha256(b"")
+            return [pa.array(total), *[pa.array([(h or none).hexdigest() for h in x], pa.string()) for x in (of_ids, of_text)]]
 
         return step
 

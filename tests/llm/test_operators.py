@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quillrank.llm import chat_format, decontaminate, kneser_ney, language, linear, minhash_join, sentencepiece_codec, suffix_dedup, topk_search, toxicity, training_order
@@ -185,15 +186,56 @@ def test_codec_equals_library():
     model = sentencepiece_codec.load_model(sentencepiece_codec.default_model())
     c = sentencepiece_codec.Codec(model)
     cases = ODD + texts(9, 30)
-    for text, (joined, raw), ids in zip(cases, c.batch(cases), c.vocabulary.library.encode(cases)):
-        assert [int(x) for x in joined[:-1].split(b",") if x] == ids == c.vocabulary.encode(text)
-        assert sentencepiece_codec.decode_bytes(raw) == c.vocabulary.library.decode(ids)
+    for text, (got, decoded), ids in zip(cases, c.batch(cases), c.vocabulary.library.encode(cases)):
+        assert got == ids == c.vocabulary.encode(text)
+        assert decoded == c.vocabulary.library.decode(ids)
     r = random.Random(2)
+    odd = ["".join(r.choice("ab  ▁é☃\n\t.the  日本語😀ñ ") for _ in range(r.randint(1, 80))) for _ in range(500)]
+    assert [ids for ids, _ in c.batch(odd)] == c.vocabulary.library.encode(odd)
     for _ in range(200):
         ids = [r.choice([r.randrange(3, 32000), r.randrange(3, 259)]) for _ in range(r.randrange(9))]
         assert c.vocabulary.decode(ids) == c.vocabulary.library.decode(ids)
 
 
+def test_codec_in_small_parts_and_with_few_kept_runs(monkeypatch):
+    model = sentencepiece_codec.load_model(sentencepiece_codec.default_model())
+    whole = sentencepiece_codec.Codec(model).batch(ODD + texts(9, 30))
+    monkeypatch.setattr(sentencepiece_codec, "PART", 7)
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_RUNS", 20)
+    assert sentencepiece_codec.Codec(model).batch(ODD + texts(9, 30)) == whole
+
+
+def test_codec_notices_wrong_ids_and_wrong_text():
+    model = sentencepiece_codec.load_model(sentencepiece_codec.default_model())
+    for spoil in ("ids", "text"):
+        c = sentencepiece_codec.Codec(model)
+        if spoil == "ids":
+            c.vocabulary.symbol[ord("q")] = c.vocabulary.ids["w"]
+        else:
+            raw = list(c.vocabulary.raw)
+            raw[c.vocabulary.encode("quite")[-1]] = b"?"
+            c.vocabulary.raw_array = pa.array(raw, pa.binary())
+        with pytest.raises(AssertionError):
+            c.batch(["a quite plain text"])
+
+
+def test_encode_digest_equals_library(spark):
+    path = sentencepiece_codec.default_model()
+    library = sentencepiece_codec.Vocabulary(sentencepiece_codec.load_model(path)).library
+    rows = [(i, t, "x") for i, t in enumerate([None, *ODD, *texts(9, 30), ODD[-3]])]
+    made = sentencepiece_codec.encode_digest(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3), path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, t, _ in rows:
+        ids = library.encode(t or "")
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))))
+    assert sort(made.select("doc_id", "_n_tokens", "ids_sha256", "decoded_sha256").collect()) == sort(want)
+
+
+def test_encode_decode_empty_table(spark, empty):
+    assert sentencepiece_codec.encode_decode(empty, sentencepiece_codec.default_model()).count() == 0
+
+
 def test_encode_decode_keeps_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a b", None)], "doc_id long, text string, ids string")
     made = sentencepiece_codec.encode_decode(df, sentencepiece_codec.default_model())
