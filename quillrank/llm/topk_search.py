@@ -6,29 +6,39 @@ greedily among them at a smaller radius, and the first child keeps the parent's
 few points is a leaf, and points that no well-filled child covers are leaves of their own. Two trees are searched together: the inner product of any query and any
 candidate below a pair of nodes is at most q.c + |q| rc + |c| rq + rq rc for centres q, c and
 covering radii rq, rc, and the pair is dropped if that is under the worst kth score held for the
-queries of the query node. Equal bounds stay, so ties go to the smaller id.
+queries of the query node. Leaves that meet are bounded for each query by itself, q.c + |q| rc,
+before products are made. Equal bounds stay, so ties go to the smaller id. How much this prunes is a
+matter of the vectors: clustered ones are pruned well, directions spread evenly over many dimensions
+not at all (see the README).
 
-The queries (a stated set) go over all candidates in blocks of a checked size; candidates stream
-through as Arrow batches, and a task keeps its best scores from batch to batch.
+The queries (a stated set) are dealt into blocks by a hash of the id and written; one block after
+another goes over all candidates: the block is broadcast, candidates stream through as Arrow
+batches, a task keeps its best scores from batch to batch, and a block's results are written
+before the next one starts, so neither a plan nor a task grows with the number of blocks.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
-rows with a null id or of another length than the first query. Equal vectors under different ids are
-different candidates; a candidate with the query's own id is left out. Integer products must stay
-below 2^53 in size; larger ones raise. Extra columns don't matter.
+rows with a null id. Vectors of different lengths do not meet: a query's candidates are the
+vectors of its own length (none: no row). Equal vectors under different ids are different candidates; a candidate
+with the query's own id is left out. Products are exact: by doubles below 2^53, by 64-bit integers
+below 2^62, by integers of any size beyond; a score that no long can hold is given as the largest or
+smallest long, and such scores tie. An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import table
+from quillrank.llm.common import shared_dir, table, written
 
 SCALE, K, EVERY = 64, 20, 20
-#: Points in a leaf; candidates in one tree; queries in one block.
-LEAF, TREE, BLOCK = 128, 8192, 8192
+#: Points in a leaf; candidates in one tree; queries in one block, about.
+LEAF, TREE, BLOCK = 128, 8192, 16384
+NONE, NOBODY = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Candidates of the most promising leaves that a query leaf looks at in one go.
 WIDE = 1024
 #: A level's radius over the next one's, and most children of a node: in many dimensions distances are alike, and halving would leave single points.
@@ -58,7 +68,7 @@ class CoverTree:
         self.radius.append(far)
         self.run.append((s, e))
         self.children.append([])
-        if e - s <= leaf or far == 0:
+        if e - s <= leaf or far == 0 or not np.isfinite(far):  # distances beyond doubles are not told apart
             return node
         left, near, bound = self.order[s:e].copy(), dist, far / BASE
         at, first = s, True
@@ -96,22 +106,44 @@ class CoverTree:
 
 
 class Search:
-    """Top-k state of a block of queries, fed with batches of candidates."""
+    """Top-k state of a block of queries of one length, fed with batches of candidates. products: inner products made, of `possible` ones."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.tree, self.ids, self.x, self.k = CoverTree(x), ids, x, k
-        self.scores = np.full((len(ids), k), -np.inf)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.most = float(np.abs(x).sum(axis=1).max(initial=0))
+        self.scores = np.full((len(ids), k), NONE)
+        self.found = np.full((len(ids), k), NOBODY)
+        self.products = self.possible = 0
 
     def feed(self, ids: np.ndarray, x: np.ndarray) -> None:
-        t = CoverTree(x)
-        if not t.center or not self.tree.center:
+        self.possible += len(ids) * len(self.ids)
+        if not len(ids) or not len(self.ids):
+            return
+        most = float(np.abs(x).max(initial=0))
+        # How products stay exact.
+        self.kind = np.float64 if self.most * most < 2**53 else np.int64 if max(self.most * most, self.most, most) < 2**62 else object
+        if self.kind is object:  # bounds in doubles could overflow: block against block
+            for r in range(0, len(self.ids), 64):
+                for c in range(0, len(ids), WIDE):
+                    self._leaf(np.arange(r, min(r + 64, len(self.ids))), np.arange(c, min(c + WIDE, len(ids))), x, ids)
             return
-        self._visit(0, t, ids, np.zeros(1, np.int64))
+        self._visit(0, CoverTree(x), ids, np.zeros(1, np.int64))
+
+    def _products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        self.products += len(a) * len(b)
+        if self.kind is np.float64:
+            return (a @ b.T).astype(np.int64)
+        if self.kind is np.int64:
+            return a.astype(np.int64) @ b.astype(np.int64).T
+        whole = np.vectorize(int, otypes=[object])
+        big = whole(a).dot(whole(b).T) if a.size and b.size else np.zeros((len(a), len(b)), object)
+        # The smallest long stands for "none", so clipped scores end one above it.
+        return np.minimum(np.maximum(big, NONE + 1), NOBODY).astype(np.int64)
 
     def _bounds(self, q: int, t: CoverTree, nodes: np.ndarray) -> np.ndarray:
         rq, nq, r, norm = self.tree.radii[q], self.tree.norms[q], t.radii[nodes], t.norms[nodes]
-        return t.centers[nodes] @ self.tree.centers[q] + nq * r + norm * rq + rq * r + 1e-6 * (1 + norm * nq)
+        bounds = t.centers[nodes] @ self.tree.centers[q] + nq * r + norm * rq + rq * r + 1e-6 * (1 + norm * nq)
+        return np.where(np.isnan(bounds), np.inf, bounds)
 
     def _visit(self, q: int, t: CoverTree, ids: np.ndarray, nodes: np.ndarray) -> None:
         """The queries below q against the candidates below `nodes`; the wider of both sides is opened next."""
@@ -131,28 +163,49 @@ class Search:
             if not inner.any():
                 break
             nodes = np.concatenate([nodes[~inner], *[np.array(t.children[i]) for i in nodes[inner]]])
-        best = np.argsort(-bounds, kind="stable")
-        size = np.cumsum([t.run[i][1] - t.run[i][0] for i in nodes[best]])
-        for part in np.split(best, np.searchsorted(size, np.arange(WIDE, size[-1], WIDE))):
-            part = part[bounds[part] >= self.scores[rows, -1].min()]
-            if len(part):
-                self._leaf(rows, np.concatenate([t.order[slice(*t.run[i])] for i in nodes[part]]), t, ids)
-
-    def _leaf(self, rows: np.ndarray, at: np.ndarray, t: CoverTree, ids: np.ndarray) -> None:
+        self._leaves(rows, t, ids, nodes[np.argsort(-bounds, kind="stable")])
+
+    def _leaves(self, rows: np.ndarray, t: CoverTree, ids: np.ndarray, nodes: np.ndarray) -> None:
+        """A query leaf against candidate leaves, with a bound for each query by itself."""
+        x = self.x[rows]
+        norm = np.linalg.norm(x, axis=1)[:, None]
+        bound = x @ t.centers[nodes].T + norm * t.radii[nodes] + 1e-6 * (1 + norm * t.norms[nodes])
+        bound[np.isnan(bound)] = np.inf
+        points = [t.order[slice(*t.run[i])] for i in nodes]
+        todo = np.ones(bound.shape, bool)
+        if (self.scores[rows, -1] == NONE).any():  # each query's most promising leaf first
+            first = bound.argmax(axis=1)
+            for n in np.unique(first):
+                self._leaf(rows[first == n], points[n], t.x, ids)
+            todo[np.arange(len(rows)), first] = False
+        size = np.cumsum([len(p) for p in points])
+        for part in np.split(np.arange(len(nodes)), np.searchsorted(size, np.arange(WIDE, size[-1], WIDE))):
+            open_ = todo[:, part] & (bound[:, part] >= self.scores[rows, -1][:, None])
+            some = open_.any(axis=1)
+            if not some.any():
+                continue
+            if todo[:, part].all() and open_.mean() > 0.5:
+                self._leaf(rows[some], np.concatenate([points[n] for n in part]), t.x, ids)
+                continue
+            for n, col in zip(part, open_.T):
+                if col.any():
+                    self._leaf(rows[col], points[n], t.x, ids)
+
+    def _leaf(self, rows: np.ndarray, at: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
         """All products of some queries and candidates; those that reach a query's kth score are merged into its best."""
-        score = self.x[rows] @ t.x[at].T
-        score[ids[at][None, :] == self.ids[rows][:, None]] = -np.inf
+        score = self._products(self.x[rows], x[at])
+        score[ids[at][None, :] == self.ids[rows][:, None]] = NONE
         bound = self.scores[rows, -1]
         if score.shape[1] > self.k:
             bound = np.maximum(bound, np.partition(score, -self.k, axis=1)[:, -self.k])
-        r, c = np.nonzero((score >= bound[:, None]) & np.isfinite(score))
+        r, c = np.nonzero((score >= bound[:, None]) & (score > NONE))
         some = np.unique(r)
         if not len(some):
             return
         row = np.concatenate([np.repeat(some, self.k), r])
         value = np.concatenate([self.scores[rows[some]].ravel(), score[r, c]])
         who = np.concatenate([self.found[rows[some]].ravel(), ids[at[c]]])
-        order = np.lexsort((who, -value, row))
+        order = np.lexsort((who, ~value, row))
         row = row[order]
         seat = np.arange(len(row)) - np.searchsorted(row, row)
         take = order[seat < self.k]
@@ -160,77 +213,67 @@ class Search:
         self.found[rows[some]] = who[take].reshape(-1, self.k)
 
 
-def quantise(vectors: pa.Array, ids: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, integer vectors as doubles) of the rows that take part."""
+def quantise(vectors: pa.Array, ids: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (ids, integer vectors as doubles) of the rows that take part."""
     if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
+        vectors, ids = vectors.combine_chunks(), ids.combine_chunks()
     rows = np.flatnonzero(~(vectors.is_null().to_numpy(zero_copy_only=False) | ids.is_null().to_numpy(zero_copy_only=False)))
-    vectors, ids = vectors.take(pa.array(rows)), ids.take(pa.array(rows))
+    vectors, ids = vectors.take(pa.array(rows)), ids.take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components: nan
     size = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, np.int64)
-    if width is None:
-        width = int(size[0]) if len(size) else 0
-    ok = size == width
-    flat = flat[np.repeat(ok, size)].reshape(-1, width) if width else np.zeros((int(ok.sum()), 0))
-    good = np.isfinite(flat).all(axis=1)
-    return ids.to_numpy(zero_copy_only=False).astype(np.int64)[ok][good], np.floor(flat[good] * SCALE)
-
-
-def blocks_of(queries: DataFrame, id_col: str, vec_col: str, block: int):
-    """The queries in blocks of at most `block` rows."""
-    ids, rows = [], []
-    for i, v in queries.select(id_col, vec_col).toLocalIterator():
-        ids.append(i)
-        rows.append(v)
-        if len(ids) == block:
-            yield pa.array(rows, pa.list_(pa.float64())), pa.array(ids, pa.int64())
-            ids, rows = [], []
-    if ids:
-        yield pa.array(rows, pa.list_(pa.float64())), pa.array(ids, pa.int64())
+    out = {}
+    for width in np.unique(size).tolist():
+        ok = size == width
+        x = np.floor(flat[np.repeat(ok, size)].reshape(-1, width) * SCALE) if width else np.zeros((int(ok.sum()), 0))
+        good = np.isfinite(x).all(axis=1)
+        out[width] = (ids[ok][good], x[good])
+    return out
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query."""
     spark = queries.sparkSession
     shape = "query_id long, vec_id long, score long"
-    out, width = None, None
-    for vectors, ids in blocks_of(queries, id_col, vec_col, block):
-        qid, qx = quantise(vectors, ids, width)
-        if not len(qid):
-            continue
-        width = qx.shape[1]
-        shared = spark.sparkContext.broadcast((qid, qx))  # at most `block` rows
-
-        def search(batches, shared=shared, width=width):
-            ids, x = shared.value
-            state, most = Search(ids, x, k), float(np.abs(x).sum(axis=1).max(initial=0))
-            held_i, held_x, held = [], [], 0
-
-            def flush():
-                if held:
-                    state.feed(np.concatenate(held_i), np.concatenate(held_x))
+    live = queries.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+    asked = live.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    blocks = -(-asked.count() // block)
+    asked = written(asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1)))).repartition("b"))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([], shape).write.parquet(path)
+    for b in range(blocks):
+        rows = asked.filter(F.col("b") == b).select("id", "v").toArrow()  # about `block` rows
+        held = quantise(rows.column("v"), rows.column("id"))
+        del rows
+        shared = spark.sparkContext.broadcast(held)
+
+        def search(batches, shared=shared):
+            states = {w: Search(ids, x, k) for w, (ids, x) in shared.value.items() if len(ids)}
+            waiting: dict[int, list] = {w: [] for w in states}
+
+            def flush(w):
+                if waiting[w]:
+                    ids, x = zip(*waiting[w])
+                    waiting[w] = []
+                    states[w].feed(np.concatenate(ids), np.concatenate(x))
 
             for batch in batches:
                 for s in range(0, batch.num_rows, TREE):
-                    cid, cx = quantise(batch.column(1).slice(s, TREE), batch.column(0).slice(s, TREE), width)
-                    if most * float(np.abs(cx).max(initial=0)) >= 2**53:
-                        raise OverflowError("inner products reach 2^53")
-                    held_i.append(cid)
-                    held_x.append(cx)
-                    held += len(cid)
-                    if held >= TREE:
-                        flush()
-                        held_i, held_x, held = [], [], 0
-            flush()
-            row, col = np.nonzero(np.isfinite(state.scores))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(state.found[row, col]), pa.array(state.scores[row, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-        found = candidates.select(id_col, vec_col).mapInArrow(search, shape)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], shape)
+                    for w, (cid, cx) in quantise(batch.column(1).slice(s, TREE), batch.column(0).slice(s, TREE)).items():
+                        if w in states:
+                            waiting[w].append((cid, cx))
+                            if sum(len(i) for i, _ in waiting[w]) >= TREE:
+                                flush(w)
+            for w, state in states.items():
+                flush(w)
+                row, col = np.nonzero(state.found != NOBODY)
+                yield pa.RecordBatch.from_arrays([pa.array(state.ids[row]), pa.array(state.found[row, col]), pa.array(state.scores[row, col])], names=["query_id", "vec_id", "score"])
+
+        found = candidates.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(search, shape)
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found.withColumn("rank", best).filter(F.col("rank") <= k).drop("rank").write.mode("append").parquet(path)
+        shared.unpersist()
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(shape).parquet(path).withColumn("rank", best).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,32 @@ def test_top_k_equals_brute_force(spark):
         assert sorted(got[i]) == [(k + 1, j, s[j]) for k, j in enumerate(order)]
 
 
+def test_top_k_of_mixed_lengths_and_huge_vectors(spark):
+    big = [[3.0, -2e8], [1e8, 1e7], [2e8, 5.0], [-1e16, 7e15], [1e300, -1e300], [1e300, 1e300]]
+    rows = [(0, [1.0]), (1, [2.0]), (20, [0.5, 0.25]), (2, [1.0, 1.0]), (3, [1.0, 1.0])] + [(40 + 20 * i, v) for i, v in enumerate(big)]
+    df = spark.createDataFrame([(*r, "taken") for r in rows], "vec_id long, embedding array<double>, score string").repartition(2)
+    got = {}
+    for r in topk_search.top_k(df.filter("vec_id % 20 = 0"), df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    hold = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    for i in [i for i, _ in rows if i % 20 == 0]:
+        s = {j: hold(sum(a * b for a, b in zip(whole[i], whole[j]))) for j in whole if j != i and len(whole[j]) == len(whole[i])}
+        assert sorted(got[i]) == [(k + 1, j, s[j]) for k, j in enumerate(sorted(s, key=lambda j: (-s[j], j)))]
+
+
+def test_search_prunes_clusters():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 40
+    x = np.floor(64 * (centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))))
+    state = topk_search.Search(np.arange(0, 6000, 20), x[::20], 20)
+    state.feed(np.arange(6000), x)
+    assert state.products < 0.5 * state.possible == 0.5 * 300 * 6000
+    s = (x[::20] @ x.T).astype(np.int64)
+    s[np.arange(300), np.arange(0, 6000, 20)] = topk_search.NONE
+    assert (np.sort(state.scores, axis=1)[:, ::-1] == np.sort(s, axis=1)[:, ::-1][:, :20]).all()
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(1).normal(size=(500, 5))
     t = topk_search.CoverTree(x, leaf=8)
