@@ -2,16 +2,18 @@
 
 Documents with the same words in the same order form a class, and only classes go on. The numbers
 of bands and rows follow from the wanted recall at the similarity bound. Classes meet by a shuffle
-on band hashes; every bucket links its classes with its smallest one, and connected components of
-those links hold every pair that shares a bucket. Inside a component the pairs are counted block
-against block on the full shingle sets: a component of many classes is dealt into blocks by hash,
-and each pair of blocks is a task of its own. No pair is written out: a block pair gives each
-class its number of links and one link that keeps linked classes together.
+on band hashes. Each class's home is the smallest class that it shares a bucket with; classes of one
+home are a block, a home of many classes is dealt into blocks by hash. Two blocks (or a block and
+itself) are compared if some bucket has classes of both, each such block pair once, in a task of its
+own, on the full shingle sets; so classes that a chain of buckets joins don't all meet. No pair is
+written out: a block pair gives each class its number of links and one link that keeps linked classes
+together, and connected components of these are the groups.
 
 Defined results: documents without words link to nothing and are a group of their own. Null ids
 come out with a null class and no links. Words are runs of 0-9, A-Z in either case and non-ASCII
 characters. A text of fewer than five words has one shingle of all. Rows that repeat a doc_id are
-copies of each other if their words agree. Extra columns don't matter.
+judged by their own words: copies if these agree, else classes apart. Classes are told apart by 128
+bits of hash, in links by 64 of them. An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import chunks, mix, shingles, table, trim, utf8, words, written
+from quillrank.llm.common import annotate, chunks, mix, shingles, table, trim, utf8, words, written
 
 SHINGLE, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
-#: Classes of one component that are compared with each other in one go.
-BLOCK = 512
+#: Classes of one block; two blocks are compared in one go.
+BLOCK = 256
 #: Bits of the broadcast filter: at most 2^17 rows of two longs, however many documents there are.
 FILTER_BITS = 1 << 23
 
@@ -48,6 +50,31 @@ def set_bounds(x: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[new], np.searchsorted(owner[new], np.arange(len(begin)))
 
 
+def sequence_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's sequence of words (0 without words)."""
+    n = len(first) - 1
+    some = np.flatnonzero(np.diff(first) > 0)
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if len(some):
+        seat = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        spread = mix(h ^ (seat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        one[some] = np.add.reduceat(spread, first[:-1][some])
+        two[some] = np.add.reduceat(mix(spread ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[:-1][some])
+    return one, two
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same for an Arrow array of texts."""
+    flat, offs = utf8(texts)
+    ones, twos = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i, j in chunks(offs):
+        h, _, _, first, _ = words(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        one, two = sequence_hashes(h, first)
+        ones.append(one)
+        twos.append(two)
+    return np.concatenate(ones), np.concatenate(twos)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     """doc_id, two hashes of the word sequence, and the band hashes as packed longs (null without words)."""
 
@@ -59,14 +86,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             for i, j in chunks(offs):
                 h, _, _, first, _ = words(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 some = np.flatnonzero(np.diff(first) > 0)
-                seat = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-                one, two = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
+                one, two = sequence_hashes(h, first)
                 keys = np.zeros((j - i, bands), np.uint64)
                 if len(some):
-                    at = first[:-1][some]
-                    spread = mix(h ^ (seat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-                    one[some] = np.add.reduceat(spread, at)
-                    two[some] = np.add.reduceat(mix(spread ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                     x, begin = shingles(h, first, SHINGLE)
                     at = begin[:-1][some]
                     for b in range(bands):
@@ -122,10 +144,9 @@ def marked(rows: DataFrame, col: str, members: DataFrame, key: str) -> DataFrame
 def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
     """For each block pair in a bin: links of each class, weighted by the other class's documents, and its smallest linked class."""
     flat, offs = utf8(rows.column("text"))
-    rep, n, comp, i, j, blk = (rows.column(c).to_numpy() for c in ("rep", "n", "comp", "i", "j", "blk"))
-    order = np.lexsort((rep, j, i, comp))
-    edge = np.append(True, (comp[order][1:] != comp[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])) if len(order) else np.zeros(0, bool)
-    heads = np.append(np.flatnonzero(edge), len(order))
+    rep, n, pair, side, two = (rows.column(c).to_numpy() for c in ("rep", "n", "pair", "side", "two"))
+    order = np.lexsort((rep, pair))
+    heads = np.append(np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
     out_rep, out_n, out_link = [], [], []
     k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()
     for s, e in zip(heads[:-1], heads[1:]):
@@ -133,8 +154,8 @@ def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
         sets, keep = [], []
         for d in g:
             h, _, _, first, _ = words(flat[offs[d] : offs[d + 1]], np.array([0, offs[d + 1] - offs[d]]))
-            spread = mix(h ^ (np.arange(len(h), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            if len(h) and np.int64(np.add.reduce(spread).view(np.int64)) == k1[d] and np.add.reduce(mix(spread ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64) == k2[d] and not (keep and rep[keep[-1]] == rep[d]):
+            one, two_ = (x.view(np.int64)[0] for x in sequence_hashes(h, first))
+            if len(h) and one == k1[d] and two_ == k2[d] and not (keep and rep[keep[-1]] == rep[d]):
                 sets.append(np.unique(shingles(h, first, SHINGLE)[0]))
                 keep.append(d)
         g = np.array(keep, np.int64)
@@ -157,8 +178,8 @@ def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
             inter += x @ x.T
         linked = inter >= similarity * (size[:, None] + size[None, :] - inter) - 1e-9
         np.fill_diagonal(linked, False)
-        if i[g[0]] != j[g[0]]:  # pairs inside a block are counted by the block with itself
-            linked &= blk[g][:, None] != blk[g][None, :]
+        if two[g[0]]:  # pairs inside a block are counted by the block with itself
+            linked &= side[g][:, None] != side[g][None, :]
         label = np.arange(m)
         while True:
             least = np.minimum(label, np.where(linked, label[None, :], m).min(axis=1))
@@ -175,39 +196,66 @@ def link_blocks(rows: pa.Table, similarity: float) -> pa.Table:
     return pa.table([cat(out_rep), cat(out_n), cat(out_link)], names=["rep", "links", "link"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (smallest id among all documents that links join), copy_id (smallest id with the same words), n_links (documents at or over the similarity, copies included)."""
+def candidate_blocks(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (key, rep): blocks (rep, blk) of the classes that share a bucket, and (blk, pair, side, two) for the block pairs that each block is part of."""
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "low")
+    shared = written(keys.join(buckets, "key"))
+    home = shared.groupBy("rep").agg(F.min("low").alias("home"))
+    size = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
+    blocks = written(home.join(size, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("blk")))
+    # A bucket's blocks, and not its classes, make pairs; most buckets lie in one block, and many hold the same blocks.
+    met = shared.select("key", "rep").join(blocks, "rep").select("key", "blk").distinct()
+    sets = met.groupBy("key").agg(F.array_sort(F.collect_set("blk")).alias("bs")).select("bs").distinct()
+    pairs = sets.select("bs", F.explode("bs").alias("a")).select("a", F.explode(F.filter("bs", lambda x: x >= F.col("a"))).alias("b")).distinct()
+    pairs = pairs.select("a", "b", F.xxhash64("a", "b").alias("pair"), (F.col("a") != F.col("b")).alias("two"))
+    left = pairs.select(F.col("a").alias("blk"), "pair", F.lit(0).alias("side"), "two")
+    return blocks, written(left.union(pairs.filter("two").select(F.col("b").alias("blk"), "pair", F.lit(1).alias("side"), "two")))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with words and an id: (doc_id, k1, k2, rep, copy_id, n_links, group); and the other rows' signatures. rep stands for a class, group for the group's smallest rep."""
     bands, rows = bands_for(similarity, recall)
     sigs = written(signatures(docs, id_col, text_col, bands, rows))
     live = sigs.filter("bands is not null and doc_id is not null")
-    classes = written(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    # A doc_id that is the smallest of several classes (rows that repeat it with other words) stands for each by itself.
-    keys = unpack_bands(classes, bands)
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key", "low")
-    links = keys.join(buckets, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    found = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "comp")
-    size = found.groupBy("comp").agg(F.count("*").alias("m"))
-    blocks = found.join(size, "comp").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("k")))
-    members = written(blocks.join(classes.select("rep", "k1", "k2", "n"), "rep").select("comp", "rep", "k1", "k2", "n", "k", "blk"))
-    bins = max(256, members.count() // 256)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = marked(texts, "rep", members, "rep").filter("_likely").join(members, "rep").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    held = held.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).withColumn("bin", F.pmod(F.when(F.col("k") == 1, F.xxhash64("comp")).otherwise(F.xxhash64("comp", "i", "j")), F.lit(bins)))
-    pairs = written(held.select("bin", "comp", "i", "j", "blk", "rep", "k1", "k2", "n", "text").groupBy("bin").applyInArrow(lambda t: link_blocks(t, similarity), "rep long, links long, link long"))
-    groups = components(pairs.filter("rep <> link").select(F.col("rep").alias("a"), F.col("link").alias("b")))
-    counts = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.select("k1", "k2", "rep", "n").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("k1", "k2", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    lone = sigs.filter("bands is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return live.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links").union(lone)
+    classes = written(live.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"), F.first("bands").alias("bands")).withColumn("rep", F.col("k1")))
+    blocks, parts = candidate_blocks(unpack_bands(classes, bands))
+    members = written(blocks.join(classes.select("rep", "k1", "k2", "n", F.col("copy_id").alias("doc")), "rep"))
+    sent = members.join(parts, "blk")
+    bins = max(256, parts.count() // 4)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    # One text of each class; rows that repeat its id with other words are told apart by k1 and k2 where they arrive.
+    held = marked(texts, "doc", members, "doc").filter("_likely").join(sent, "doc").withColumn("bin", F.pmod(F.xxhash64("pair"), F.lit(bins)))
+    linked = written(held.select("bin", "pair", "side", "two", "rep", "k1", "k2", "n", "text").groupBy("bin").applyInArrow(lambda t: link_blocks(t, similarity), "rep long, links long, link long"))
+    groups = components(linked.filter("rep <> link").select(F.col("rep").alias("a"), F.col("link").alias("b")))
+    counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.select("k1", "k2", "rep", "copy_id", "n").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("k1", "k2", "rep", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"))
+    return live.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]), sigs.filter("bands is null or doc_id is null")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (smallest id among all documents that links join), copy_id (smallest id with the same words), n_links (documents at or over the similarity, copies included)."""
+    found, others = grouped(docs, id_col, text_col, similarity, recall)
+    found = written(found)
+    ids = found.groupBy("group").agg(F.min("copy_id").alias("class_id"))
+    lone = others.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.join(ids, "group").select("doc_id", "class_id", "copy_id", "n_links").union(lone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, the one of the smallest id, of each group of near-duplicates; same columns."""
-    gone = written(near_duplicates(docs, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    split = marked(docs, id_col, gone, "_gone")
-    doubtful = split.filter("_likely").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return split.filter("not _likely").unionByName(doubtful).select(*docs.columns)
+    """docs with one row, of the smallest id, of each group of near-duplicates; same columns. Rows without an id or words all stay."""
+    rows = written(grouped(docs, id_col, text_col, SIMILARITY, RECALL)[0].groupBy("doc_id", "k1", "k2", "group").agg(F.count("*").alias("_times")))
+    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
+    judged = rows.join(first, "group").withColumn("_stays", F.col("first") == F.struct("doc_id", "k1", "k2")).filter("not _stays or _times > 1")
+    judged = written(judged.select(F.col("doc_id").alias("_gone"), "k1", "k2", "_stays"))
+    split = marked(docs, id_col, judged, "_gone")
+    doubtful = split.filter("_likely").drop("_likely")
+    hashes = lambda: lambda texts: [pa.array(x.view(np.int64)) for x in word_hashes(texts)]
+    doubtful = annotate(doubtful, [text_col], [("_k1", "long"), ("_k2", "long")], hashes)
+    k1, k2 = doubtful.columns[-2:]
+    keyed = doubtful.join(judged, (F.col(id_col) == F.col("_gone")) & (F.col(k1) == judged["k1"]) & (F.col(k2) == judged["k2"]), "left")
+    once = keyed.filter("_stays").dropDuplicates([id_col, k1, k2])  # the row of a group that stays, there more than once
+    return split.filter("not _likely").select(*docs.columns).unionByName(keyed.filter("_stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

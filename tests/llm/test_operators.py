@@ -167,6 +167,41 @@ def test_large_component_in_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in minhash_join.one_of_each(df).collect()] == [0]
 
 
+def test_repeated_ids_are_judged_by_their_words(spark):
+    a, b, c = texts(6, 20)[10:13]
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, None), (8, None), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(map(tuple, minhash_join.near_duplicates(df).collect()))
+    assert got == sorted([(3, 3, 3, 1), (5, 3, 3, 1), (5, 5, 5, 0), (7, 7, 7, 2), (7, 7, 7, 2), (9, 7, 7, 2), (8, 8, 8, 0), (8, 8, 8, 0)])
+    assert sort(minhash_join.one_of_each(df).collect()) == sort([(3, a), (5, b), (7, c), (8, None), (8, None)])
+
+
+def test_a_chain_of_buckets_does_not_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash_join, "BLOCK", 4)
+    keys = [(k, r) for k in range(200) for r in (k, k + 1)] + [(1000, r) for r in range(500, 512)]
+    blocks, parts = minhash_join.candidate_blocks(spark.createDataFrame(keys, "key long, rep long"))
+    size = {r["blk"]: r["count"] for r in blocks.groupBy("blk").count().collect()}
+    of = {r["rep"]: r["blk"] for r in blocks.collect()}
+    pairs = {}
+    for r in parts.collect():
+        pairs.setdefault(r["pair"], []).append(r["blk"])
+    compared = sum(sum(size[x] for x in b) ** 2 for b in pairs.values())
+    assert compared < 0.1 * 200**2
+    met = {frozenset(b) for b in pairs.values()}
+    assert all(frozenset((of[x], of[y])) in met for x, y in [(k, k + 1) for k in range(200)] + [(x, y) for x in range(500, 512) for y in range(x, 512)])
+
+
+def test_recall_on_a_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    held = {r["doc_id"]: r for r in minhash_join.near_duplicates(df).collect()}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    sets = {r["doc_id"]: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r in df.collect() if (w := split(r["text"]))}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = [p for p in pairs if held[p[0]]["class_id"] == held[p[1]]["class_id"]]
+    assert pairs and len(found) >= 0.9 * len(pairs)
+    assert sum(held[d]["n_links"] for d in sets) >= 0.9 * 2 * len(pairs)
+
+
 def test_near_duplicates_empty(empty):
     assert minhash_join.near_duplicates(empty).count() == 0
     assert minhash_join.one_of_each(empty).columns == empty.columns
