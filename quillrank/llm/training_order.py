@@ -3,9 +3,10 @@
 Token ids (16 bits) are cut into sequences of `length` ids. Every sequence has a dense index, and
 a keyed Feistel permutation with cycle-walking turns it into a global slot: a permutation of
 0..n-1 that needs no table. Slots are dealt by range: shard k holds the slots from k * slots on,
-as one block of records of a fixed stride, so the record of a slot lies at a computed place and
-a reader resumes at any slot. The indices come from a written table, so they stay when an
-executor is lost and its work is done again.
+as one block of records of a fixed stride, so the record of a slot lies at a computed place, and
+neighbouring shards are range partitions: a file holds consecutive shards in order, so a sequential
+read from any slot (in_order) touches one file after another and resumes where it stopped. The
+indices come from a written table, so they stay when an executor is lost and its work is done again.
 
 Record: id of the document (8 bytes, signed), part (4), ids in use (2), 2 unused, then `length`
 ids of 2 bytes, little-endian, zeros behind the last one.
@@ -28,12 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import mix, shared_dir, table, utf8, written
+from quillrank.llm.common import annotate, mix, shared_dir, table, utf8, written
+from quillrank.llm.sentencepiece_codec import SLICE, codec_starter, default_model
 
 LENGTH, SLOTS, KEY, ROUNDS = 2048, 512, 20240601, 6
 HEADER = 16
 #: Bytes of records that a task collects before it sends them on.
 FLUSH = 16 << 20
+#: Bytes of records of one file, about.
+FILE = 64 << 20
 NO_ID = -(1 << 63)
 
 
@@ -123,24 +127,48 @@ def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: in
         if size:
             yield flush()
 
-    def assemble(rows: pa.Table) -> pa.Table:
-        where, data = [], []
-        for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist()):
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            where.append(np.frombuffer(raw, np.int64, n))
-            data.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, stride))
-        where = np.concatenate(where)
-        shard = rows.column("shard")[0].as_py()
-        block = np.concatenate(data)[np.argsort(where)]
-        assert np.array_equal(np.sort(where), np.arange(shard * slots, shard * slots + len(where)))
-        return pa.table([pa.array([shard], pa.int64()), pa.array([shard * slots], pa.int64()), pa.array([len(where)], pa.int64()), pa.array([stride], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=SHARD_NAMES)
-
-    SHARD_NAMES = ["shard", "first_slot", "n", "stride", "records"]
-    out = held.mapInArrow(send, "shard long, n long, blob binary").groupBy("shard").applyInArrow(lambda t: assemble(t), "shard long, first_slot long, n long, stride long, records binary")
+    def assemble(batches):
+        shard, where, data = None, [], []
+
+        def block():
+            slot = np.concatenate(where)
+            order = np.argsort(slot)
+            if not np.array_equal(slot[order], np.arange(shard * slots, shard * slots + len(slot))):
+                raise ValueError(f"shard {shard} lacks slots or has some twice")
+            records = np.concatenate(data)[order].tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, shard * slots, len(slot), stride)] + [pa.array([records], pa.binary())], names=["shard", "first_slot", "n", "stride", "records"])
+
+        for batch in batches:  # in the order of shards
+            for row in range(batch.num_rows):
+                k, n = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if k != shard and where:
+                    yield block()
+                    where, data = [], []
+                shard = k
+                raw = zstandard.ZstdDecompressor().decompress(batch.column(2)[row].as_buffer())
+                where.append(np.frombuffer(raw, np.int64, n))
+                data.append(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(n, stride))
+        if where:
+            yield block()
+
+    shards = -(-total // slots)
+    files = max(1, min(shards, -(-total * stride // FILE)))
+    sent = held.mapInArrow(send, "shard long, n long, blob binary").withColumn("_k", F.col("shard") * files / max(shards, 1))
+    out = in_ranges(sent.withColumn("_k", F.floor("_k")), "_k", files).sortWithinPartitions("shard").select("shard", "n", "blob")
+    out = out.mapInArrow(assemble, "shard long, first_slot long, n long, stride long, records binary")
     out.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
     return total
 
 
+def in_ranges(rows: DataFrame, col: str, parts: int) -> DataFrame:
+    """rows in `parts` partitions, all of one number of `col` (from 0) in one, and numbers apart as far as the partitions go: each number stands for a key that Spark's hash deals to that partition."""
+    spark = rows.sparkSession
+    keys = spark.range(max(64, 30 * parts)).select(F.pmod(F.hash("id"), F.lit(parts)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()  # a row a partition
+    found = {r["p"]: r["id"] for r in keys}
+    keyed = spark.createDataFrame([(p, found.get(p, -1 - p)) for p in range(parts)], "_p long, _key long")
+    return rows.join(F.broadcast(keyed), F.col(col) == F.col("_p")).repartition(parts, "_key").drop("_p", "_key", col)  # a row a file
+
+
 def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """slot, shard, byte_offset, doc_id, part, ids (binary) of the slots in [start, stop); only shards that hold some are read."""
     shards = spark.read.parquet(path)
@@ -167,9 +195,37 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
     return shards.select("shard", "first_slot", "n", "stride", "records").mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, part long, ids binary")
 
 
+def in_order(spark: SparkSession, path: str, start: int = 0, window: int = 1 << 16):
+    """Records (slot, doc_id, part, ids) of all slots from `start` on, in order; `window` slots at most are held at once."""
+    row = spark.read.parquet(path).agg(F.max(F.col("first_slot") + F.col("n"))).first()
+    for low in range(start, row[0] or 0, window):
+        yield from read_slots(spark, path, low, low + window).select("slot", "doc_id", "part", "ids").sort("slot").toLocalIterator()
+
+
+def token_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (binary, 16 bits each) of a merge-type vocabulary of at most 2^16 pieces."""
+    start = codec_starter(docs.sparkSession, model_path, True)
+
+    def begin():
+        codec = start()
+
+        def step(texts):
+            texts = pc.fill_null(texts.cast(pa.string()), "")
+            total, ids = np.zeros(len(texts), np.int64), [np.zeros(0, "<u2")]
+            for s, e, counts, part in codec.pieces(texts):
+                total[s:e] += counts
+                ids.append(part.astype("<u2"))
+            return [pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(np.append(0, np.cumsum(2 * total)).astype(np.int32)), pa.py_buffer(np.concatenate(ids))])]
+
+        return step
+
+    made = annotate(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["text"], [("ids", "binary")], begin, SLICE)
+    return made.select("doc_id", "ids")
+
+
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    materialise(byte_ids(table(spark, sf_dir, "documents").select("doc_id", "text")), path)
+    materialise(token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model()), path)
     return read_slots(spark, path).select("slot", "shard", "byte_offset", "doc_id", "part", (F.octet_length("ids") / 2).cast("long").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
 
 

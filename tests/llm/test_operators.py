@@ -387,6 +387,28 @@ def test_shards_hold_every_sequence_and_resume(spark, docs, rows, empty, tmp_pat
     assert sort(part) == sort(r for r in got if 10 <= r["slot"] < 40)
     assert all(r["byte_offset"] == (r["slot"] - 16 * r["shard"]) * (16 + 128) for r in got)
     assert training_order.materialise(training_order.byte_ids(empty), str(tmp_path / "none")) == 0
+    assert list(training_order.in_order(spark, str(tmp_path / "none"))) == []
+
+
+def test_slots_follow_the_permutation_and_files_hold_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "FILE", 1500)
+    path = str(tmp_path / "ranges")
+    df = spark.createDataFrame([(i, bytes([i % 251, 0] * (1 + i % 7)), "x") for i in range(300)], "doc_id long, ids binary, slot string").coalesce(1)
+    n = training_order.materialise(df, path, length=2, slots=8)
+    index = [(i, k) for i in range(300) for k in range(-(-(1 + i % 7) // 2))]
+    want = dict(zip(training_order.feistel(np.arange(n), n).tolist(), index))
+    order = list(training_order.in_order(spark, path, window=100))
+    assert [r["slot"] for r in order] == list(range(n)) and [(r["doc_id"], r["part"]) for r in order] == [want[s] for s in range(n)]
+    assert [r["slot"] for r in training_order.in_order(spark, path, start=n - 5)] == list(range(n - 5, n))
+    held = spark.read.parquet(path).select("shard", F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+    assert len(held) > 5 and all(r["b"] - r["a"] + 1 == r["n"] for r in held)
+
+
+def test_token_ids_are_the_codecs(spark, docs, rows):
+    path = sentencepiece_codec.default_model()
+    library = sentencepiece_codec.Vocabulary(sentencepiece_codec.load_model(path)).library
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u2").tolist()) for r in training_order.token_ids(docs, path).collect()]
+    assert sort(got) == sort((r[0], library.encode(r[1] or "")) for r in rows)
 
 
 # classifiers and the language model
