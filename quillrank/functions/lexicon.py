@@ -25,9 +25,10 @@ MIXED_LANGUAGES = (
     ("kt", "kotlin"),
     ("rb", "ruby"),
 )
-#: Keywords up to which a lexicon is compiled into column expressions; a larger one is joined.
-COMPILED = 4000
+#: Keywords compiled into one set of column expressions; a larger lexicon takes several, one after another.
+COMPILED = 2000
 
+TIERS = ("broad", "precise")
 Lexicon = dict[str, dict[str, list[str]]]
 
 
@@ -64,22 +65,42 @@ def _hit(text: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _shown(low: Column, lexicon: Lexicon, mixed: bool) -> Column:
+    """array<struct<tier,feature>> of the features that a lower-case text shows."""
+    pair = lambda t, f: F.struct(F.lit(t).alias("tier"), F.lit(f).alias("feature"))
+    found = [F.when(_hit(low, ks), pair(t, f)) for t in TIERS for f, ks in sorted(lexicon.get(t, {}).items()) if ks]
+    none = F.array().cast("array<struct<tier:string,feature:string>>")
+    out = F.array_compact(F.array(*found)) if found else none
+    if mixed:
+        # Only texts with CJK characters are looked through for language names.
+        names = F.array_compact(F.array(*[F.when(low.rlike("(?<![a-z])" + "".join("\\" + c if not c.isalnum() else c for c in short) + CJK), F.lit(name)) for short, name in MIXED_LANGUAGES]))
+        in_tier = lambda t: F.transform(names, lambda n: F.struct(F.lit(t).alias("tier"), n.alias("feature")))
+        both = F.concat(*[in_tier(t) for t in TIERS])
+        out = F.concat(out, F.when(low.rlike(CJK), both).otherwise(none))
+    return F.array_distinct(out)
+
+
 def features(text: Column, lexicon: Lexicon) -> Column:
     """array<struct<tier,feature>> of the features that a text shows. Mixed-script language names count in both tiers."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.when(_hit(low, ks), F.struct(F.lit(t).alias("tier"), F.lit(f).alias("feature"))) for t in ("broad", "precise") for f, ks in sorted(lexicon.get(t, {}).items()) if ks]
-    for short, name in MIXED_LANGUAGES:
-        pattern = "(?<![a-z])" + "".join("\\" + c if not c.isalnum() else c for c in short) + CJK
-        found += [F.when(low.rlike(pattern), F.struct(F.lit(t).alias("tier"), F.lit(name).alias("feature"))) for t in ("broad", "precise")]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    return _shown(F.lower(F.coalesce(text, F.lit(""))), lexicon, True)
+
+
+def parts(lexicon: Lexicon, most: int | None = None) -> list[Lexicon]:
+    """The lexicon in parts of about `most` keywords; a feature stays whole."""
+    out, held = [{t: {} for t in TIERS}], 0
+    for tier in TIERS:
+        for f, ks in sorted(lexicon.get(tier, {}).items()):
+            if held and held + len(ks) > (most or COMPILED):
+                out.append({t: {} for t in TIERS})
+                held = 0
+            out[-1][tier][f] = ks
+            held += len(ks)
+    return out
 
 
 def long_features(items: DataFrame, lexicon: Lexicon, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, tier, feature) rows. A large lexicon is joined on containment instead of compiled."""
-    if sum(len(ks) for fs in lexicon.values() for ks in fs.values()) <= COMPILED:
-        return items.select(F.col(id_col).alias("id"), F.explode(features(F.col(text_col), lexicon)).alias("f")).select("id", "f.tier", "f.feature")
-    rows = [(t, f, k.lower(), k.startswith("\\b")) for t, fs in lexicon.items() for f, ks in fs.items() for k in ks]
-    words = items.sparkSession.createDataFrame(rows, "tier string, feature string, keyword string, pattern boolean")
-    low = items.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
-    hit = F.when(F.col("pattern"), F.expr("low rlike keyword")).otherwise(F.contains("low", "keyword"))
-    return low.join(words, hit).select("id", "tier", "feature").union(items.select(F.col(id_col).alias("id"), F.explode(features(F.col(text_col), {})).alias("f")).select("id", "f.tier", "f.feature")).distinct()
+    """(id, tier, feature) rows. Texts are lower-cased once; a large lexicon goes over them in parts."""
+    low = items.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    made = [low.select("id", F.explode(_shown(F.col("low"), p, k == 0)).alias("f")).select("id", "f.tier", "f.feature") for k, p in enumerate(parts(lexicon))]
+    out = reduce(DataFrame.union, made)
+    return out if len(made) == 1 else out.distinct()  # a lexicon may name a language as a feature too

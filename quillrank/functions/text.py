@@ -125,6 +125,12 @@ def min_max(score: Column, low: Column, high: Column) -> Column:
     return F.when(high - low > 1e-10, (score - low) / (high - low)).otherwise(0.0)
 
 
+def clamp_method(method, known: list[str], default: str = "hybrid") -> str:
+    """A requested method's name, or the default for an unknown one."""
+    name = str(method or "").strip().lower()
+    return name if name in known else default
+
+
 def clamp_k(k, default: int = 5) -> int:
     """A requested result count, held in 1..100."""
     try:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions import lexicon as L
 from quillrank.functions import text as X
+from quillrank.sources.tables import cut
 
 # Bounds of the document frequency, sizes of clusters.
 MOST_SHARE, LEAST_SHARE, LEAST_DF, TERMS, CLUSTERS, NEIGHBOURS, TERMS_KEPT = 0.75, 0.015, 3, 200, 28, 10, 12
@@ -35,10 +37,10 @@ def cooccurrence(items: DataFrame, terms: DataFrame, stop_words: list[str] = (),
 
 
 def clusters(terms: DataFrame, shares: DataFrame, n_items: int) -> dict[str, list[str]]:
-    """Feature name -> terms. Seeds go by falling weight; each takes its ten closest free terms over the threshold. At most TERMS terms come to the driver."""
+    """Feature name -> terms. Seeds go by falling weight; each takes its ten closest free terms over the threshold. All terms come to the driver: candidate_terms bounds their number."""
     bound = 0.06 if n_items < 100 else 0.08 if n_items < 300 else 0.10
     least = 1 if n_items < 100 else 2
-    order = [r["term"] for r in terms.orderBy(F.desc("weight"), "term").limit(TERMS).collect()]
+    order = [r["term"] for r in terms.orderBy(F.desc("weight"), "term").collect()]
     near: dict[str, list] = {}
     for r in shares.filter((F.col("share") > bound) & (F.col("a") != F.col("b"))).collect():
         near.setdefault(r["a"], []).append((-r["share"], r["b"]))
@@ -79,7 +81,7 @@ def split_tiers(items: DataFrame, found: dict[str, list[str]], n_broad: int = 14
 
 
 def discover(items: DataFrame, stop_words: list[str] = (), text_col: str = "text", id_col: str = "id") -> L.Lexicon:
-    terms = candidate_terms(items, stop_words, text_col=text_col, id_col=id_col)
+    terms = cut(candidate_terms(items, stop_words, text_col=text_col, id_col=id_col))
     return split_tiers(items, clusters(terms, cooccurrence(items, terms, stop_words, text_col, id_col), items.count()), text_col=text_col)
 
 
@@ -105,6 +107,40 @@ def item_keywords(items: DataFrame, most: int = 8, stop_words: list[str] = (), t
     return items.select(F.col(id_col).alias("id"), F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: x["t"]).alias("keywords"))
 
 
+def broad_category(keywords: list[str], lexicon: L.Lexicon) -> str | None:
+    """The broad feature that most keywords fit (one holds the other, either way); two at least, ties to the first feature."""
+    best, most = None, 1
+    low = [k.lower() for k in keywords]
+    for feature, ks in lexicon.get("broad", {}).items():
+        n = sum(any(k in c.lower() or c.lower() in k for c in ks) for k in low if k)
+        if n > most:
+            best, most = feature, n
+    return best
+
+
+def extract_items(items: DataFrame, lexicon: L.Lexicon, most: int = 8, stop_words: list[str] = (), text_col: str = "text", id_col: str = "id") -> DataFrame:
+    """(id, key, keywords, broad): each item's longest terms, the feature key made of the first, and the broad feature they fit (null: none)."""
+    held = item_keywords(items, most, stop_words, text_col, id_col)
+    key = X.slug(F.coalesce(F.try_element_at("keywords", F.lit(1)), F.lit("")))
+    fit = lambda w, c: F.contains(w, F.lit(c.lower())) | F.contains(F.lit(c.lower()), w)
+    names = list(lexicon.get("broad", {}).items())
+    fitting = lambda ks: F.size(F.filter("keywords", lambda w: reduce(lambda a, b: a | b, [fit(w, c) for c in ks], F.lit(False))))
+    counts = [fitting(ks) for _, ks in names]
+    rank = [F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(f).alias("f")) for i, ((f, _), n) in enumerate(zip(names, counts))]
+    best = F.array_max(F.array(*rank)) if rank else F.lit(None).cast("struct<n:int,o:int,f:string>")
+    return held.select("id", F.when(F.length(key) > 0, key).otherwise(F.concat(F.lit("feat_"), F.col("id").cast("string"))).alias("key"), "keywords", F.when(best["n"] >= 2, best["f"]).alias("broad"))
+
+
+def discover_report(items: DataFrame, base: L.Lexicon, stop_words: list[str] = (), text_col: str = "text", id_col: str = "id") -> tuple[L.Lexicon, dict]:
+    """(merged lexicon, report): features are discovered, merged into the base, and the items' coverage by the result is judged."""
+    found = discover(items, stop_words, text_col, id_col)
+    merged = L.merge_discovered(base, found)
+    rows = L.long_features(items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), merged)
+    row = quality_report(items.select(F.col(id_col).alias("id")), cut(rows)).first().asDict()
+    count = lambda lex: {t: len(lex.get(t, {})) for t in L.TIERS}
+    return merged, row | {"discovered": count(found), "merged": count(merged), "recommendation": recommendation(row["score"])}
+
+
 def recommendation(score: int) -> str:
     return "good" if score >= 80 else "usable" if score >= 50 else "poor"
 

@@ -41,10 +41,18 @@ def compare(query_features: DataFrame, item_features: DataFrame, names: DataFram
     return asked.select("query_id", "name", F.coalesce("score", F.lit(0.0)).alias("score"), jaccard.alias("jaccard"), F.array_sort(F.array_intersect(a, b)).alias("shared"), F.col("x").isNotNull().alias("known")).orderBy(F.desc("score"), "query_id", "name")
 
 
-def self_test_sample(items: DataFrame, most: int = 20, length: int = 80) -> DataFrame:
-    """Queries made of items' own descriptions: `most` items in the order of a hash, so the sample is the same every time."""
+def self_test_sample(items: DataFrame, most: int | None = 20, length: int = 80) -> DataFrame:
+    """Queries made of items' own descriptions: `most` items (None: all) in the order of a hash, so the sample is the same every time."""
     held = items.filter(F.length(F.coalesce("description", F.lit(""))) > 0)
-    return held.orderBy(F.xxhash64("name"), "name").limit(most).select(F.col("name").alias("query_id"), F.substring("description", 1, length).alias("query"), F.array("name").alias("expected"))
+    if most is not None:
+        held = held.orderBy(F.xxhash64("name"), "name").limit(most)
+    return held.select(F.col("name").alias("query_id"), F.substring("description", 1, length).alias("query"), F.array("name").alias("expected"))
+
+
+def self_test(samples: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row: queries, hit1 (expected first), misses (expected not among the first three)."""
+    best = reciprocal_ranks(samples, ranked, 3)
+    return best.agg(F.count("*").alias("queries"), F.coalesce(F.sum((F.col("first") == 1).cast("long")), F.lit(0)).alias("hit1"), F.coalesce(F.sum((~F.col("hit")).cast("long")), F.lit(0)).alias("misses"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, version: str, slack: float = 0.1) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import decayed
+from quillrank.functions.text import decayed, query_hash
 
 STEP, PRUNE_DAYS, UNSEEN, KNOWN_BASE = 0.012, 30, 0.5, 0.3
 
@@ -35,11 +35,38 @@ def book_stats(book: DataFrame, now: datetime, half_life_days: float = 7.0) -> D
 
 
 def live_posteriors(observations: DataFrame) -> DataFrame:
-    """(qhash, skill, alpha, beta): alpha is 1 + own weights; beta is 1 + a fifth of the others' weights since the skill was first seen."""
-    per = observations.groupBy("qhash", "skill").agg(F.min("seq").alias("first"), F.sum("weight").alias("own"))
-    later = observations.select("qhash", F.col("skill").alias("other"), "weight", "seq").join(per, "qhash").filter((F.col("seq") > F.col("first")) & (F.col("other") != F.col("skill")))
-    against = later.groupBy("qhash", "skill").agg(F.sum("weight").alias("against"))
-    return per.join(against, ["qhash", "skill"], "left").select("qhash", "skill", (1.0 + F.col("own")).alias("alpha"), (1.0 + 0.2 * F.coalesce("against", F.lit(0))).alias("beta"))
+    """(qhash, skill, alpha, beta): alpha is 1 + own weights; beta is 1 + a fifth of the others' weights since the skill was first seen.
+
+    Running sums by query: what came after a skill's first sight is the total less the sum up to it, and the skill's own share of that.
+    """
+    upto = Window.partitionBy("qhash").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = observations.groupBy("qhash", "skill", "seq").agg(F.sum("weight").alias("weight"))
+    rows = rows.withColumn("run", F.sum("weight").over(upto))
+    per = rows.groupBy("qhash", "skill").agg(F.sum("weight").alias("own"), F.min_by(F.struct("run", "weight"), "seq").alias("at"))
+    total = rows.groupBy("qhash").agg(F.sum("weight").alias("total"))
+    against = F.col("total") - F.col("at.run") - (F.col("own") - F.col("at.weight"))
+    return per.join(total, "qhash").select("qhash", "skill", (1.0 + F.col("own")).alias("alpha"), (1.0 + 0.2 * against).alias("beta"))
+
+
+def correction(queries: DataFrame, preferred, ts, boost: float = 1.0) -> DataFrame:
+    """Events (qhash, skill, boost, ts) for the correction log: queries (query, and what `preferred` needs) should have led to a skill."""
+    return queries.select(query_hash(F.col("query")).alias("qhash"), preferred.alias("skill"), F.lit(float(boost)).alias("boost"), F.lit(ts).cast("timestamp").alias("ts"))
+
+
+def observation(queries: DataFrame, skill, ts, weight: int = 1) -> DataFrame:
+    """Events (qhash, skill, weight, seq) for the observation log; seq is the time in microseconds, so later appends come later."""
+    return queries.select(query_hash(F.col("query")).alias("qhash"), skill.alias("skill"), F.lit(int(weight)).alias("weight"), F.unix_micros(F.lit(ts).cast("timestamp")).alias("seq"))
+
+
+def prune(corrections: DataFrame, now: datetime, days: int = PRUNE_DAYS) -> DataFrame:
+    """The log without queries whose latest correction is older than the bound."""
+    live = corrections.groupBy("qhash").agg(F.max("ts").alias("_last")).filter(F.col("_last") >= F.lit(now) - F.expr(f"interval {int(days)} days"))
+    return corrections.join(live, "qhash", "left_semi")
+
+
+def observation_stats(observations: DataFrame) -> DataFrame:
+    """One row: distinct queries, sum of weights, distinct (query, skill) pairs."""
+    return observations.agg(F.count_distinct("qhash").alias("queries"), F.coalesce(F.sum("weight"), F.lit(0)).alias("observations"), F.count_distinct("qhash", "skill").alias("pairs"))
 
 
 def trained_posteriors(observations: DataFrame) -> DataFrame:

@@ -40,11 +40,18 @@ def gate(queries: DataFrame, bm25: DataFrame, cosine: DataFrame, n: int) -> Data
     return out.withColumn("passed", ~((F.col("coverage") < GATE_COVERAGE) & (F.lit(n) >= 2) & (F.col("gap") < GATE_GAP)))
 
 
+def named_ranks(answers: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, id, rank from 0) for hybrid's extra_ranks, of an outside ranker's answers (query_id, name, rank from 0): the first item of each name, unknown names left out."""
+    ids = items.groupBy("name").agg(F.min("id").alias("id"))
+    return answers.join(ids, "name").groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+
+
 def hybrid(queries: DataFrame, items: DataFrame, signals: dict[str, DataFrame], k: int, digits: int = 9, extra_ranks: DataFrame | None = None) -> DataFrame:
     """(query_id, rank from 1, id, score). signals: bm25, cosine, graph as (query_id, id, score); extra_ranks: optional (query_id, id, rank from 0) of weight 1, unranked items count as last."""
     pos, n = places(items)
     if n == 1:
-        return queries.select("query_id").join(pos.select("id")).select("query_id", F.lit(1).alias("rank"), "id", F.lit(1.0).alias("score")).limit(10**9 if k > 0 else 0)
+        only = pos.first()["id"]
+        return queries.filter(F.lit(k > 0)).select("query_id", F.lit(1).alias("rank"), F.lit(only).alias("id"), F.lit(1.0).alias("score"))
     passed = gate(queries, signals["bm25"], signals["cosine"], n).filter("passed")
     names = list(signals)
     parts = [s.filter("score > 0").select("query_id", "id", *[(F.round("score", digits) if m == name else F.lit(None).cast("double")).alias(m) for m in names]) for name, s in signals.items()]

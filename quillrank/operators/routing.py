@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as X
 from quillrank.operators import bm25
-
-#: Rows up to which rules and triggers are broadcast.
-SMALL = 100_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+from quillrank.sources.tables import cut, small
 
 
 def rule_matches(queries: DataFrame, rules: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(query_id, skill): first rule (pos, pattern, skill), in order, whose pattern is in the query without regard to case and whose skill exists."""
     live = rules if items is None else rules.join(items.select(F.col("name").alias("skill")).distinct(), "skill", "left_semi")
-    hit = queries.join(_small(live), F.expr("query rlike concat('(?i)', pattern)"))
+    hit = queries.join(small(live), F.expr("query rlike concat('(?i)', pattern)"))
     return hit.groupBy("query_id").agg(F.min_by("skill", "pos").alias("skill"))
 
 
@@ -35,7 +29,7 @@ def trigger_matches(queries: DataFrame, triggers: DataFrame) -> DataFrame:
     """(query_id, skill): the phrase (phrase, skill, ord) that is the query, else the longest one in it; ties to the earlier."""
     held = triggers.withColumn("phrase", F.lower(F.trim("phrase"))).groupBy("phrase").agg(F.max_by("skill", "ord").alias("skill"), F.min("ord").alias("ord"))
     asked = queries.select("query_id", F.lower(F.trim(F.coalesce("query", F.lit("")))).alias("q"))
-    hit = asked.join(_small(held.filter("phrase <> ''")), F.contains("q", "phrase"))
+    hit = asked.join(small(held.filter("phrase <> ''")), F.contains("q", "phrase"))
     best = F.struct((F.col("q") == F.col("phrase")).alias("same"), F.length("phrase").alias("n"), (-F.col("ord")).alias("o"))
     return hit.groupBy("query_id").agg(F.max_by("skill", best).alias("skill"))
 
@@ -46,7 +40,10 @@ def corrections(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataF
     Words and terms meet on shared deletion variants, so no word is compared with the whole vocabulary.
     """
     known = vocabulary.select("term").filter("term is not null").distinct()
-    asked = words.select("word").distinct().join(known.select(F.col("term").alias("word")), "word", "left_anti")
+    # A word longer than every term by more than the bound has no near one; variants grow with the square of the length.
+    longest = known.agg(F.coalesce(F.max(F.length("term")), F.lit(-1 - most)).alias("_l"))
+    asked = words.select("word").distinct().join(F.broadcast(longest), F.length("word") <= F.col("_l") + most).select("word")
+    asked = asked.join(known.select(F.col("term").alias("word")), "word", "left_anti")
 
     def variants(df, col):
         less = lambda a: F.flatten(F.transform(a, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
@@ -76,19 +73,20 @@ def layers(queries: DataFrame, items: DataFrame, triggers: DataFrame, rules: Dat
     shape = ["query_id", "layer", "rank", "name", "score"]
     blank = lambda df, layer: df.select("query_id", F.lit(layer).alias("layer"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("score"))
     one = lambda df, layer: df.select("query_id", F.lit(layer).alias("layer"), F.lit(1).alias("rank"), F.col("skill").alias("name"), F.lit(1.0).alias("score"))
-    open_ = queries.filter(X.is_task(F.col("query")))
+    open_ = cut(queries.filter(X.is_task(F.col("query"))))
     out = blank(queries.join(open_.select("query_id"), "query_id", "left_anti"), "skip")
     for layer, found in (("trigger", trigger_matches), ("rule", rule_matches)):
-        hit = found(open_, triggers if layer == "trigger" else rules)
-        out, open_ = out.unionByName(one(hit, layer)), open_.join(hit.select("query_id"), "query_id", "left_anti")
+        hit = cut(found(open_, triggers if layer == "trigger" else rules))
+        out, open_ = out.unionByName(one(hit, layer)), cut(open_.join(hit.select("query_id"), "query_id", "left_anti"))
 
     def keyword(asked, layer):
-        found = bm25.boosted_scores(asked, items, F.col("name"), F.concat_ws(" ", "name", "text"), terms)
+        found = bm25.boosted_from(asked, corpus, terms)
         top = bm25.top_k(found, k, 6).join(items.select("id", "name"), "id")
-        return top.select("query_id", F.lit(layer).alias("layer"), "rank", "name", "score")
+        return cut(top.select("query_id", F.lit(layer).alias("layer"), "rank", "name", "score"))
 
+    corpus = bm25.boosted_index(items, F.col("name"), F.concat_ws(" ", "name", "text"), terms)
     hit = keyword(open_, "keyword")
-    out, open_ = out.unionByName(hit), open_.join(hit.select("query_id").distinct(), "query_id", "left_anti")
+    out, open_ = out.unionByName(hit), cut(open_.join(hit.select("query_id").distinct(), "query_id", "left_anti"))
     hit = keyword(fuzzy_queries(open_, vocabulary), "fuzzy")
     out, open_ = out.unionByName(hit), open_.join(hit.select("query_id").distinct(), "query_id", "left_anti")
     return out.unionByName(blank(open_, "none")).select(*shape)

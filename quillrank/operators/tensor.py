@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 # Features of each category.
 CATEGORIES = {
-    0: "security frontend backend database devops network mobile desktop data ml document feishu firecrawl design",
-    1: "python javascript_ts react_specific go rust java kotlin swift dart_flutter php csharp cpp harmonyos shell",
-    2: "code_quality testing build_fix security_scan performance architect planning tdd_testing refactor_clean e2e documentation",
+    0: ("security", "frontend", "backend", "database", "devops", "network", "mobile", "desktop", "data", "ml", "document", "feishu", "firecrawl", "design"),
+    1: ("python", "javascript_ts", "react_specific", "go", "rust", "java", "kotlin", "swift", "dart_flutter", "php", "csharp", "cpp", "harmonyos", "shell"),
+    2: ("code_quality", "testing", "build_fix", "security_scan", "performance", "architect", "planning", "tdd_testing", "refactor_clean", "e2e", "documentation"),
 }
 RIDGE, SEED = 1e-6, 42
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f, c) for c, fs in CATEGORIES.items() for f in fs.split()], "feature string, cat int")
+    return spark.createDataFrame([(f, c) for c, fs in CATEGORIES.items() for f in fs], "feature string, cat int")
 
 
 def _row_factors(cells: DataFrame, row: str, other: str, left: DataFrame, third: np.ndarray, rank: int) -> DataFrame:
@@ -33,12 +33,12 @@ def _row_factors(cells: DataFrame, row: str, other: str, left: DataFrame, third:
 
 def factors(cells: DataFrame, items: DataFrame, rank: int = 8, rounds: int = 6, seed: int = SEED, n_cat: int = 3) -> DataFrame:
     """(id, f array<double>): rows of the first mode of a seeded CP decomposition by alternating least squares; the long modes stay distributed, the 3 x rank one is on the driver."""
-    cells = cells.cache()
+    from quillrank.sources.tables import cut
+
+    cells = cut(cells)
     b = items.select("id", F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda k: (F.xxhash64("id", k, F.lit(seed)) % 1000003) / 1000003.0).alias("f"))
     c = np.random.default_rng(seed).normal(size=(n_cat, rank))
     a = b
-    from quillrank.sources.tables import cut
-
     for _ in range(rounds):
         a = cut(_row_factors(cells, "i", "j", b, c, rank))
         b = cut(_row_factors(cells, "j", "i", a, c, rank))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.operators.bm25 import index
+from quillrank.sources.tables import small
 
 PRECISE_WEIGHT = 1.5
 
@@ -31,7 +32,8 @@ def cosine_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, id, score) of item and query vectors that share a feature."""
     qn = queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     xn = items.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("xn"))
-    dots = queries.withColumnRenamed("w", "qw").join(items, ["tier", "feature"]).groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    # Features are few: with the queries broadcast, items stay where they are instead of meeting on a feature.
+    dots = items.join(small(queries.withColumnRenamed("w", "qw")), ["tier", "feature"]).groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     return dots.join(qn, "query_id").join(xn, "id").select("query_id", "id", (F.col("dot") / (F.col("xn") * F.col("qn") + 1e-10)).alias("score"))
 
 
@@ -42,7 +44,7 @@ def jaccard_scores(queries: DataFrame, items: DataFrame, indexed: bool = True) -
     if indexed:
         q = q.join(x.select(*key).distinct(), key, "left_semi")
     nq, nx = q.groupBy("query_id").agg(F.count("*").alias("nq")), x.groupBy("id").agg(F.count("*").alias("nx"))
-    inter = q.join(x, key).groupBy("query_id", "id").agg(F.count("*").alias("inter"))
+    inter = x.join(small(q), key).groupBy("query_id", "id").agg(F.count("*").alias("inter"))
     return inter.join(nq, "query_id").join(nx, "id").select("query_id", "id", (F.col("inter") / (F.col("nq") + F.col("nx") - F.col("inter"))).alias("score"))
 
 

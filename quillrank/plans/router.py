@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import lexicon as L
 from quillrank.functions import text as X
 from quillrank.operators import bm25, feedback, fusion, graph, routing, vectors
 from quillrank.plans import topology
+from quillrank.sources import store
 from quillrank.sources.tables import cut
 
+#: Least hybrid score of an item that a description may be taken to mean.
+CONFIDENT = 0.03
+
 #: method name -> f(router, queries) -> (query_id, id, score)
 METHODS: dict[str, Callable[[Router, DataFrame], DataFrame]] = {}
 
@@ -27,26 +30,55 @@ def register_method(name: str):
     return put
 
 
+def lexicon_table(spark: SparkSession, lexicon: L.Lexicon) -> DataFrame:
+    rows = [(t, f, list(ks)) for t in L.TIERS for f, ks in sorted(lexicon.get(t, {}).items())]
+    return spark.createDataFrame(rows, "tier string, feature string, keywords array<string>")
+
+
 class Router:
     """items: id, name, text (lower case), and optional columns; queries: query_id, query."""
 
     def __init__(self, items: DataFrame, lexicon: L.Lexicon, neighbours: int | None = None):
         if items.isEmpty():
             raise ValueError("no items")
-        self.items, self.lexicon = items, lexicon
         # The index is a set of written tables: every query batch reads them, none builds them again.
-        held = bm25.index(items, X.tokens(F.col("text")))
-        self.postings = replace(held, postings=cut(held.postings), lengths=cut(held.lengths), df=cut(held.df))
-        self.features = cut(L.long_features(items, lexicon))
-        self.stats = cut(vectors.feature_stats(self.features, self.postings.n))
-        self.vectors = cut(vectors.item_vectors(self.features, self.stats))
-        pairs = graph.pair_cosines(self.vectors.select("id", F.concat_ws(":", "tier", "feature").alias("feature"), "w"))
-        k = neighbours or graph.neighbours_wanted(self.postings.n)
-        near = cut(graph.nearest(pairs, k) if k < self.postings.n - 1 else pairs)
-        self.edges = cut(graph.degree_normalise(near))
+        postings = bm25.index(items, X.tokens(F.col("text")), bag=False)
+        features = cut(L.long_features(items, lexicon))
+        stats = cut(vectors.feature_stats(features, postings.n))
+        rows = cut(vectors.item_vectors(features, stats))
+        named = rows.select("id", F.concat_ws(":", "tier", "feature").alias("feature"), "w")
+        k = neighbours or graph.neighbours_wanted(postings.n)
+        near = cut(graph.feature_neighbours(named, k) if k < postings.n - 1 else graph.pair_cosines(named))
+        whole = postings.postings.unionByName(postings.lengths.filter("dl < 1").select("id", F.lit(None).cast("string").alias("token"), F.lit(1).cast("long").alias("tf"), "dl"))
+        self._hold({"items": items, "postings": whole, "features": features, "stats": stats, "vectors": rows, "edges": cut(graph.degree_normalise(near))}, lexicon, postings)
+
+    def _hold(self, tables: dict[str, DataFrame], lexicon: L.Lexicon, postings: bm25.Postings) -> None:
+        self._tables, self.lexicon, self.postings = tables, lexicon, postings
+        self.items, self.features, self.stats, self.vectors, self.edges = (tables[k] for k in ("items", "features", "stats", "vectors", "edges"))
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"items": self.items, "postings": self.postings.postings, "lengths": self.postings.lengths, "token_df": self.postings.df, "features": self.features, "vectors": self.vectors, "edges": self.edges}
+        return dict(self._tables)
+
+    def save(self, path: str) -> None:
+        """All tables of the index, and the lexicon, below path."""
+        spark = self.items.sparkSession
+        store.save_index(self._tables | {"lexicon": lexicon_table(spark, self.lexicon)}, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Router:
+        """The router that was saved below path; nothing is built again."""
+        held = store.load_index(spark, path, ["items", "postings", "features", "stats", "vectors", "edges", "lexicon"])
+        lexicon: L.Lexicon = {"broad": {}, "precise": {}}
+        for r in held.pop("lexicon").orderBy("tier", "feature").collect():  # a row a feature
+            lexicon[r["tier"]][r["feature"]] = list(r["keywords"])
+        made = cls.__new__(cls)
+        made._hold(held, lexicon, bm25.from_table(held["postings"]))
+        return made
+
+    def status(self) -> dict[str, int | float]:
+        """Sizes of the index."""
+        n = self.postings.n
+        return {"items": n, "features": self.stats.count(), "edges": self.edges.count(), "density": graph.density(self.edges, n).first()["density"], "tokens": self.postings.df.count()}
 
     def query_features(self, queries: DataFrame) -> DataFrame:
         return L.long_features(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), self.lexicon)
@@ -65,10 +97,11 @@ class Router:
             found = bm25.top_k(self.scores(queries, method), k, digits)
         return found.join(self.items.select("id", "name"), "id").select("query_id", "rank", "id", "name", "score")
 
-    def query(self, queries: DataFrame, k: int = 10, method: str = "hybrid", rules: DataFrame | None = None, corrections: DataFrame | None = None, observations: DataFrame | None = None, now: datetime | None = None, body: bool = False) -> DataFrame:
-        """(query_id, rank, name, score[, body]) with rules first; the hybrid method's scores are adjusted by corrections, then re-ranked by observations."""
+    def query(self, queries: DataFrame, k: int = 10, method: str = "hybrid", rules: DataFrame | None = None, corrections: DataFrame | None = None, observations: DataFrame | None = None, now: datetime | None = None, body: bool = False, extra_ranks: DataFrame | None = None) -> DataFrame:
+        """(query_id, rank, name, score[, body]) with rules first; extra_ranks: an outside ranker's (query_id, name, rank from 0), a further signal of the hybrid method; the hybrid method's scores are adjusted by corrections, then re-ranked by observations."""
         wide = k if corrections is None and observations is None else max(10 * k, 100)
-        found = self.rank(queries, wide, method).select("query_id", "rank", "name", "score")
+        extra = fusion.named_ranks(extra_ranks, self.items) if extra_ranks is not None else None
+        found = self.rank(queries, wide, method, extra_ranks=extra).select("query_id", "rank", "name", "score")
         if method == "hybrid" and (corrections is not None or observations is not None):
             held = found.join(queries.select("query_id", X.query_hash(F.col("query")).alias("qhash")), "query_id").withColumnRenamed("name", "skill")
             if corrections is not None:
@@ -85,6 +118,21 @@ class Router:
             found = found.join(last, "name", "left")
         return found.filter(F.col("rank") <= k)
 
+    def best_names(self, descriptions: DataFrame, least: float = CONFIDENT) -> DataFrame:
+        """(query_id, name, score) of the item that each description (query_id, description) leads to; none if its score is under `least`."""
+        found = self.rank(descriptions.select("query_id", F.col("description").alias("query")), 1)
+        return found.filter(F.col("score") >= least).select("query_id", "name", "score")
+
+    def correct(self, queries: DataFrame, when: datetime, boost: float = 1.0, least: float = CONFIDENT) -> DataFrame:
+        """Correction events for queries (query_id, query, description): the skill is the item that the description leads to; too uncertain ones make no event."""
+        meant = self.best_names(queries.select("query_id", "description"), least)
+        return feedback.correction(queries.join(meant, "query_id"), F.col("name"), when, boost)
+
+    @staticmethod
+    def learn(queries: DataFrame, when: datetime) -> tuple[DataFrame, DataFrame]:
+        """(correction events, observation events) of queries (query, preferred): to be appended to both logs."""
+        return feedback.correction(queries, F.col("preferred"), when), feedback.observation(queries, F.col("preferred"), when)
+
     def plan(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """(query_id, pos, name, resolved): the hybrid's best items in the order of their dependencies."""
         chosen = self.rank(queries, k).select("query_id", "rank", "name", "score")
@@ -117,7 +165,7 @@ def _tfidf(r: Router, queries: DataFrame) -> DataFrame:
 
 @register_method("graph_spread")
 def _graph(r: Router, queries: DataFrame) -> DataFrame:
-    return graph.spread(cut(_jaccard(r, queries)), r.edges)
+    return graph.spread_all(queries, cut(_jaccard(r, queries)), r.items, r.postings.n, r.edges)
 
 
 @register_method("tensor")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,11 +16,21 @@ SOURCE_SUFFIXES = ("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "kt", "rb
 LEAST_CHARS, BODY_CHARS = 20, 500
 
 
-def whole_files(spark: SparkSession, directories: list[str], pattern: str = "*.md", modified_after: str | None = None) -> DataFrame:
-    """(path, dir_pos, value): files below the directories; a file under several counts for the first."""
+def directories_of(setting: str | None, defaults: list[str] = ()) -> list[str]:
+    """Folders named by a setting, parted by colons (an environment variable's value, say); without one the defaults. Repeated and empty ones go."""
+    named = [d.strip() for d in (setting or "").split(":") if d.strip()]
+    return list(dict.fromkeys(named or list(defaults)))
+
+
+def whole_files(spark: SparkSession, directories: list[str], pattern: str = "*.md", modified_after: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, dir_pos, value): files below the directories, or right in them and their own folders; a file under several counts for the first. Folders that don't exist have no files."""
     parts = []
     for pos, d in enumerate(directories):
-        reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        if not exists(spark, d):
+            continue
+        reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+        if not recursive:
+            d = [x for x in (d, *folders(spark, d))]
         if modified_after:
             reader = reader.option("modifiedAfter", modified_after)
         parts.append(reader.text(d, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(pos).alias("dir_pos"), "value"))
@@ -55,6 +68,22 @@ def _yaml(text: str) -> dict:
     return held if isinstance(held, dict) else {}
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, files = _hadoop(spark, path)
+    return files.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right in a folder."""
+    p, files = _hadoop(spark, path)
+    return sorted(x.getPath().toString() for x in files.listStatus(p) if x.isDirectory())
+
+
 META = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "description")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("requires", "complements", "provides", "needs")])
 
 
@@ -124,27 +153,32 @@ def load_items(spark: SparkSession, directories: list[str]) -> DataFrame:
 
 
 def load_plugin_items(spark: SparkSession, directories: list[str]) -> DataFrame:
-    """Items of SKILL.md files alone; the search text holds the body's first 500 characters."""
-    items = parse_items(whole_files(spark, directories, "SKILL.md"))
+    """Items of SKILL.md files alone, right in the directories or in their own folders; the search text holds the body's first 500 characters."""
+    items = parse_items(whole_files(spark, directories, "SKILL.md", recursive=False))
     return items.withColumn("search_text", F.lower(F.concat_ws(" ", "name", "description", F.substring("body", 1, BODY_CHARS))))
 
 
+def whole_text(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of one file; no row if there is none."""
+    return spark.read.text(path, wholetext=True) if exists(spark, path) else spark.createDataFrame([], "value string")
+
+
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, pattern, skill) of a JSON list, in its order."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<pattern:string,skill:string>>").alias("r"))
+    """(pos, pattern, skill) of a JSON list, in its order; none if the file is missing or broken."""
+    text = whole_text(spark, path).select(F.from_json("value", "array<struct<pattern:string,skill:string>>").alias("r"))
     return text.select(F.posexplode("r").alias("pos", "x")).select("pos", "x.pattern", "x.skill")
 
 
 def load_triggers(spark: SparkSession, path: str) -> DataFrame:
     """(phrase, skill, ord) of a JSON object {skill: [phrases]}."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    text = whole_text(spark, path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     rows = text.select(F.posexplode(F.map_entries("m")).alias("i", "e")).select("i", "e.key", F.posexplode("e.value").alias("j", "phrase"))
     return rows.select(F.lower(F.trim("phrase")).alias("phrase"), F.col("key").alias("skill"), (F.col("i") * 1000000 + F.col("j")).cast("long").alias("ord"))
 
 
 def load_labelled_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, query, expected) of a JSON list."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<query:string,expected:array<string>>>").alias("r"))
+    """(query_id, query, expected) of a JSON list; none if the file is missing or broken."""
+    text = whole_text(spark, path).select(F.from_json("value", "array<struct<query:string,expected:array<string>>>").alias("r"))
     return text.select(F.posexplode("r").alias("query_id", "x")).select("query_id", "x.query", "x.expected")
 
 
@@ -158,13 +192,49 @@ def load_notes(spark: SparkSession, directories: list[str]) -> DataFrame:
     return files.select("path", field("domain").alias("domain"), field("date").alias("date"), field("tags").alias("tags"), F.substring(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), 1, 200).alias("summary"), body.alias("body"))
 
 
-def search_notes(notes: DataFrame, query: str, most: int = 10) -> DataFrame:
-    """Notes whose file name, else whose first 2000 characters, match the query; names first."""
+def search_notes(notes: DataFrame, query: str, most: int = 10, search_body: bool = True, general: DataFrame | None = None, tech_words: list[str] = ()) -> DataFrame:
+    """Notes whose file name, else whose first 2000 characters, match the query; names first, then by path. general: notes of no domain, which count if their name matches and their text has one of the words."""
     from quillrank.functions.text import matches_query
 
     name = F.regexp_extract("path", "[^/]*$", 0)
-    rank = F.when(matches_query(F.lit(query), name), 0).when(matches_query(F.lit(query), F.substring("body", 1, 2000)), 1)
-    return notes.withColumn("priority", rank).filter("priority is not null").orderBy("priority", "path").limit(most)
+    rank = F.when(matches_query(F.lit(query), name), 0)
+    if search_body:
+        rank = rank.when(matches_query(F.lit(query), F.substring("body", 1, 2000)), 1)
+    found = notes.withColumn("priority", rank)
+    if general is not None and tech_words:
+        spoken = reduce(lambda a, b: a | b, [F.contains(F.lower("body"), F.lit(w.lower())) for w in tech_words])
+        found = found.unionByName(general.withColumn("priority", F.when(matches_query(F.lit(query), name) & spoken, 2)))
+    return found.filter("priority is not null").orderBy("priority", "path").limit(most)
+
+
+def note_text(notes: DataFrame) -> DataFrame:
+    """notes (title, domain, date, tags array, findings array, sources array) with `value`: each as one Markdown note with a head."""
+    lines = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n## {title}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("---\ndomain: "), F.coalesce("domain", F.lit("")), F.lit("\ndate: "), F.coalesce(F.col("date").cast("string"), F.lit("")), F.lit("\ntags: "), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", "), F.lit("\n---\n# "), F.coalesce("title", F.lit("")), F.lit("\n"))
+    return notes.withColumn("value", F.concat(head, lines("Findings", F.coalesce("findings", F.array().cast("array<string>"))), lines("Sources", F.coalesce("sources", F.array().cast("array<string>")))))
+
+
+def write_notes(notes: DataFrame, path: str) -> None:
+    """The notes as text files below path, one folder a slug of the title; a note that is there is added to."""
+    from quillrank.functions.text import slug
+
+    made = note_text(notes).select(slug(F.col("title")).alias("note"), "value")
+    made.write.mode("append").partitionBy("note").option("lineSep", "\n").text(path)
+
+
+def recent_files(spark: SparkSession, directories: list[str], now: datetime, hours: int = 48) -> DataFrame:
+    """(path, dir_pos, value) of Markdown files changed in the last hours."""
+    return whole_files(spark, directories, modified_after=(now - timedelta(hours=hours)).strftime("%Y-%m-%dT%H:%M:%S"))
+
+
+def read_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, value, error) of program text files: one row a path; a file that is missing or no program text has an error and no value."""
+    ok = [p for p in paths if p.lower().rpartition(".")[2] in SOURCE_SUFFIXES and exists(spark, p)]
+    wrong = [(p, None, "no program text" if exists(spark, p) else "no such file") for p in paths if p not in ok]
+    out = spark.createDataFrame(wrong, "path string, value string, error string")
+    for p in ok:
+        out = out.unionByName(spark.read.text(p, wholetext=True).select(F.lit(p).alias("path"), "value", F.lit(None).cast("string").alias("error")))
+    return out
 
 
 def source_files(spark: SparkSession, directories: list[str]) -> DataFrame:

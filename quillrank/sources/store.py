@@ -21,7 +21,12 @@ def append_log(events: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The log's rows; none if there is no log. Files that are no Parquet, left by a writer that died, are passed over."""
+    from quillrank.sources.markdown import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
 
 
 def clear_log(spark: SparkSession, path: str, schema: str) -> None:
@@ -50,6 +55,13 @@ def context_block(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("context"))
 
 
+def write_report(report: dict, spark: SparkSession, path: str) -> None:
+    """A result as indented JSON text."""
+    import json
+
+    spark.createDataFrame([(json.dumps(report, indent=2, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_lexicon(lexicon: dict, spark: SparkSession, path: str, most: int = 12) -> None:
     """Sorted features with at most twelve sorted terms each, as JSON lines."""
     rows = [(t, f, sorted(ks)[:most]) for t, fs in sorted(lexicon.items()) for f, ks in sorted(fs.items())]

@@ -57,6 +57,31 @@ def decayed_boosts(corrections: DataFrame, half_life_days: float = 7.0, keep_day
     return timed.groupBy("qhash").applyInPandasWithState(update, "qhash string, skill string, boost double, ts timestamp", "at double, skills array<string>, boosts array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def live_posteriors(observations: DataFrame, ts: str = "ts") -> DataFrame:
+    """Stream of (qhash, skill, alpha, beta): observations (qhash, skill, weight, seq, ts) as they come; own weights go to alpha, a fifth of another skill's weight to the beta of every skill seen before it under the query."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        skills, alpha, beta = (list(x) for x in state.get) if state.exists else ([], [], [])
+        place = {s: i for i, s in enumerate(skills)}
+        rows = sorted((seq, skill, weight) for f in frames for seq, skill, weight in zip(f["seq"], f["skill"], f["weight"]))
+        for _, skill, weight in rows:
+            if skill not in place:
+                place[skill] = len(skills)
+                skills.append(skill)
+                alpha.append(1.0)
+                beta.append(1.0)
+            for i in range(len(skills)):
+                if i == place[skill]:
+                    alpha[i] += float(weight)
+                else:
+                    beta[i] += 0.2 * float(weight)
+        state.update((skills, alpha, beta))
+        yield pd.DataFrame({"qhash": key[0], "skill": skills, "alpha": alpha, "beta": beta})
+
+    rows = observations.select("qhash", "skill", "weight", "seq")
+    return rows.groupBy("qhash").applyInPandasWithState(update, "qhash string, skill string, alpha double, beta double", "skills array<string>, alpha array<double>, beta array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
 def live_counts(observations: DataFrame) -> DataFrame:
     """Stream of (qhash, skill, alpha): 1 + observed weights, as they stand."""
     return observations.groupBy("qhash", "skill").agg((1.0 + F.sum("weight")).alias("alpha"))
