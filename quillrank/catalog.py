@@ -9,7 +9,7 @@ from quillrank.functions import lexicon as L
 from quillrank.functions import text as X
 from quillrank.operators import bm25, discovery, evaluate, feedback, fusion, graph, routing, vectors
 from quillrank.plans import topology
-from quillrank.sources.tables import table
+from quillrank.sources.tables import cut, table
 
 K = 10
 #: A lexicon for the invented prose of the documents.
@@ -70,10 +70,17 @@ bm AS (SELECT query_id, id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) +
 TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(score, 6) AS score FROM {}{})) WHERE rank <= 10"
 
 
+def _postings(spark, sf):
+    return bm25.index(docs(spark, sf), X.ascii_tokens(F.col("text")), bag=False)
+
+
+def _bm25(spark, sf):
+    return bm25.scores(asked(spark, sf), _postings(spark, sf), X.ascii_tokens(F.col("query")))
+
+
 @query(f"WITH {BM} {TOP.format('bm', '')}")
 def bm25_topk(spark, sf):
-    found = bm25.scores(asked(spark, sf), bm25.index(docs(spark, sf), X.ascii_tokens(F.col("text"))), X.ascii_tokens(F.col("query")))
-    return bm25.top_k(found, K, 6)
+    return bm25.top_k(_bm25(spark, sf), K, 6)
 
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
@@ -90,7 +97,7 @@ def tokenize_full(spark, sf):
 
 @query(f"WITH {BM} SELECT token, df FROM tdf")
 def doc_freq(spark, sf):
-    return bm25.index(docs(spark, sf), X.ascii_tokens(F.col("text"))).df
+    return _postings(spark, sf).df
 
 
 @query(f"SELECT doc_id AS id, len({TOK.format('text')}) AS dl FROM documents")
@@ -110,10 +117,15 @@ def lexicon_match(spark, sf):
 
 def _stats(spark, sf):
     d = docs(spark, sf)
-    f = L.long_features(d, LEXICON)
+    f = _features(spark, sf)
     return d, f, vectors.feature_stats(f, d.count())
 
 
+def _features(spark, sf):
+    """Features of the documents, matched once."""
+    return cut(L.long_features(docs(spark, sf), LEXICON))
+
+
 @query(f"WITH {FEATS}, {STATS} SELECT tier, feature, df, round(coverage, 9) AS coverage, round(ig, 9) AS ig FROM st")
 def feature_ig(spark, sf):
     return _stats(spark, sf)[2].select("tier", "feature", "df", F.round("coverage", 9).alias("coverage"), F.round("ig", 9).alias("ig"))
@@ -129,11 +141,16 @@ def _qf(spark, sf):
     return L.long_features(asked(spark, sf).select(F.col("query_id").alias("id"), F.col("query").alias("text")), LEXICON)
 
 
-def _cosine(spark, sf):
-    _, f, s = _stats(spark, sf)
+def _cosine(spark, sf, f=None):
+    f = f if f is not None else _features(spark, sf)
+    s = vectors.feature_stats(f, docs(spark, sf).count())
     return vectors.cosine_scores(vectors.query_vectors(_qf(spark, sf), s), vectors.item_vectors(f, s))
 
 
+def _jaccard(spark, sf, f=None, indexed=True):
+    return vectors.jaccard_scores(_qf(spark, sf).withColumnRenamed("id", "query_id"), f if f is not None else _features(spark, sf), indexed)
+
+
 @query(f"WITH {FEATS}, {STATS}, {VECS}, {COS} {TOP.format('cosi', '')}")
 def cosine_topk(spark, sf):
     return bm25.top_k(_cosine(spark, sf), K, 6)
@@ -144,12 +161,12 @@ JAC = "jac AS (SELECT query_id, id, i / (nq + nx - i)::DOUBLE AS score FROM (SEL
 
 @query(f"WITH {FEATS}, {JAC} {TOP.format('jac', '')}")
 def jaccard_topk(spark, sf):
-    return bm25.top_k(vectors.jaccard_scores(_qf(spark, sf).withColumnRenamed("id", "query_id"), L.long_features(docs(spark, sf), LEXICON)), K, 6)
+    return bm25.top_k(_jaccard(spark, sf), K, 6)
 
 
 @query(f"WITH {FEATS}, a AS (SELECT DISTINCT query_id, feature FROM qf), b AS (SELECT DISTINCT id, feature FROM df), j AS (SELECT query_id, id, i / (nq + nx - i)::DOUBLE AS score FROM (SELECT query_id, id, count(*) AS i FROM a JOIN b USING (feature) GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS nq FROM a GROUP BY 1) USING (query_id) JOIN (SELECT id, count(*) AS nx FROM b GROUP BY 1) USING (id)) {TOP.format('j', '')}")
 def jaccard_names_topk(spark, sf):
-    return bm25.top_k(vectors.jaccard_scores(_qf(spark, sf).withColumnRenamed("id", "query_id"), L.long_features(docs(spark, sf), LEXICON), indexed=False), K, 6)
+    return bm25.top_k(_jaccard(spark, sf, indexed=False), K, 6)
 
 
 @query(f"""WITH p AS (SELECT id, token, count(*) AS tf FROM (SELECT doc_id AS id, unnest({BAG.format('text')}) AS token FROM documents) GROUP BY 1, 2),
@@ -216,8 +233,9 @@ gate AS (SELECT *, NOT (coverage < 0.05 AND gap < 0.005) AS passed FROM cov)"""
 
 
 def _signals(spark, sf):
-    b = bm25.scores(asked(spark, sf), bm25.index(docs(spark, sf), X.ascii_tokens(F.col("text"))), X.ascii_tokens(F.col("query")))
-    return {"bm25": b, "cosine": _cosine(spark, sf), "graph": vectors.jaccard_scores(_qf(spark, sf).withColumnRenamed("id", "query_id"), L.long_features(docs(spark, sf), LEXICON))}
+    """The three signals, each written: the gate and the fusion read them several times."""
+    f = _features(spark, sf)
+    return {"bm25": cut(_bm25(spark, sf)), "cosine": cut(_cosine(spark, sf, f)), "graph": cut(_jaccard(spark, sf, f))}
 
 
 @query(f"WITH {BM}, {FEATS}, {STATS.replace('n AS (SELECT count(*) AS n FROM documents)', 'nn AS (SELECT 1)').replace('(SELECT n FROM n)', '(SELECT count(*) FROM documents)')}, {VECS}, {COS}, {GATE} SELECT query_id, round(coverage, 9) AS coverage, passed FROM gate")
@@ -302,6 +320,14 @@ def cooccurrence_boost(spark, sf):
     return feedback.cooccurrence(observed(spark, sf)).withColumn("w", F.round("w", 7))
 
 
+@query(f"WITH {OBS} SELECT qhash, skill, seq FROM o WHERE qhash IN (SELECT qhash FROM o GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM o) + INTERVAL 25 DAY - INTERVAL 30 DAY)")
+def prune(spark, sf):
+    """The log as it stands 25 days after its end: users whose last event is older than 30 days are gone."""
+    o = observed(spark, sf)
+    now = o.agg((F.max("ts") + F.expr("interval 25 days")).alias("m")).first()["m"]
+    return feedback.prune(o, now).select("qhash", "skill", "seq")
+
+
 @query()
 def beta_sample(spark, sf):
     o = observed(spark, sf)
@@ -363,15 +389,59 @@ def plan_topo(spark, sf):
     return topology.plan(chosen, items)
 
 
-@query()
+_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+_KEEP = f"lambda x: NOT list_contains({_STOPS}, x)"
+# Other letters than a-z count as word characters at a word's edge; DuckDB's patterns know ASCII ones only, so a digit stands for them.
+TERMS_SQL = f"""x AS (SELECT doc_id AS id, text, regexp_replace(coalesce(text, ''), '[^\\P{{L}}a-zA-Z]', '0', 'g') AS a FROM documents),
+bag AS (SELECT id, unnest(list_concat(list_filter(regexp_extract_all(lower(a), '\\b[a-z]{{3,}}(?:[-/][a-z]{{2,}})*\\b'), {_KEEP}), list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\x{{4e00}}-\\x{{9fff}}]{{2,6}}'), {_KEEP}),
+  list_transform(regexp_extract_all(a, '\\b(?:[A-Z][a-z]+){{2,}}\\b'), lambda x: lower(x)), list_filter(flatten(list_transform(regexp_extract_all(a, '\\b[a-z]+(?:_[a-z]+)+\\b'), lambda x: string_split(x, '_'))), lambda x: length(x) >= 3 AND NOT list_contains({_STOPS}, x)))) AS term FROM x),
+n AS (SELECT count(*) AS n FROM documents), tdf AS (SELECT term, count(DISTINCT id) AS df FROM bag GROUP BY 1),
+terms AS (SELECT term, df, round((ln((n + 1.0::DOUBLE) / (df + 1)) + 1) * (1 + 0.3::DOUBLE * (len(regexp_split_to_array(term, '[-/]')) - 1)), 9) AS weight FROM tdf, n WHERE df >= greatest(3, floor(0.015::DOUBLE * n)) AND df / n::DOUBLE <= 0.75 ORDER BY weight DESC, term LIMIT 200)"""
+
+
+@query(f"WITH {TERMS_SQL} SELECT * FROM terms")
 def discover_terms(spark, sf):
     return discovery.candidate_terms(docs(spark, sf), STOP)
 
 
-@query()
+@query(f"""WITH {TERMS_SQL}, m AS (SELECT id, term, count(*) AS m FROM bag SEMI JOIN terms USING (term) GROUP BY 1, 2),
+c AS (SELECT p.term AS a, q.term AS b, sum(CASE WHEN p.term = q.term THEN p.m * (p.m - 1) ELSE p.m * q.m END) AS c FROM m p JOIN m q USING (id) GROUP BY 1, 2)
+SELECT a, b, round(c / t, 9) AS share FROM (SELECT a, b, c::DOUBLE AS c, sum(c) OVER (PARTITION BY a)::DOUBLE AS t FROM c) WHERE c > 0""")
 def discover_cooccurrence(spark, sf):
     d = docs(spark, sf)
-    return discovery.cooccurrence(d, discovery.candidate_terms(d, STOP), STOP).withColumn("share", F.round("share", 9))
+    return discovery.cooccurrence(d, cut(discovery.candidate_terms(d, STOP)), STOP).withColumn("share", F.round("share", 9))
+
+
+_FOUND = {f: [k.strip("\\b") for k in ks] for t in LEXICON.values() for f, ks in t.items()}
+
+
+@query("WITH f(feature, kw) AS (VALUES " + ", ".join(f"('{f}', '{k}')" for f, ks in _FOUND.items() for k in ks) + """), n AS (SELECT count(*) AS n FROM documents), every AS (SELECT DISTINCT feature FROM f),
+c AS (SELECT feature, count(*) AS c FROM (SELECT DISTINCT doc_id, feature FROM documents JOIN f ON contains(lower(text), kw)) GROUP BY 1),
+s AS (SELECT feature, coalesce(c, 0) / n::DOUBLE AS share FROM every LEFT JOIN c USING (feature), n)
+SELECT feature, CASE WHEN share >= least(0.15::DOUBLE, greatest(0.08::DOUBLE, 2.0::DOUBLE / greatest(n, 10))) AND row_number() OVER (ORDER BY share DESC, feature) <= 14 THEN 'broad' ELSE 'precise' END AS tier FROM s, n""")
+def split_broad_precise(spark, sf):
+    made = discovery.split_tiers(docs(spark, sf), _FOUND)
+    return spark.createDataFrame([(f, t) for t, fs in made.items() for f in fs], "feature string, tier string")
+
+
+@query("""WITH t AS (SELECT lower(r_name) AS feature, lower(n_name) AS term FROM nation JOIN region ON n_regionkey = r_regionkey),
+base(feature, kw) AS (VALUES """ + ", ".join(f"('{f}', '{k.lower()}')" for t in LEXICON.values() for f, ks in t.items() for k in ks) + """),
+g AS (SELECT feature, list_sort(list(DISTINCT term)) AS ts FROM t GROUP BY 1), ok AS (SELECT count(DISTINCT term) AS u, count(*) AS c FROM (SELECT unnest(ts) AS term FROM g)),
+novel AS (SELECT feature, list_filter(ts, lambda x: length(x) >= 3 AND NOT list_contains([""" + ", ".join(f"'{k.lower()}'" for t in LEXICON.values() for ks in t.values() for k in ks) + """], x)) AS ts FROM g, ok WHERE u >= 10 AND u >= 0.3 * c AND feature NOT IN (SELECT feature FROM base))
+SELECT feature, unnest(ts[1:8]) AS term FROM novel WHERE len(ts) >= 3""")
+def merge_lexicon(spark, sf):
+    """Features of regions with their nations' names, merged into the lexicon: the new features' terms."""
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("feature"), F.lower("n_name").alias("term"))
+    found = {r["feature"]: r["terms"] for r in rows.groupBy("feature").agg(F.array_sort(F.collect_set("term")).alias("terms")).collect()}  # a row a region
+    merged = L.merge_discovered(LEXICON, {"precise": found})["precise"]
+    return spark.createDataFrame([(f, k) for f, ks in merged.items() if f not in LEXICON["precise"] for k in ks], "feature string, term string")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::INTEGER AS dist FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def levenshtein_pairs(spark, sf):
+    n = table(spark, sf, "nation")
+    a, b = (n.select(F.col("n_name").alias(x), F.col("n_nationkey").alias(f"k{x}"), "n_regionkey") for x in "ab")
+    return a.join(b, "n_regionkey").filter("ka < kb").select("a", "b", F.levenshtein("a", "b").alias("dist"))
 
 
 @query()
@@ -401,6 +471,59 @@ def eval_mrr_hit(spark, sf):
     return evaluate.mrr_hit(*_labelled(spark, sf)).select("queries", F.round("mrr", 9).alias("mrr"), F.round("hit", 9).alias("hit"))
 
 
+DIMS = "q AS (SELECT vec_id AS query_id, 'd' || i AS feature FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings) WHERE x > 0.2), xf AS (SELECT name, 'd' || i AS feature FROM (SELECT CAST(label AS VARCHAR) AS name, i, count(*) FILTER (x > 0) AS up, count(*) AS n FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2) WHERE up * 20 > n * 11)"
+
+
+def _dims(spark, sf):
+    """Features of vectors (components over 0.2) and of labels (components that are positive on over 55 % of a label's vectors)."""
+    x = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("name"), F.posexplode("embedding").alias("i", "x")).withColumn("feature", F.concat(F.lit("d"), (F.col("i") + 1).cast("string")))
+    of_labels = x.groupBy("name", "feature").agg(F.sum((F.col("x") > 0).cast("long")).alias("up"), F.count("*").alias("n")).filter("up * 20 > n * 11").select("name", "feature")
+    return x.filter("x > cast(0.2 as float)").select(F.col("vec_id").alias("query_id"), "feature"), of_labels
+
+
+@query(f"""WITH {KNN}, {DIMS}, r AS (SELECT DISTINCT src AS query_id, CAST(b.label AS VARCHAR) AS name FROM kn JOIN embeddings b ON b.vec_id = dst),
+miss AS (SELECT vec_id AS query_id, CAST(label AS VARCHAR) AS name FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = vec_id AND r.name = CAST(label AS VARCHAR))),
+cnt AS (SELECT query_id, name, count(*) FILTER (q.feature IS NOT NULL) AS s, count(*) FILTER (q.feature IS NULL AND xf.feature IS NOT NULL) AS o, string_agg(q.feature, ',' ORDER BY q.feature) AS shared FROM miss LEFT JOIN xf USING (name) LEFT JOIN q USING (query_id, feature) GROUP BY 1, 2)
+SELECT query_id, name, coalesce(shared, '') AS shared, o AS n_item_only, o > 3 * s AS diluted FROM cnt""")
+def diagnose_miss(spark, sf):
+    wanted, ranked = _labelled(spark, sf)
+    made = evaluate.diagnose(wanted, ranked, *_dims(spark, sf))
+    return made.select("query_id", "name", F.array_join("shared", ",").alias("shared"), F.size("item_only").cast("long").alias("n_item_only"), "diluted")
+
+
+@query(f"""WITH {KNN}, {DIMS}, r AS (SELECT query_id, name, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, name) AS rank FROM (SELECT src AS query_id, CAST(b.label AS VARCHAR) AS name, max(w) AS w FROM kn JOIN embeddings b ON b.vec_id = dst GROUP BY 1, 2)) WHERE rank <= 10),
+a AS (SELECT vec_id AS query_id, unnest(['0', '1', 'none']) AS name FROM embeddings),
+l AS (SELECT query_id, list(feature) AS q FROM q GROUP BY 1), m AS (SELECT name, list(feature) AS x FROM xf GROUP BY 1)
+SELECT query_id, name, round(coalesce(w, 0), 6) AS score, round(len(list_intersect(coalesce(q, []), coalesce(x, []))) / greatest(len(list_distinct(list_concat(coalesce(q, []), coalesce(x, [])))), 1)::DOUBLE, 9) AS jaccard, array_to_string(list_sort(list_intersect(coalesce(q, []), coalesce(x, []))), ',') AS shared, x IS NOT NULL AS known
+FROM a LEFT JOIN r USING (query_id, name) LEFT JOIN l USING (query_id) LEFT JOIN m USING (name)""")
+def compare_skills(spark, sf):
+    e = table(spark, sf, "embeddings")
+    best = _knn(spark, sf).join(e.select(F.col("vec_id").alias("dst"), F.col("label").cast("string").alias("name")), "dst").groupBy(F.col("src").alias("query_id"), "name").agg(F.max("w").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name")))
+    names = e.select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("none"))).alias("name"))
+    made = evaluate.compare(*_dims(spark, sf), names, ranked)
+    return made.select("query_id", "name", F.round("score", 6).alias("score"), F.round("jaccard", 9).alias("jaccard"), F.array_join("shared", ",").alias("shared"), "known")
+
+
+@query(f"WITH {FEATS}, cats(feature, cat) AS (VALUES " + ", ".join(f"('{f}', {c})" for f, c in CATEGORIES) + """), x AS (SELECT DISTINCT query_id AS id, cat, feature FROM qf JOIN cats USING (feature)), n AS (SELECT id, cat, count(*) AS n FROM x GROUP BY 1, 2),
+c AS (SELECT p.id AS i, q.id AS j, cat, count(*) AS c FROM x p JOIN x q USING (cat, feature) WHERE p.id <> q.id GROUP BY 1, 2, 3)
+SELECT i, j, cat, round(c / (a.n + b.n - c)::DOUBLE, 9) AS val FROM c JOIN n a ON a.id = i AND a.cat = c.cat JOIN n b ON b.id = j AND b.cat = c.cat""".replace("SELECT i, j, cat, round", "SELECT i, j, c.cat, round"))
+def category_tensor(spark, sf):
+    cats = spark.createDataFrame(CATEGORIES, "feature string, cat int")
+    return vectors.category_tensor(_qf(spark, sf), cats).withColumn("val", F.round("val", 9))
+
+
+@query(ORACLES["typed_edges"].replace("SELECT * FROM d UNION ALL", "SELECT * FROM (SELECT * FROM d) UNION ALL").partition("SELECT * FROM (SELECT * FROM d)")[0] + """, sc AS (SELECT p_brand AS query_id, lower(p_type) || '-' || (['auth', 'login', 'scan', 'fix', 'build', 'deploy', 'review', 'test', 'python', 'go', 'search', 'extract'])[p_size % 12 + 1] AS id, round(max(p_retailprice) / 2500, 6)::DOUBLE AS score FROM part GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 10 AND score > 0.1),
+gv AS (SELECT query_id, dst AS id, max(score) * 0.7::DOUBLE AS given FROM top JOIN d ON d.src = top.id GROUP BY 1, 2)
+SELECT coalesce(sc.query_id, gv.query_id) AS query_id, coalesce(sc.id, gv.id) AS id, round(greatest(coalesce(score, 0), coalesce(given, 0)), 6) AS score, given IS NOT NULL AS required FROM sc FULL JOIN gv ON sc.query_id = gv.query_id AND sc.id = gv.id""")
+def dep_pull(spark, sf):
+    n = _names(spark, sf)
+    scored = n.groupBy(F.col("p_brand").alias("query_id"), F.col("name").alias("id")).agg(F.round(F.max("p_retailprice") / 2500, 6).cast("double").alias("score"))
+    depends = graph.typed_edges(n).filter("type = 'depends_on'").select("src", "dst")
+    return graph.pull_dependencies(scored, depends).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in X.SECURITY_FLAGS) + "], lambda x: x IS NOT NULL), ',') AS flags FROM pages")
 def security_flags(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(X.security_flags(F.col("html")), ",").alias("flags"))
@@ -411,7 +534,10 @@ def security_flags_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.security_flags(F.col("text")), ",").alias("flags"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(list_transform(regexp_extract_all(h, '(?:import|from)\\s+(\\w+)', 1), lambda x: lower(x)), lambda x: length(x) >= 2), list_transform(regexp_extract_all(h, '@(\\w+)', 1), lambda x: lower(x)),
+  list_transform(flatten(list_transform(regexp_extract_all(h, 'class\\s+(\\w+)', 1), lambda x: regexp_extract_all(x, '[A-Z][a-z]+'))), lambda x: lower(x)),
+  flatten(list_transform(list_filter(regexp_extract_all(h, 'def\\s+(\\w+)', 1), lambda x: NOT starts_with(x, '_')), lambda x: regexp_extract_all(lower(x), '[a-z]{3,}'))))))[1:30], ',') AS keywords FROM p""")
 def code_keywords(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(X.code_keywords(F.col("html")), ",").alias("keywords"))
 
