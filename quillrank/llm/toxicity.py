@@ -144,15 +144,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 blobs += [f[s:e].astype(np.int32).tobytes() for s, e in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), *[batch.column(y) for y in ys], pa.array(blobs, pa.binary())], names=["id", *ys, "f"])
 
-    got = rows.mapInArrow(features, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").toPandas().sort_values("id", kind="stable")
-    found = [np.frombuffer(b, np.int32) for b in got["f"]]
-    y = got[ys].to_numpy()
-    del got
+    got = rows.mapInArrow(features, "id long, " + ", ".join(f"{y} int" for y in ys) + ", f binary").toArrow().sort_by("id")
+    y = np.column_stack([got.column(c).to_numpy() for c in ys])
+    flat, ends = utf8(got.column("f"))
+    feature, size = flat.view(np.int32), np.diff(ends) // 4
     made = Chain([c[0] for c in chain])
-    doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
-    feature = np.concatenate(found) if found else np.zeros(0, np.int64)
-    del found
-    made.fit(doc, feature, y)
+    made.fit(np.repeat(np.arange(len(size), dtype=np.int32), size), feature, y)
     trim()
     return made
 
