@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.llm.common import annotate, fresh, hash_spans, load8, mix, n_batches, ranges, table, trim, utf8
+from quillrank.llm.common import fresh, hash_spans, load8, mix, n_batches, ranges, table, trim, utf8
 
 WIDTH, GRAM = 50, 20
 #: Distinct strips of one anchor beyond which its windows are dealt singly; one anchor's strips always fit a block.
 HOT = 4096
 #: Bytes of text in a suffix array (positions and ranks take 20 bits each) and in a batch of documents.
-BLOCK, BATCH = 1 << 20, 4 << 20
+BLOCK, BATCH = 1 << 19, 4 << 20
 #: Bytes winnowed at once; longer documents are winnowed in pieces that overlap by WIDTH - 1.
 PIECE, _BITS = 1 << 19, 24
 
@@ -313,28 +313,28 @@ def merge_blocks(a, b) -> None:
     low_a[target] = np.minimum(low_a[target], np.repeat(least, span))
 
 
-def least_ids(texts: list[bytes], ids: np.ndarray, counts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For all windows of distinct texts, text after text, the smallest id of a text with the same window. Texts with one group stand in one block or in two neighbours."""
+def least_ids(flat: np.ndarray, begin: np.ndarray, ids: np.ndarray, counts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For all windows of distinct texts (where each begins in `flat`), text after text, the smallest id of a text with the same window. Texts with one group stand in one block or in two neighbours."""
     order = np.argsort(group, kind="stable")
     out = np.full(int(counts.sum()), NO_DOC)
-    begin = np.append(0, np.cumsum(counts))
+    place = np.append(0, np.cumsum(counts))
     size = np.cumsum((counts + WIDTH - 1)[order])
     last, i = None, 0
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + BLOCK - 1 - WIDTH, "right")))
         part = order[i:j]
-        flat = np.frombuffer(b"".join([texts[k] for k in part]), np.uint8)
         length = counts[part] + WIDTH - 1
+        piece = flat[ranges(begin[part], length)]
         starts = np.cumsum(length) - length
-        sa, low = class_minima(flat, starts, counts[part], ids[part])
-        now = (flat, sa, low, part, starts)
+        sa, low = class_minima(piece, starts, counts[part], ids[part])
+        now = (piece, sa, low, part, starts)
         if last is not None:
             if group[last[3][-1]] == group[part[0]]:
                 merge_blocks(last[:3], now[:3])
-            out[ranges(begin[last[3]], counts[last[3]])] = last[2][ranges(last[4], counts[last[3]])]
+            out[ranges(place[last[3]], counts[last[3]])] = last[2][ranges(last[4], counts[last[3]])]
         last, i = now, j
     if last is not None:
-        out[ranges(begin[last[3]], counts[last[3]])] = last[2][ranges(last[4], counts[last[3]])]
+        out[ranges(place[last[3]], counts[last[3]])] = last[2][ranges(last[4], counts[last[3]])]
     return out
 
 
@@ -358,29 +358,27 @@ def answer_grams(rows: pa.Table):
 def answer_texts(rows: pa.Table):
     """For each batch, the smallest id for each window of its texts; texts that hold no smaller id are left out only if the batch can't use them."""
     batches = rows.column("_p").to_pylist()
-    ids, counts, anchors, texts, sizes = [], [], [], [], []
-    for b in rows.column("_blob"):
-        d, n, a, text = unpack(b.as_py(), np.int64, np.uint8, np.uint8, np.uint8)
-        ids.append(np.cumsum(d))
-        counts.append(n.astype(np.int64))
-        anchors.append(a.astype(np.int64))
-        sizes.append(len(n))
-        raw, ends = text.tobytes(), np.cumsum(n.astype(np.int64) + WIDTH - 1).tolist()
-        texts += [raw[s:e] for s, e in zip([0, *ends[:-1]], ends)]
-    ids, counts, anchors = (np.concatenate(x) for x in (ids, counts, anchors))
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
-    least = np.full(len(number), NO_DOC)
-    np.minimum.at(least, which, ids)
-    first = np.full(len(number), -1, np.int64)
-    first[which[::-1]] = np.arange(len(which))[::-1]
-    unique = list(number)
-    flat = np.frombuffer(b"".join(unique) + b"\0" * 32, np.uint8)
-    n = counts[first]
-    begin = np.cumsum(n + WIDTH - 1) - (n + WIDTH - 1)
-    group = gram_hash(load8(flat), begin + anchors[first]) if len(unique) else np.zeros(0, np.uint64)
-    low = least_ids(unique, least, n, group)
-    windows = np.append(0, np.cumsum(n))
+    parts = [unpack(b.as_py(), np.int64, np.uint8, np.uint8, np.uint8) for b in rows.column("_blob")]
+    sizes = [len(p[1]) for p in parts]
+    ids = np.concatenate([np.cumsum(p[0]) for p in parts])
+    counts, anchors = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
+    flat = np.concatenate([*[p[3] for p in parts], np.zeros(32, np.uint8)])
+    del parts
+    # Equal texts collapse; they are told apart by two hashes, as where they were sent.
+    length = counts + WIDTH - 1
+    start = np.cumsum(length) - length
+    eight = load8(flat)
+    a, b = hash_spans(eight, start, length, 1), hash_spans(eight, start, length, 2)
+    order = np.lexsort((b, a))
+    head = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(head) - 1
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(head))
+    first = order[head]
+    del a, b, order
+    group = gram_hash(eight, start[first] + anchors[first])
+    low = least_ids(flat, start[first], least, counts[first], group)
+    windows = np.append(0, np.cumsum(counts[first]))
     at = 0
     for p, size in zip(batches, sizes):
         w, c = which[at : at + size], counts[at : at + size]
@@ -402,8 +400,8 @@ def _rows(made, shape: T.StructType, fixed: int, flip: bool) -> pa.Table:
 MAIL = T.StructType().add("_p", "long").add("_s", "long").add("_blob", "binary")
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes, binary)."""
+def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, cut: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes, binary). cut: without kept, the text itself is what remains, without parts of characters; a null text stays null."""
     batches = batches or n_batches(docs, text_col, BATCH, 64)
     cols = docs.columns
     at = (cols.index(id_col), cols.index(text_col))
@@ -411,7 +409,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     shape = T.StructType()
     for f in docs.schema.fields:
         shape.add(f.name, f.dataType)
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), *([] if cut else [("kept", "binary")])):
         shape.add(fresh(shape.fieldNames(), name), T.DataType.fromDDL(kind))
 
     def first(key, rows: pa.Table) -> pa.Table:
@@ -442,9 +440,14 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
             g = gone[s:e]
             n_removed.append(int(g.sum()))
             n_spans.append(int((g[1:] & ~g[:-1]).sum() + (e > s and g[0])))
-            kept.append(b.flat[s:e][~g].tobytes() if n_removed[-1] else b.flat[s:e].tobytes())
+            kept.append((b.flat[s:e][~g] if n_removed[-1] else b.flat[s:e]).tobytes())
         keep = [b.docs.column(f"_c{k}") for k in range(len(cols))]
-        return pa.table([*keep, pa.array(np.diff(b.offs)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=shape.fieldNames())
+        made = [pa.array(np.diff(b.offs)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())]
+        if cut:  # a U+FFFD of the text itself is valid and stays
+            keep[at[1]] = pa.array([k.decode("utf-8", "ignore") if t else None for k, t in zip(kept, keep[at[1]].is_valid().to_pylist())], pa.string())
+        else:
+            made.append(pa.array(kept, pa.binary()))
+        return pa.table([*keep, *made], names=shape.fieldNames())
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -459,15 +462,10 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
 
 def removed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the repeated strings cut out of the text, same columns. Parts of characters that a cut leaves go too; a null text stays null."""
-    made = removal(docs, id_col, text_col)
-    new = made.columns[len(docs.columns) :]
-    def begin():
-        return lambda kept: [pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())]
-
-    made = annotate(made, [new[3]], [("cut", "string")], begin)  # a U+FFFD of the text itself is valid and stays
-    made = made.withColumn(text_col, F.when(F.col(new[1]) == 0, F.col(text_col)).otherwise(F.col(made.columns[-1])))
+    made = removal(docs, id_col, text_col, cut=True)
+    gone = made.columns[len(docs.columns) + 1]
     if length_col:
-        made = made.withColumn(length_col, F.when(F.col(new[1]) == 0, F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
+        made = made.withColumn(length_col, F.when(F.col(gone) == 0, F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
     return made.select(*docs.columns)
 
 
