@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 CHUNK = 1 << 20
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds the Arrow batches of the session: rows hold whole texts, and a worker holds several batches' worth."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -55,11 +55,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def annotate(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], start: Callable[[], Callable]) -> DataFrame:
+def annotate(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], start: Callable[[], Callable], slice_bytes: int | None = None) -> DataFrame:
     """df with the columns `fields` (name, DDL type) appended, in one narrow Arrow pass.
 
     start() is called once a task and returns f(*arrays) -> list of Arrow arrays. Names in
-    `fields` that df has already come out with leading underscores (see fresh).
+    `fields` that df has already come out with leading underscores (see fresh). With slice_bytes,
+    batches are worked on and sent back in slices of so many bytes of the first input (a longer text alone).
     """
     names = df.columns
     out = T.StructType(list(df.schema.fields))
@@ -69,9 +70,12 @@ def annotate(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
-        for batch in batches:
-            made = step(*[batch.column(i) for i in at])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=out.fieldNames())
+        for whole in batches:
+            cuts = chunks(utf8(whole.column(at[0]))[1], slice_bytes) if slice_bytes else [(0, whole.num_rows)]
+            for i, j in cuts:
+                batch = whole.slice(i, j - i) if slice_bytes else whole
+                made = step(*[batch.column(i) for i in at])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=out.fieldNames())
         del step
         trim()
 

@@ -23,24 +23,24 @@ import codecs
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.llm.common import annotate, per_process, ranges, table, utf8
+from quillrank.llm.common import annotate, chunks, per_process, ranges, table, utf8
 
 SPACE = "▁"
 #: A run of blanks with what follows it up to the next blank.
 RUN = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 #: Runs of more symbols than the last go through a heap one by one; the others lie in matrices of these widths.
 WIDTHS = (8, 12, 16, 24, 40)
-#: Bytes of runs, and number of runs, that a worker process keeps the ids of; the longest run it keeps.
-KEPT_BYTES, KEPT_RUNS, KEPT_LENGTH = 24 << 20, 600_000, 64
-#: Runs gathered at once, and bytes of a line that the library checks.
-PART, LINE = 1_000_000, 1024
+#: Bytes of ids, and number of runs, that a worker process keeps; the longest run it keeps.
+KEPT_BYTES, KEPT_RUNS, KEPT_LENGTH = 12 << 20, 250_000, 64
+#: Bytes of texts cut into runs at once (a longer text alone), runs gathered at once, and bytes of a line that the library checks.
+SLICE, PART, LINE = 1 << 20, 120_000, 1024
 NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -184,8 +184,8 @@ class Vocabulary:
         least = 0
         for width in WIDTHS:
             rows = np.flatnonzero((size > least) & (size <= width))
-            for k in range(0, len(rows), 1 << 16):
-                some = rows[k : k + (1 << 16)]
+            for k in range(0, len(rows), 1 << 15):
+                some = rows[k : k + (1 << 15)]
                 parts.append((some, *self._merge_rows(points, begin[some], size[some], width)))
             least = width
         for r in np.flatnonzero(size > least):
@@ -273,8 +273,8 @@ class Codec:
 
     def __init__(self, model: bytes, check: bool = True):
         self.vocabulary, self.check = Vocabulary(model), check
-        self.known = pa.array([], pa.binary())
-        #: Ids of the known runs, four bytes each.
+        #: Known runs and their places in `held`, which has their ids, four bytes each; the oldest come first.
+        self.known: dict[bytes, int] = {}
         self.held = pa.array([], pa.binary())
 
     def learn(self, runs: pa.Array) -> pa.Array:
@@ -338,40 +338,50 @@ class Codec:
 
     def pieces(self, texts: pa.Array):
         """(first text, last text and one more, number of ids of each, ids as 32-bit numbers): parts of the batch in order; a text of many runs comes in several parts."""
+        _, offs = utf8(texts)
+        for s, e in chunks(offs, SLICE):
+            for text, last, counts, ids in self._pieces(texts.slice(s, e - s)):
+                yield s + text, s + last, counts, ids
+
+    def _pieces(self, texts: pa.Array):
         flat, starts, first = self.runs_of(texts)
         n, i, text = len(starts) - 1, 0, 0
         while i < n:
             j = min(n, i + PART)
             lo, hi = starts[i], starts[j]
             runs = binary(starts[i : j + 1] - lo, np.ascontiguousarray(flat[lo:hi])).dictionary_encode()
-            at = pc.index_in(runs.dictionary, value_set=self.known)
-            new = runs.dictionary.filter(pc.is_null(at))
-            made = self.learn(new)
-            pick = at.to_numpy(zero_copy_only=False)
-            pick = np.where(np.isnan(pick), 0, pick).astype(np.int64) if pick.dtype.kind == "f" else pick.astype(np.int64)
-            fresh = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
-            pick[fresh] = len(self.known) + np.arange(len(fresh))
+            flat_runs, cuts = utf8(runs.dictionary)
+            raw, cuts = flat_runs.tobytes(), cuts.tolist()
+            found = [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+            pick = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+            fresh = np.flatnonzero(pick < 0)
+            made = self.learn(runs.dictionary.take(pa.array(fresh)))
+            pick[fresh] = len(self.held) + np.arange(len(fresh))
             every = pa.concat_arrays([self.held, made])
             got = every.take(pa.array(pick)).take(runs.indices)
+            self._keep([found[k] for k in fresh.tolist()], every)
+            del found, raw, every
             data, ends = utf8(got)
             ids, ends = data.view(np.int32) if len(data) else np.zeros(0, np.int32), ends // 4
-            self._keep(new, made)
             last = int(np.searchsorted(first, j, "left"))  # texts that begin before run j
             bounds = np.clip(first[text : last + 1], i, j) - i
             yield text, last, np.diff(ends[bounds]), ids
             text = last if first[last] == j else last - 1
             i = j
 
-    def _keep(self, new: pa.Array, made: pa.Array) -> None:
-        """The newest runs first, as many as the bounds allow."""
-        short = pc.less_equal(pc.binary_length(new), KEPT_LENGTH)
-        known, held = pa.concat_arrays([new.filter(short), self.known]), pa.concat_arrays([made.filter(short), self.held])
-        if len(known) > KEPT_RUNS or known.nbytes + held.nbytes > KEPT_BYTES:
-            # Down to half, so that the oldest go seldom.
-            size = np.cumsum(pc.binary_length(known).to_numpy() + pc.binary_length(held).to_numpy() + 8)
+    def _keep(self, new: list[bytes], every: pa.Array) -> None:
+        """Adds new runs; beyond the bounds the older half goes. A long run's ids stay until then, but it is not found again."""
+        at = len(self.held)
+        self.known.update(zip(new, range(at, len(every))))
+        for r in [r for r in new if len(r) > KEPT_LENGTH]:
+            del self.known[r]
+        self.held = every
+        if len(every) > KEPT_RUNS or every.nbytes > KEPT_BYTES:
+            size = np.cumsum(pc.binary_length(every).to_numpy()[::-1])
             n = min(KEPT_RUNS // 2, int(np.searchsorted(size, KEPT_BYTES // 2)))
-            known, held = pa.concat_arrays([known.slice(0, n)]), pa.concat_arrays([held.slice(0, n)])
-        self.known, self.held = known, held
+            gone = len(every) - n
+            self.known = {r: k - gone for r, k in self.known.items() if k >= gone}
+            self.held = pa.concat_arrays([every.slice(gone), pa.array([], pa.binary())])
 
     def text_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decoded bytes of all ids, and where each id's begin."""
@@ -432,7 +442,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", chec
 
         return step
 
-    return annotate(docs, [text_col], [("ids", "array<int>"), ("decoded", "string")], begin)
+    return annotate(docs, [text_col], [("ids", "array<int>"), ("decoded", "string")], begin, SLICE)
 
 
 def encode_digest(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
@@ -465,7 +475,7 @@ def encode_digest(docs: DataFrame, model_path: str, text_col: str = "text", chec
 
         return step
 
-    return annotate(docs, [text_col], [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], begin)
+    return annotate(docs, [text_col], [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], begin, SLICE)
 
 
 def default_model() -> str:
