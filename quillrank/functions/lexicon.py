@@ -41,6 +41,20 @@ def read_lexicon(spark: SparkSession, path: str) -> Lexicon:
     return {tier: {f: list(ks) for f, ks in held.get(tier, {}).items()} for tier in ("broad", "precise")}
 
 
+def sample_lexicon() -> Lexicon:
+    """A small lexicon of our own for software items, to start with; a corpus deserves one of its own (read_lexicon)."""
+    broad = {
+        "security": ["security", "vulnerab", "安全"], "testing": ["test", "测试"], "frontend": ["frontend", "react", "css", "前端"], "backend": ["backend", "server", "api", "后端"],
+        "database": ["database", "sql", "数据库"], "devops": ["deploy", "docker", "kubernetes", "部署"], "data": ["dataset", "pipeline", "数据"], "ml": ["machine learning", "training", "模型"],
+        "document": ["document", "markdown", "文档"], "mobile": ["mobile", "android", "ios"], "network": ["network", "proxy", "网络"], "code_quality": ["review", "lint", "审查"],
+    }
+    precise = {
+        "python": ["python", "pytest"], "javascript_ts": ["javascript", "typescript", "node"], "go": ["\\bgo\\b", "golang"], "rust": ["rust", "cargo"], "java": ["java ", "spring"],
+        "shell": ["bash", "shell"], "build_fix": ["build error", "compile", "构建"], "performance": ["performance", "latency", "性能"], "planning": ["plan", "roadmap", "规划"], "refactor_clean": ["refactor", "dead code", "重构"],
+    }
+    return {"broad": broad, "precise": precise}
+
+
 def merge(base: Lexicon, *packs: Lexicon) -> Lexicon:
     """Later packs replace whole features of earlier ones."""
     return {tier: reduce(lambda a, b: a | b, [p.get(tier, {}) for p in (base, *packs)]) for tier in ("broad", "precise")}
