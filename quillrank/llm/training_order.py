@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import annotate, mix, shared_dir, table, utf8, written
+from quillrank.llm.common import chunks, mix, shared_dir, table, trim, utf8, written
 from quillrank.llm.sentencepiece_codec import SLICE, codec_starter, default_model
 
 LENGTH, SLOTS, KEY, ROUNDS = 2048, 512, 20240601, 6
 HEADER = 16
 #: Bytes of records that a task collects before it sends them on.
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 #: Bytes of records of one file, about.
 FILE = 64 << 20
 NO_ID = -(1 << 63)
@@ -69,9 +69,11 @@ def byte_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids binary")
 
 
-def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> int:
-    """Writes doc_id, ids (binary, 16 bits each) as shards under path; the number of sequences."""
-    spark = sequences.sparkSession
+NUMBERED = "part long, begin long, n long, doc_id long, ids binary"
+
+
+def numberer(length: int):
+    """Batches (doc_id, ids) with the task's number, the first sequence's number in the task and the number of sequences of each row."""
 
     def number(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -81,7 +83,16 @@ def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: in
             at += int(sum(n))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), pa.array(begin), pa.array(n, pa.int64()), *batch.columns], names=["part", "begin", "n", "doc_id", "ids"])
 
-    held = written(sequences.select("doc_id", "ids").mapInArrow(number, "part long, begin long, n long, doc_id long, ids binary"))
+    return number
+
+
+def materialise(sequences: DataFrame, path: str, length: int = LENGTH, slots: int = SLOTS, key: int = KEY) -> int:
+    """Writes doc_id, ids (binary, 16 bits each) as shards under path; the number of sequences."""
+    spark = sequences.sparkSession
+
+    if "begin" not in sequences.columns:
+        sequences = sequences.select("doc_id", "ids").mapInArrow(numberer(length), NUMBERED)
+    held = written(sequences.select("part", "begin", "n", "doc_id", "ids"))
     sizes = held.groupBy("part").agg(F.max(F.col("begin") + F.col("n")).alias("n")).orderBy("part").collect()  # one row an input split
     first, total = {}, 0
     for r in sizes:
@@ -202,30 +213,32 @@ def in_order(spark: SparkSession, path: str, start: int = 0, window: int = 1 <<
         yield from read_slots(spark, path, low, low + window).select("slot", "doc_id", "part", "ids").sort("slot").toLocalIterator()
 
 
-def token_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary, 16 bits each) of a merge-type vocabulary of at most 2^16 pieces."""
-    start = codec_starter(docs.sparkSession, model_path, True)
+def token_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", length: int | None = None, check: bool = False) -> DataFrame:
+    """doc_id and ids (binary, 16 bits each) of a merge-type vocabulary of at most 2^16 pieces. With `length` the rows are numbered for materialise in the same pass. check: against the library, as op5 does."""
+    start = codec_starter(docs.sparkSession, model_path, check)
 
-    def begin():
+    def encode(batches):
         codec = start()
-
-        def step(texts):
-            texts = pc.fill_null(texts.cast(pa.string()), "")
-            total, ids = np.zeros(len(texts), np.int64), [np.zeros(0, "<u2")]
-            for s, e, counts, part in codec.pieces(texts):
-                total[s:e] += counts
-                ids.append(part.astype("<u2"))
-            return [pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(np.append(0, np.cumsum(2 * total)).astype(np.int32)), pa.py_buffer(np.concatenate(ids))])]
-
-        return step
-
-    made = annotate(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["text"], [("ids", "binary")], begin, SLICE)
-    return made.select("doc_id", "ids")
+        for whole in batches:
+            for i, j in chunks(utf8(whole.column(1))[1], SLICE):
+                texts = pc.fill_null(whole.column(1).slice(i, j - i).cast(pa.string()), "")
+                total, ids = np.zeros(j - i, np.int64), [np.zeros(0, "<u2")]
+                for s, e, counts, part in codec.pieces(texts):
+                    total[s:e] += counts
+                    ids.append(part.astype("<u2"))
+                blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.append(0, np.cumsum(2 * total)).astype(np.int32)), pa.py_buffer(np.concatenate(ids))])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), blobs], names=["doc_id", "ids"])
+        trim()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    if length is None:
+        return rows.mapInArrow(encode, "doc_id long, ids binary")
+    return rows.mapInArrow(lambda batches: numberer(length)(encode(batches)), NUMBERED)
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    materialise(token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model()), path)
+    materialise(token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), default_model(), length=LENGTH), path)
     return read_slots(spark, path).select("slot", "shard", "byte_offset", "doc_id", "part", (F.octet_length("ids") / 2).cast("long").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
 
 
