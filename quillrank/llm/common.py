@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled at once by the vectorised kernels; bounds the memory of a Python worker.
 CHUNK = 1 << 20
+#: Folders written in this process, for `clean`.
+_written: list[str] = []
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
@@ -37,24 +39,36 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session (tests) may do without, and gets one of the machine's own."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        held = spark.sparkContext.getCheckpointDir()
-        where = held or os.path.join(tempfile.gettempdir(), "quillrank-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), "quillrank-checkpoints")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
     return where
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage, survives lost executors. It stays until `clean`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes every table that this process has written here; for the end of a job, when its results are written. How many there were."""
+    n, jvm = 0, spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def annotate(df: DataFrame, inputs: list[str], fields: list[tuple[str, str]], start: Callable[[], Callable], slice_bytes: int | None = None) -> DataFrame:
     """df with the columns `fields` (name, DDL type) appended, in one narrow Arrow pass.
 

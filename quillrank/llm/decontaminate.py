@@ -9,7 +9,8 @@ whole window inside the document (length bound); what remains is compared word b
 item-sized window, first by word hash and then by its bytes.
 
 The benchmark side travels to the executors in blocks of a checked size; documents pass one block
-after another, with a written table between blocks, so a benchmark of any size is handled whole.
+after another, with a written table between blocks, so a benchmark of any size is handled whole; an item
+of more than a block is cut into pieces that overlap by a window less one word.
 
 Defined results: null and wordless texts have no words and hit nothing; items with a null id or
 without words take no part; repeated items with one id count once; repeated documents are each
@@ -52,12 +53,10 @@ class Block:
         flat = np.frombuffer(b"".join(vocab) + b"\0" * 8, np.uint8)
         lens = np.array([len(w) for w in vocab], np.int64)
         hashes = hash_spans(load8(flat), np.cumsum(lens) - lens, lens)
-        if len(np.unique(hashes)) != len(vocab):
-            raise ValueError("two benchmark words share a 64-bit hash")
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        number = {vocab[v]: i + 1 for i, v in enumerate(order)}
-        self.base = np.int64(len(vocab) + 1)
+        # Words that share a hash share a number; what is found is compared by its bytes in the end.
+        self.hashes, at = np.unique(hashes, return_inverse=True)
+        number = dict(zip(vocab, (at + 1).tolist()))
+        self.base = np.int64(len(self.hashes) + 1)
         self.length = np.array([len(w) for w in self.windows], np.int64)
         self.matrix = np.zeros((len(self.windows), max(self.length, default=1)), np.int32)
         for i, w in enumerate(self.windows):
@@ -113,18 +112,34 @@ class Block:
         return window, start
 
 
+def pieces(ws: list[bytes], window: int, most: int):
+    """Runs of an item's words, of about `most` bytes (one window at least), that hold all its windows: a run begins window - 1 words before the last one's end."""
+    i = 0
+    while True:
+        j = min(i + window, len(ws))
+        size = sum(map(len, ws[i:j]))
+        while j < len(ws) and size + len(ws[j]) <= most:
+            size += len(ws[j])
+            j += 1
+        yield ws[i:j], size
+        if j == len(ws):
+            return
+        i = j - window + 1
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int):
-    """The benchmark's rows in blocks of bounded text, read one partition at a time."""
+    """The benchmark's rows in blocks of bounded bytes, read one partition at a time. A longer item is cut into pieces that overlap, with all its windows."""
     held, size = [], 0
     for name, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         ws = item_words(text)
         if name is None or not ws:
             continue
-        if held and size + len(text) > block_bytes:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((name, ws))
-        size += len(text)
+        for part, n in pieces(ws, window, block_bytes):
+            if held and size + n > block_bytes:
+                yield Block(held, window)
+                held, size = [], 0
+            held.append((name, part))
+            size += n
     if held:
         yield Block(held, window)
 
