@@ -16,6 +16,10 @@ equal anchors, and neighbouring windows with one anchor travel together as one s
    blocks are merged by binary search. Each strip is answered with the smallest id per window.
 4. Each batch applies the answers to its documents.
 
+Batches and shards write to each other directly as long as a letter holds some thirty anchors. Beyond
+DIRECT batches that would be mostly envelopes, so there a sender writes to groups of about the root of
+the receivers' number, and relays hand the letters on, many senders' in one envelope a receiver.
+
 Defined results: null text is empty. A null doc_id is neither smaller nor larger than another, so
 its document loses and causes nothing. Rows that repeat a doc_id don't affect each other. Texts of
 any length are taken whole. An empty table gives an empty table. Extra columns stay; result names
@@ -25,6 +29,8 @@ that clash get underscores.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +50,18 @@ BLOCK, BATCH = 1 << 19, 4 << 20
 #: Bytes winnowed at once; longer documents are winnowed in pieces that overlap by WIDTH - 1.
 PIECE, _BITS = 1 << 19, 24
 
+#: Batches up to which each writes to each shard; bytes of letters that a sender gathers for a group, and a relay before it hands them on.
+DIRECT, ENVELOPE, RELAY = 8192, 1 << 20, 32 << 20
+
 NO_DOC = np.iinfo(np.int64).max
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(len(x := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + x for a in arrays))
+    return b"".join(len(x := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + x for a in arrays)
 
 
-def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+def unpack(raw: bytes, *kinds) -> list[np.ndarray]:
+    at, out = 0, []
     for kind in kinds:
         n = int.from_bytes(raw[at : at + 8], "little")
         out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
@@ -60,6 +69,37 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def envelope(letters: list[tuple[int, int, bytes]]) -> bytes:
+    """Letters (receiver, sender, content) in one compressed piece."""
+    to, sender, content = zip(*letters)
+    heads = np.array([to, sender, [len(c) for c in content]], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(pack(heads) + b"".join(content))
+
+
+def opened(blob: bytes):
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (heads,) = unpack(raw, np.int64)
+    at = 8 + heads.nbytes
+    for to, sender, n in heads.reshape(3, -1).T.tolist():
+        yield to, sender, raw[at : at + n]
+        at += n
+
+
+def letters_of(rows: pa.Table):
+    """(sender, content) of all letters in rows of MAIL."""
+    for blob in rows.column("_blob"):
+        for _, sender, content in opened(blob.as_py()):
+            yield sender, content
+
+
+def runs_of(numbers: np.ndarray):
+    """(number, its places) in rising order of the numbers."""
+    order = np.argsort(numbers, kind="stable")
+    found, begin = np.unique(numbers[order], return_index=True)
+    for k, i, j in zip(found.tolist(), begin.tolist(), np.append(begin[1:], len(order)).tolist()):
+        yield k, order[i:j]
+
+
 def gram_hash(eight: np.ndarray, at: np.ndarray | slice, n: int = 0) -> np.ndarray:
     """Hash of the 20 bytes from each place on."""
     if isinstance(at, slice):
@@ -155,20 +195,14 @@ class Batch:
         least, most = np.full(len(self.grams), NO_DOC), np.full(len(self.grams), np.iinfo(np.int64).min)
         np.minimum.at(least, self.gram_of, ids)
         np.maximum.at(most, self.gram_of, ids)
-        order = np.argsort(self.shard_of_gram, kind="stable")
-        cut = np.searchsorted(self.shard_of_gram[order], np.arange(self.shards + 1))
-        for k in range(self.shards):
-            if cut[k] < cut[k + 1]:
-                g = order[cut[k] : cut[k + 1]]
-                yield k, pack(np.diff(self.grams[g], prepend=np.uint64(0)), np.minimum(n[g], 65535).astype(np.uint16), (most[g] > least[g]).astype(np.uint8))
+        for k, g in runs_of(self.shard_of_gram):
+            yield k, pack(np.diff(self.grams[g], prepend=np.uint64(0)), np.minimum(n[g], 65535).astype(np.uint16), (most[g] > least[g]).astype(np.uint8))
 
     def take_codes(self, answers: dict[int, bytes]) -> None:
         """0: the anchor is in one document, 1: shared, 2: hot. Then the texts to send, in a fixed order."""
         code = np.zeros(len(self.grams), np.uint8)
-        order = np.argsort(self.shard_of_gram, kind="stable")
-        cut = np.searchsorted(self.shard_of_gram[order], np.arange(self.shards + 1))
-        for k, blob in answers.items():
-            code[order[cut[k] : cut[k + 1]]] = unpack(blob, np.uint8)[0]
+        for k, g in runs_of(self.shard_of_gram):
+            code[g] = unpack(answers[k], np.uint8)[0]
         s, code = self.s, code[self.gram_of]
         one, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
         windows = s.windows[hot]
@@ -186,9 +220,7 @@ class Batch:
         self.shard_of = (mix(key) % np.uint64(self.shards)).astype(np.int64)
 
     def by_shard(self):
-        order = np.argsort(self.shard_of, kind="stable")
-        cut = np.searchsorted(self.shard_of[order], np.arange(self.shards + 1))
-        return {k: order[cut[k] : cut[k + 1]] for k in range(self.shards) if cut[k] < cut[k + 1]}
+        return dict(runs_of(self.shard_of))
 
     def send_texts(self):
         for k, u in self.by_shard().items():
@@ -340,8 +372,7 @@ def least_ids(flat: np.ndarray, begin: np.ndarray, ids: np.ndarray, counts: np.n
 
 def answer_grams(rows: pa.Table):
     """For each batch, which of its anchors are shared or hot."""
-    batches = rows.column("_p").to_pylist()
-    parts = [unpack(b.as_py(), np.uint64, np.uint16, np.uint8) for b in rows.column("_blob")]
+    batches, parts = zip(*((p, unpack(x, np.uint64, np.uint16, np.uint8)) for p, x in letters_of(rows)))
     gram = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     n = np.concatenate([p[1] for p in parts]).astype(np.int64)
     several = np.concatenate([p[2] for p in parts]).astype(np.int64)
@@ -357,8 +388,7 @@ def answer_grams(rows: pa.Table):
 
 def answer_texts(rows: pa.Table):
     """For each batch, the smallest id for each window of its texts; texts that hold no smaller id are left out only if the batch can't use them."""
-    batches = rows.column("_p").to_pylist()
-    parts = [unpack(b.as_py(), np.int64, np.uint8, np.uint8, np.uint8) for b in rows.column("_blob")]
+    batches, parts = zip(*((p, unpack(x, np.int64, np.uint8, np.uint8, np.uint8)) for p, x in letters_of(rows)))
     sizes = [len(p[1]) for p in parts]
     ids = np.concatenate([np.cumsum(p[0]) for p in parts])
     counts, anchors = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
@@ -386,23 +416,60 @@ def answer_texts(rows: pa.Table):
         at += size
 
 
-def _rows(made, shape: T.StructType, fixed: int, flip: bool) -> pa.Table:
-    a, b = [], []
-    for k, blob in made:
-        a.append(k)
-        b.append(blob)
-    mine = [fixed] * len(a)
-    cols = (a, mine, b) if flip else (mine, a, b)
+MAIL = T.StructType().add("_to", "long").add("_blob", "binary")
+
+
+def mailed(made, sender: int, fan: int) -> pa.Table:
+    """Rows of MAIL from pairs (receiver, content): a row a receiver, or (fan > 1) rows for groups of `fan` receivers."""
+    to, blobs, held, size = [], [], defaultdict(list), defaultdict(int)
+
+    def post(group):
+        to.append(group)
+        blobs.append(envelope(held.pop(group)))
+        size.pop(group)
+
+    for k, content in made:
+        group = k // fan
+        held[group].append((k, sender, content))
+        size[group] += len(content)
+        if fan == 1 or size[group] > ENVELOPE:
+            post(group)
+    for group in list(held):
+        post(group)
     trim()
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=shape.fieldNames())
+    return pa.table([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], names=MAIL.fieldNames())
+
+
+def relayed(mail: DataFrame, fan: int) -> DataFrame:
+    """Mail to groups of receivers (fan > 1) handed on to the receivers, in envelopes of many senders' letters."""
+    if fan == 1:
+        return mail
+
+    def run(batches):
+        held, size = defaultdict(list), 0
+
+        def post():
+            for to, letters in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([envelope(letters)], pa.binary())], names=MAIL.fieldNames())
 
+        for batch in batches:
+            for blob in batch.column(1):
+                for letter in opened(blob.as_py()):
+                    held[letter[0]].append(letter)
+                    size += len(letter[2])
+                if size > RELAY:
+                    yield from post()
+                    held, size = defaultdict(list), 0
+        yield from post()
+        trim()
 
-MAIL = T.StructType().add("_p", "long").add("_s", "long").add("_blob", "binary")
+    return mail.repartition("_to").sortWithinPartitions("_to").mapInArrow(run, MAIL)
 
 
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, cut: bool = False) -> DataFrame:
+def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, cut: bool = False, direct: int = DIRECT) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (remaining bytes, binary). cut: without kept, the text itself is what remains, without parts of characters; a null text stays null."""
     batches = batches or n_batches(docs, text_col, BATCH, 64)
+    fan = 1 if batches <= direct else math.isqrt(batches - 1) + 1
     cols = docs.columns
     at = (cols.index(id_col), cols.index(text_col))
     dealt = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(cols)], F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("long").alias("_p"))
@@ -413,26 +480,26 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
         shape.add(fresh(shape.fieldNames(), name), T.DataType.fromDDL(kind))
 
     def first(key, rows: pa.Table) -> pa.Table:
-        return _rows(Batch(rows, batches, *at).send_grams(), MAIL, key[0].as_py(), False)
+        return mailed(Batch(rows, batches, *at).send_grams(), key[0].as_py(), fan)
 
     def gram_shard(key, rows: pa.Table) -> pa.Table:
-        return _rows(answer_grams(rows), MAIL, key[0].as_py(), True)
+        return mailed(answer_grams(rows), key[0].as_py(), fan)
 
     def second(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return MAIL_EMPTY
+            return mailed((), key[0].as_py(), fan)
         b = Batch(rows, batches, *at)
-        b.take_codes(dict(zip(answers.column("_s").to_pylist(), answers.column("_blob").to_pylist())))
-        return _rows(b.send_texts(), MAIL, key[0].as_py(), False)
+        b.take_codes(dict(letters_of(answers)))
+        return mailed(b.send_texts(), key[0].as_py(), fan)
 
     def text_shard(key, rows: pa.Table) -> pa.Table:
-        return _rows(answer_texts(rows), MAIL, -1 - key[0].as_py(), True)
+        return mailed(answer_texts(rows), -1 - key[0].as_py(), fan)
 
     def third(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], f.type) for f in arrow_shape], names=shape.fieldNames())
         b = Batch(rows, batches, *at)
-        got = dict(zip(answers.column("_s").to_pylist(), answers.column("_blob").to_pylist()))
+        got = dict(letters_of(answers))
         b.take_codes({s: x for s, x in got.items() if s >= 0})
         gone = b.removed({-1 - s: x for s, x in got.items() if s < 0})
         n_removed, n_spans, kept = [], [], []
@@ -452,12 +519,11 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_shape = list(to_arrow_schema(shape))
-    MAIL_EMPTY = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=MAIL.fieldNames())
-    grams = dealt.groupBy("_p").applyInArrow(lambda k, t: first(k, t), MAIL)
-    codes = grams.groupBy("_s").applyInArrow(lambda k, t: gram_shard(k, t), MAIL)
-    texts = dealt.groupBy("_p").cogroup(codes.groupBy("_p")).applyInArrow(lambda k, t, a: second(k, t, a), MAIL)
-    minima = texts.groupBy("_s").applyInArrow(lambda k, t: text_shard(k, t), MAIL)
-    return dealt.groupBy("_p").cogroup(codes.unionByName(minima).groupBy("_p")).applyInArrow(lambda k, t, a: third(k, t, a), shape)
+    grams = relayed(dealt.groupBy("_p").applyInArrow(lambda k, t: first(k, t), MAIL), fan)
+    codes = relayed(grams.groupBy("_to").applyInArrow(lambda k, t: gram_shard(k, t), MAIL), fan)
+    texts = relayed(dealt.groupBy("_p").cogroup(codes.groupBy("_to")).applyInArrow(lambda k, t, a: second(k, t, a), MAIL), fan)
+    minima = relayed(texts.groupBy("_to").applyInArrow(lambda k, t: text_shard(k, t), MAIL), fan)
+    return dealt.groupBy("_p").cogroup(codes.unionByName(minima).groupBy("_to")).applyInArrow(lambda k, t, a: third(k, t, a), shape)
 
 
 def removed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:

@@ -63,6 +63,24 @@ def test_suffix_array_hot_anchor_and_small_blocks(docs, rows, monkeypatch):
     assert sort(got) == sort(suffix_dedup.brute_force([(r[0], r[1]) for r in rows]))
 
 
+def test_suffix_array_over_relays(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ENVELOPE", 200)
+    monkeypatch.setattr(suffix_dedup, "RELAY", 1000)
+    made = suffix_dedup.removal(docs, batches=7, direct=6)
+    got = made.select("doc_id", "_n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sort(got) == sort(suffix_dedup.brute_force([(r[0], r[1]) for r in rows]))
+
+
+def test_relays_bring_every_letter_in_few_envelopes(spark):
+    n, fan = 100, 10
+    rows = [r for p in range(n) for r in suffix_dedup.mailed([(k, b"%d-%d" % (p, k)) for k in range(n)], p, fan).to_pylist()]
+    assert len(rows) == n * fan
+    got = suffix_dedup.relayed(spark.createDataFrame([(r["_to"], r["_blob"]) for r in rows], suffix_dedup.MAIL), fan).toArrow()
+    assert len(got) == n
+    letters = [x for blob in got.column("_blob").to_pylist() for x in suffix_dedup.opened(blob)]
+    assert sorted(letters) == sorted((k, p, b"%d-%d" % (p, k)) for p in range(n) for k in range(n))
+
+
 def test_suffix_array_of_text():
     flat = np.frombuffer(b"mississippi" * 3 + b"\0ab", np.uint8)
     sa = suffix_dedup.suffix_array(flat)
