@@ -17,9 +17,10 @@ that is null or has no trusted documents uses the quantiles over all languages,
 FEW trusted documents those of its language; with no trusted
 documents at all everything with a perplexity is kept. With no trusted text every byte
 and end of a token has probability 1/256. Labels with a null id take no part, a document is trusted if
-any of its labels says so. Repeated documents are each scored; extra columns stay, and result names
-that clash get underscores. Texts are taken whole. N-grams are told apart by 64-bit hashes, and the
-model's logarithms are sent as 32-bit floats.
+any of its labels says so. Repeated documents are each scored; columns other than the id are not
+returned, whatever their names. Texts are taken whole. N-grams are told apart by 64-bit hashes, and the
+model's logarithms are sent as 32-bit floats. Perplexities are rounded to 32-bit floats too: sums differ in
+their last bits with a text's place in its batch, and copies should fall on one side of a bound.
 """
 
 from __future__ import annotations
@@ -456,7 +457,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     rows = marked.select(fold.alias("f"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col("_trusted").isNotNull().alias("calibrates"))
     scored, name = log_likelihood(rows, rows.filter("calibrates").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))).alias("g"), "f", "text").filter("g <> f").select(F.col("g").alias("f"), "text"), FOLDS)
     n = F.col("n_bytes")
-    scored = written(scored.select("doc_id", "lang", "calibrates", "n_bytes", F.when(n > 0, F.exp(-F.col(name) / n)).alias("perplexity")))
+    scored = written(scored.select("doc_id", "lang", "calibrates", "n_bytes", F.when(n > 0, F.exp(-F.col(name) / n).cast("float").cast("double")).alias("perplexity")))
     scored = scored.withColumn("band", F.floor(F.log2(F.greatest("n_bytes", F.lit(1)))))
     known = scored.filter("calibrates and perplexity is not null")
     two = [F.percentile_approx("perplexity", q, 10000) for q in (tails[0], 1 - tails[1])]
