@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import lexicon as L
 from quillrank.functions import text as X
-from quillrank.operators import bm25, discovery, evaluate, feedback, fusion, graph, routing, vectors
+from quillrank.operators import blocks, bm25, discovery, evaluate, feedback, fusion, graph, routing, vectors
 from quillrank.plans import topology
 from quillrank.sources.tables import cut, table
 
@@ -178,7 +178,7 @@ s AS (SELECT query_id, id, sum(w * qw) / sqrt(sum(w * w)) AS s FROM f GROUP BY 1
 qn AS (SELECT query_id, sqrt(sum(pow((1 + ln(qtf)) * (ln((1 + n)::DOUBLE / (2 + df)) + 1), 2))) AS qn FROM q, n GROUP BY 1),
 r AS (SELECT query_id, id, s / qn AS score FROM s JOIN qn USING (query_id)) {TOP.format('r', '')}""")
 def tfidf_topk(spark, sf):
-    return bm25.top_k(vectors.tfidf_scores(asked(spark, sf), docs(spark, sf), X.ascii_words), K, 6)
+    return blocks.tfidf_top(asked(spark, sf), docs(spark, sf), X.ascii_words, K, 6)
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN hi - lo > 1e-10 THEN (l_extendedprice - lo) / (hi - lo) ELSE 0 END, 9) AS score FROM lineitem JOIN (SELECT l_orderkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1) USING (l_orderkey)")
