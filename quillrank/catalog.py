@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import lexicon as L
 from quillrank.functions import text as X
-from quillrank.operators import blocks, bm25, discovery, evaluate, feedback, fusion, graph, routing, vectors
+from quillrank.operators import blocks, bm25, discovery, evaluate, feedback, fusion, graph, hybrid, routing, vectors
 from quillrank.plans import topology
 from quillrank.sources.tables import cut, table
 
@@ -251,7 +251,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id) -
 s AS (SELECT query_id, id, round((CASE WHEN coverage < 0.2 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END) / (60 + rb) + 1.0::DOUBLE / (60 + rc) + 0.5::DOUBLE / (60 + rj), 9) AS score FROM rk)
 SELECT query_id, CAST(r AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
 def rrf_hybrid(spark, sf):
-    return fusion.hybrid(asked(spark, sf), docs(spark, sf), _signals(spark, sf), K).withColumn("score", F.round("score", 6))
+    return hybrid.hybrid_top(asked(spark, sf), docs(spark, sf), X.ascii_tokens, LEXICON, K).withColumn("score", F.round("score", 6))
 
 
 @query("WITH r(pos, pattern, skill) AS (VALUES " + ", ".join(f"({p}, '{x}', '{s}')" for p, x, s in RULES if s != "missing") + ") SELECT conv_id * 10000 + turn AS query_id, arg_min(skill, pos) AS skill FROM conversations JOIN r ON regexp_matches(text, '(?i)' || pattern) WHERE role = 'user' GROUP BY 1")
