@@ -60,6 +60,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """`written`, with the shuffle files of the write deleted as it ends instead of when the driver happens to collect its garbage. `drop` deletes the table."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        out = written(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+    out._written_at = _written[-1]
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of `lean` that nothing will read any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(t._written_at)
+
+
 def clean(spark: SparkSession) -> int:
     """Deletes every table that this process has written here; for the end of a job, when its results are written. How many there were."""
     n, jvm = 0, spark.sparkContext._jvm

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import WORD_TABLE, annotate, chunks, fresh, hash_spans, load8, mix, n_batches, table, trim, utf8, written
+from quillrank.llm.common import WORD_TABLE, annotate, chunks, drop, fresh, hash_spans, lean, load8, mix, n_batches, table, trim, utf8, written
 
 ORDER = 5
 #: Parts of the corpus; each is scored by a model of the others.
@@ -46,6 +46,8 @@ FEW = 50
 SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
 #: Bytes of text of a batch that asks the word model; entries of one of its shards.
 BATCH, WORD_SHARD = 8 << 20, 500_000
+#: Parts of the trigrams in training.
+PARTS = 4
 #: Ends a spelt token; in no UTF-8 text.
 END = b"\xff"
 
@@ -113,12 +115,12 @@ def discounts(counts: DataFrame) -> list[float]:
 
 def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """The model: (kind, key, value). kind k > 0: log-probability of the k-gram's last byte; kind -k: log of what context (k bytes) leaves to shorter ones."""
-    levels = {order: written(count_grams(texts, text_col))}
+    levels = {order: lean(count_grams(texts, text_col))}
     for k in range(order - 1, 0, -1):
         # How many different bytes stand before each k-gram; a text's beginning stands for itself.
         longer = levels[k + 1].select(F.col("g").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("g"))
-        levels[k] = written(longer.groupBy("g").agg(F.count("*").alias("c")))
-    parts, lower = [], None
+        levels[k] = lean(longer.groupBy("g").agg(F.count("*").alias("c")))
+    parts, lower, steps = [], None, list(levels.values())
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(levels[k])
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -129,14 +131,17 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataF
             made = joined.withColumn("p", F.col("own") + F.col("rest") / 256)
         else:
             made = joined.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))).join(lower, "s").withColumn("p", F.col("own") + F.col("rest") * F.col("q"))
-        made = written(made.select("g", "p"))
+        made = lean(made.select("g", "p"))
+        steps.append(made)
         parts.append(made.select(F.lit(k).alias("kind"), F.col("g").alias("key"), F.log("p").alias("value")))
         parts.append(sums.select(F.lit(1 - k).alias("kind"), F.col("ctx").alias("key"), F.log(F.col("left") / F.col("total")).alias("value")))
         lower = made.select(F.col("g").alias("s"), F.col("p").alias("q"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return written(out)
+    out = lean(out)
+    drop(*steps)
+    return out
 
 
 class ModelShard:
@@ -272,8 +277,8 @@ def before(t: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(f, u, v, w, c): how often each three tokens occur in the texts (f, text) of a fold."""
+def count_words(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(f, u, v, w, c): how often each three tokens occur in the texts (f, text) of a fold. part, parts: only those whose middle token's hash leaves `part`."""
 
     def run(batches):
         for batch in batches:
@@ -282,6 +287,9 @@ def count_words(texts: DataFrame) -> DataFrame:
             for i, j in chunks(offs):
                 t, _, _, first = tokens(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 f, u, v = np.repeat(fold[i:j], np.diff(first)), before(t, first, 2), before(t, first, 1)
+                if parts > 1:
+                    mine = v % np.uint64(parts) == np.uint64(part)
+                    f, u, v, t = f[mine], u[mine], v[mine], t[mine]
                 _, at, n = np.unique(xx(xx(xx(f.astype(np.uint64), u), v), t), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(f[at]), *[pa.array(x[at].view(np.int64)) for x in (u, v, t)], pa.array(n)], names=["f", "u", "v", "w", "c"])
         trim()
@@ -308,42 +316,61 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.select("f", "text").mapInArrow(run, "f long, w long, token binary").groupBy("f", "w").agg(F.min("token").alias("token"))
 
 
-def train_words(texts: DataFrame, folds: int = 1) -> tuple[DataFrame, list[float], list[DataFrame]]:
-    """Of texts (f, text): the model (key, p, rest), what each fold leaves to spelling, and its byte model. p: log-probability of an n-gram's last token; rest: log of what it leaves, as a context, to shorter ones."""
-    t3 = written(count_words(texts))
-    t2 = written(t3.groupBy("f", "v", "w").agg(F.count("*").alias("c")))
-    t1 = written(t2.groupBy("f", "w").agg(F.count("*").alias("c")))
-    words = written(vocabulary(texts))
+def train_words(texts: DataFrame, folds: int = 1, parts: int = PARTS) -> tuple[DataFrame, list[float], list[DataFrame]]:
+    """Of texts (f, text): the model (key, p, rest), what each fold leaves to spelling, and its byte model. p: log-probability of an n-gram's last token; rest: log of what it leaves, as a context, to shorter ones; a key may have a row of each. Trigrams are counted and smoothed in parts by their middle token, one after another, to hold less on disk."""
+    t3 = [lean(count_words(texts, k, parts)) for k in range(parts)]
+    t2 = [lean(t.groupBy("f", "v", "w").agg(F.count("*").alias("c"))) for t in t3]
+    t1 = lean(reduce(DataFrame.union, t2).groupBy("f", "w").agg(F.count("*").alias("c")))
+    words = lean(vocabulary(texts))
     spell = [train(words.filter(F.col("f") == k), "token") for k in range(folds)]
-    parts = []
+    spelling = []
     for k in range(folds):
         out, name = spelt(words.filter(F.col("f") == k).withColumn("_t", F.array("token")), spell[k], "_t")
-        parts.append(out.select("f", "w", F.exp(name).alias("q")))
-    base = reduce(DataFrame.unionByName, parts)
+        spelling.append(out.select("f", "w", F.exp(name).alias("q")))
+    base = reduce(DataFrame.unionByName, spelling)
     left = [0.0] * folds
 
-    def smoothed(counts, context, lower, on):
-        """counts with p, and (context, rest)."""
+    def discounted(counts):
+        """What is taken from each count, by the numbers of n-grams of all parts."""
         d = [discounts(counts.filter(F.col("f") == k)) for k in range(folds)]
         off = F.lit(0.0)
         for k in range(folds):
             off = F.when(F.col("f") == k, F.when(F.col("c") == 1, d[k][0]).when(F.col("c") == 2, d[k][1]).otherwise(d[k][2])).otherwise(off)
-        sums = counts.groupBy("f", *context).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("rest"))
+        return off
+
+    def totals(counts, context, off):
+        return counts.groupBy("f", *context).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("rest"))
+
+    def smoothed(counts, context, off, sums, lower, on):
         p = F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("q")
-        return counts.join(sums, ["f", *context]).join(lower, ["f", *on]).withColumn("p", p), sums.select("f", *context, "rest")
+        return counts.join(sums, ["f", *context]).join(lower, ["f", *on]).withColumn("p", p)
 
-    p1, s1 = smoothed(t1, [], base, ["w"])
+    off1, off2, off3 = discounted(t1), discounted(reduce(DataFrame.union, t2)), discounted(reduce(DataFrame.union, t3))
+    s1 = totals(t1, [], off1)
     for r in s1.collect():  # a row a fold
         left[r["f"]] = float(np.log(r["rest"]))
-    p1 = written(p1.select("f", "w", "p"))
-    p2, s2 = smoothed(t2, ["v"], p1.withColumnRenamed("p", "q"), ["w"])
-    p2 = written(p2.select("f", "v", "w", "p"))
-    p3, s3 = smoothed(t3, ["u", "v"], p2.withColumnRenamed("p", "q"), ["v", "w"])
+    p1 = lean(smoothed(t1, [], off1, s1, base, ["w"]).select("f", "w", "p"))
+    drop(t1, words)
     log = lambda c: F.log(F.col(c)).cast("float").alias(c)
-    one = p1.join(s2.withColumnRenamed("v", "w"), ["f", "w"], "full").select(F.xxhash64("f", "w").alias("key"), log("p"), log("rest"))
-    two = p2.join(s3.select("f", F.col("v").alias("w"), F.col("u").alias("v"), "rest"), ["f", "v", "w"], "full").select(F.xxhash64("f", "v", "w").alias("key"), log("p"), log("rest"))
-    three = p3.select(F.xxhash64("f", "u", "v", "w").alias("key"), log("p"), F.lit(None).cast("float").alias("rest"))
-    return written(one.union(two).union(three)), left, spell
+    made, contexts1 = [], []
+    for a2, a3 in zip(t2, t3):  # an n-gram, its contexts and its lower order share the middle token, so a part has them all
+        s2, s3 = lean(totals(a2, ["v"], off2)), lean(totals(a3, ["u", "v"], off3))
+        contexts1.append(s2)
+        p2 = lean(smoothed(a2, ["v"], off2, s2, p1.withColumnRenamed("p", "q"), ["w"]).select("f", "v", "w", "p"))
+        drop(a2)
+        p3 = smoothed(a3, ["u", "v"], off3, s3, p2.withColumnRenamed("p", "q"), ["v", "w"])
+        made.append(lean(p3.select(F.xxhash64("f", "u", "v", "w").alias("key"), log("p"), F.lit(None).cast("float").alias("rest"))))
+        drop(a3)
+        # A context (u, v) stands with its last token in this part, as a bigram (u, v) with its first in another: two rows of one key.
+        made.append(lean(p2.select(F.xxhash64("f", "v", "w").alias("key"), log("p"), F.lit(None).cast("float").alias("rest"))))
+        made.append(lean(s3.select(F.xxhash64("f", "u", "v").alias("key"), F.lit(None).cast("float").alias("p"), log("rest"))))
+        drop(p2, s3)
+    one = p1.join(reduce(DataFrame.union, contexts1).select("f", F.col("v").alias("w"), "rest"), ["f", "w"], "full").select(F.xxhash64("f", "w").alias("key"), log("p"), log("rest"))
+    made.append(lean(one))
+    drop(p1, *contexts1)
+    model = lean(reduce(DataFrame.union, made))
+    drop(*made)
+    return model, left, spell
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -409,14 +436,13 @@ def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int
         return pa.table([pa.array([p] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["_p", "_s", "blob"])
 
     def answer(asks: pa.Table, entries: pa.Table) -> pa.Table:
-        key = entries.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
+        key, back = np.unique(entries.column("key").to_numpy().view(np.uint64), return_inverse=True)
         held = np.zeros(len(key) + 1, ANSWER)
         for c, bit in (("p", 1), ("rest", 2)):
-            x = entries.column(c).to_numpy()[order]
-            held[c][:-1] = np.nan_to_num(x)
-            held["hit"][:-1] |= np.where(np.isnan(x), 0, bit).astype(np.uint8)
+            x = entries.column(c).to_numpy()
+            there = ~np.isnan(x)
+            held[c][back[there]] = x[there]
+            held["hit"][back[there]] |= bit
         blobs = []
         for blob in asks.column("blob").to_pylist():
             wanted = np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
@@ -437,10 +463,16 @@ def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int
         trim()
         return out
 
-    asks = dealt.groupBy("_p").applyInArrow(lambda t: ask(t), mail)
+    asks = lean(dealt.groupBy("_p").applyInArrow(lambda t: ask(t), mail))
     sharded = model.withColumn("_s", F.expr(f"shiftright(shiftrightunsigned(key, 32) * {shards}L, 32)"))
-    answers = asks.groupBy("_s").cogroup(sharded.groupBy("_s")).applyInArrow(lambda a, m: answer(a, m), mail)
-    scored = written(dealt.groupBy("_p").cogroup(answers.groupBy("_p")).applyInArrow(lambda t, a: score(t, a), made))
+    parts = []
+    for k in range(PARTS):  # a range of shards after another, so the shuffle files of one are on disk
+        here = (F.col("_s") * PARTS >= k * shards) & (F.col("_s") * PARTS < (k + 1) * shards)
+        parts.append(lean(asks.filter(here).groupBy("_s").cogroup(sharded.filter(here).groupBy("_s")).applyInArrow(lambda a, m: answer(a, m), mail)))
+    drop(model, asks)
+    answers = reduce(DataFrame.union, parts)
+    scored = lean(dealt.groupBy("_p").cogroup(answers.groupBy("_p")).applyInArrow(lambda t, a: score(t, a), made))
+    drop(*parts)
     parts = []
     for k in range(folds):
         out, name = spelt(scored.filter(F.col("f") == k), spell[k], "rare")
