@@ -5,10 +5,11 @@ make up the whole text. The model is over three tokens; below single tokens stan
 model (Kneser-Ney too) of the different trusted tokens with an end mark, which spells what was never
 seen. Documents are dealt into folds by a hash of the id, and each is scored by a model of the trusted
 documents of the other folds, so no text is scored by a model that has seen its row, and all trusted
-documents both train and calibrate. Counts, continuation counts,
-discounts, context totals and the interpolation down to lower orders are grouped sums and joins over
-the n-gram tables, which grow with the corpus. To score, documents are dealt into batches; each batch
-asks shards of the model, dealt by n-gram hash, for its different n-grams and adds up the answers.
+documents both train and calibrate. A text's log-probability is a sum over its places: the token's below
+bigrams, what a known bigram adds to it or the context leaves, and what a known trigram adds or its context
+leaves. So places go to the shard of their middle token, part by part, next to the trigrams of the trusted texts
+with the same middle token, which are counted and smoothed there; only the sums come back, and no table of
+n-grams is ever written. Tokens that fill many places have several shards, by the token before them.
 Spelt tokens pass over shards of the byte model. A document's perplexity, a byte, is held against
 quantiles of the trusted documents of its language and length (bands of powers of two of its bytes).
 
@@ -18,8 +19,8 @@ FEW trusted documents those of its language; with no trusted
 documents at all everything with a perplexity is kept. With no trusted text every byte
 and end of a token has probability 1/256. Labels with a null id take no part, a document is trusted if
 any of its labels says so. Repeated documents are each scored; columns other than the id are not
-returned, whatever their names. Texts are taken whole. N-grams are told apart by 64-bit hashes, and the
-model's logarithms are sent as 32-bit floats. Perplexities are rounded to 32-bit floats too: sums differ in
+returned, whatever their names. Texts are taken whole. N-grams are told apart by 64-bit hashes, their outer
+tokens by 48 bits among those of a middle token, and the tokens' probabilities are sent as 32-bit floats. Perplexities are rounded to 32-bit floats too: sums differ in
 their last bits with a text's place in its batch, and copies should fall on one side of a bound.
 """
 
@@ -29,11 +30,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import WORD_TABLE, annotate, chunks, drop, fresh, hash_spans, lean, load8, mix, n_batches, table, trim, utf8, written
+from quillrank.llm.common import WORD_TABLE, annotate, chunks, drop, fresh, hash_spans, lean, load8, mix, n_batches, ranges, table, trim, utf8, written
 
 ORDER = 5
 #: Parts of the corpus; each is scored by a model of the others.
@@ -44,10 +46,10 @@ TAILS = (0.001, 0.01)
 FEW = 50
 #: Entries of one model shard; distinct n-grams a task holds before it sends them on; trusted ids that are broadcast.
 SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
-#: Bytes of text of a batch that asks the word model; entries of one of its shards.
-BATCH, WORD_SHARD = 8 << 20, 500_000
-#: Parts of the trigrams in training.
-PARTS = 4
+#: Bytes of text for each shard of the word model; places that n-grams of one token fill in a shard.
+BATCH, HEAVY = 32 << 20, 1_000_000
+#: Parts of the n-grams, by the middle token; parts of the tokens.
+PARTS, TRAIN_PARTS = 8, 2
 #: Ends a spelt token; in no UTF-8 text.
 END = b"\xff"
 
@@ -374,7 +376,7 @@ def train_words(texts: DataFrame, folds: int = 1, parts: int = PARTS) -> tuple[D
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def unpacked(blob: bytes, kind) -> np.ndarray:
@@ -382,102 +384,485 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-ANSWER = np.dtype([("p", "<f4"), ("rest", "<f4"), ("hit", "u1")])
-SEED = 42  # Spark's
-
-
-class Asked:
-    """The n-grams of a batch of texts (f, text): their keys, and the different ones in order."""
-
-    def __init__(self, rows: pa.Table):
-        self.flat, self.offs = utf8(rows.column("text"))
-        t, self.starts, self.lens, self.first = tokens(self.flat, self.offs)
-        self.f = np.repeat(rows.column("f").to_numpy().astype(np.uint64), np.diff(self.first))
-        u, v, fold = before(t, self.first, 2), before(t, self.first, 1), xx(SEED, self.f)
-        a, b = xx(fold, u), xx(fold, v)
-        #: n-gram keys of three, two and one tokens, and those of the contexts of two and one.
-        self.keys = [xx(xx(a, v), t), xx(b, t), xx(fold, t), xx(a, v), b]
-        self.distinct = np.unique(np.concatenate(self.keys))
-
-    def cuts(self, shards: int) -> np.ndarray:
-        return np.searchsorted((self.distinct >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
-
-    def score(self, answer: np.ndarray, left: list[float]) -> tuple[np.ndarray, list[list[bytes]]]:
-        """Log-probability of each text without spelling, and its tokens to spell."""
-        k3, k2, k1, c2, c1 = (answer[np.searchsorted(self.distinct, k)] for k in self.keys)
-        known = [(k["hit"] & 1) > 0 for k in (k3, k2, k1)]
-        value = np.where(known[2], k1["p"], np.array(left)[self.f.astype(np.int64)])
-        value = np.where(known[1], k2["p"], c1["rest"] + value)
-        value = np.where(known[0], k3["p"], c2["rest"] + value)
-        run = np.append(0.0, np.cumsum(value, dtype=np.float64))
-        rare = np.flatnonzero(~(known[0] | known[1] | known[2]))
-        raw = self.flat.tobytes()
-        parts = [raw[s : s + n] + END for s, n in zip(self.starts[rare].tolist(), self.lens[rare].tolist())]
-        cut = np.searchsorted(rare, self.first).tolist()
-        return run[self.first[1:]] - run[self.first[:-1]], [parts[s:e] for s, e in zip(cut[:-1], cut[1:])]
-
-
-def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int = BATCH, shard: int = WORD_SHARD) -> tuple[DataFrame, str]:
-    """docs (f, text and more) without the text, with n_bytes and the log-probability of each text under its fold's model of `texts`, and that column's name."""
-    model, left, spell = train_words(texts, folds)
-    batches = n_batches(docs, "text", batch, 32)
-    shards = max(batches, -(-model.count() // shard))
-    others = [c for c in docs.columns if c != "text"]
-    dealt = docs.withColumn("_p", F.pmod(F.xxhash64(*docs.columns), F.lit(batches)))
-    mail = "_p long, _s long, blob binary"
-    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", n_bytes long, known double, rare array<binary>"
-
-    def ask(rows: pa.Table) -> pa.Table:
-        asked, p = Asked(rows), rows.column("_p")[0].as_py()
-        cut = asked.cuts(shards)
-        some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-        blobs = [packed(np.diff(asked.distinct[cut[s] : cut[s + 1]], prepend=np.uint64(0))) for s in some]
+def rising(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def risen(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
+def short(x: np.ndarray) -> bytes:
+    """The low 48 bits of each hash."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+
+
+def lengthened(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.reshape(-1).view("<u8")
+
+
+LOW48 = np.uint64((1 << 48) - 1)
+
+
+class Deal:
+    """Where n-grams go: parts that are worked on one after another, shards within them; tokens that fill many places (0 too, which stands before texts) get parts by their counts and several shards."""
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, shards: int, heavy: int):
+        order = np.argsort(frequent)
+        self.frequent, self.counts, self.shards = frequent[order], counts[order], shards
+        self.spread = np.clip(-(-self.counts // heavy), 1, shards).astype(np.int64)
+        self.placed: dict[int, np.ndarray] = {}
+
+    def at(self, t: np.ndarray) -> np.ndarray:
+        """The place of each token among the frequent ones, or -1."""
+        if not len(self.frequent):
+            return np.full(len(t), -1)
+        at = np.minimum(np.searchsorted(self.frequent, t), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == t, at, -1)
+
+    def part(self, t: np.ndarray, parts: int) -> np.ndarray:
+        if parts not in self.placed:
+            load, where = [0] * parts, np.zeros(len(self.frequent) + 1, np.int64)
+            for k in np.argsort(-self.counts, kind="stable").tolist():
+                where[k] = load.index(min(load))
+                load[where[k]] += int(self.counts[k])
+            self.placed[parts] = where
+        at = self.at(t)
+        return np.where(at >= 0, self.placed[parts][at], ((t >> np.uint64(40)) % np.uint64(parts)).astype(np.int64))
+
+    def spreads(self, t: np.ndarray) -> np.ndarray:
+        at = self.at(t)
+        return np.where(at >= 0, np.append(self.spread, 1)[at], 1)
+
+    def shard(self, t: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+        """The shard of a token, or of its share of n-grams with `other` (48 bits)."""
+        first = (mix(t) % np.uint64(self.shards)).astype(np.int64)
+        return first if other is None else (first + (mix(other + np.uint64(7)) % self.spreads(t).astype(np.uint64)).astype(np.int64)) % self.shards
+
+
+def stretch(array: pa.Array):
+    """(row, t, seat) of each MB of texts: the tokens' hashes, their texts and their places in them."""
+    flat, offs = utf8(array)
+    for i, j in chunks(offs):
+        t, starts, lens, first = tokens(flat[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        size = np.diff(first)
+        yield np.repeat(np.arange(i, j), size), t, np.arange(len(t)) - np.repeat(first[:-1], size), (flat[offs[i] : offs[j]], starts, lens)
+
+
+def trigrams(array: pa.Array, mine) -> tuple[np.ndarray, ...]:
+    """(row, u, v, w) of the tokens for which mine(v, w) is true."""
+    made = []
+    for row, t, seat, _ in stretch(array):
+        v = np.zeros(len(t), np.uint64)
+        v[1:] = t[:-1]
+        v[seat < 1] = 0
+        at = np.flatnonzero(mine(v, t))
+        made.append((row[at], np.where(seat[at] < 2, np.uint64(0), t[np.maximum(at - 2, 0)]), v[at], t[at]))
+    return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3)
+
+
+def cut(shard: np.ndarray, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by shard, then key, and where each shard begins."""
+    order = np.argsort(key)
+    order = order[np.argsort(shard[order].astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")]
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def sent(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=[n for n, _ in kinds])
+
+
+LONG, BLOB = pa.int64(), pa.binary()
+TRAINING = [("_s", LONG), ("f", LONG), ("w", BLOB), ("v", BLOB), ("u", BLOB)]
+TRAINED = [("_s", LONG), ("f", LONG), ("v", BLOB), ("u", BLOB), ("w", BLOB), ("c3", BLOB), ("c2", BLOB), ("p", BLOB)]
+DEALT = [("_s", LONG), ("f", LONG), ("w", BLOB), ("p", BLOB)]
+PLACES = [("_s", LONG), ("chunk", LONG), ("v", BLOB), ("u", BLOB), ("w", BLOB), ("doc", BLOB)]
+SPELT = [("_s", LONG), ("chunk", LONG), ("f", LONG), ("w", BLOB), ("spelt", BLOB), ("at", BLOB), ("doc", BLOB)]
+SUMS = [("chunk", LONG), ("keys", BLOB), ("docs", BLOB), ("sums", BLOB)]
+
+
+def ddl(kinds: list[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{n} {'long' if k == LONG else 'binary'}" for n, k in kinds)
+
+
+def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that make up over 1/2000 of some MB of text, and how many places they fill there."""
+
+    def run(batches):
+        for batch in batches:
+            for _, t, seat, _ in stretch(batch.column(0)):
+                keys, n = sorted_counts(t)
+                keep = n * 2000 > len(t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], np.count_nonzero(seat == 0)))], names=["t", "n"])
         trim()
-        return pa.table([pa.array([p] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], names=["_p", "_s", "blob"])
-
-    def answer(asks: pa.Table, entries: pa.Table) -> pa.Table:
-        key, back = np.unique(entries.column("key").to_numpy().view(np.uint64), return_inverse=True)
-        held = np.zeros(len(key) + 1, ANSWER)
-        for c, bit in (("p", 1), ("rest", 2)):
-            x = entries.column(c).to_numpy()
-            there = ~np.isnan(x)
-            held[c][back[there]] = x[there]
-            held["hit"][back[there]] |= bit
-        blobs = []
-        for blob in asks.column("blob").to_pylist():
-            wanted = np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
-            at = np.searchsorted(key, wanted)
-            at[np.append(key, np.uint64(0))[at] != wanted] = len(key)
-            at[at > len(key)] = len(key)
-            blobs.append(packed(held[at]))
+
+    rows = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(10_000).toArrow()  # only the balance of shards depends on them
+    return rows.column("t").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+
+
+def training_mail(texts: DataFrame, deal: Deal, by: str, part: int, parts: int) -> DataFrame:
+    """TRAINING: the trigrams (u, v, w) of the texts whose token `by` is of a part, to the shards of w."""
+
+    def run(batches):
+        for batch in batches:
+            row, u, v, w = trigrams(batch.column(1), lambda v, w: deal.part(v if by == "v" else w, parts) == part)
+            fold = batch.column(0).to_numpy()[row] if len(row) else row
+            rows = []
+            for f in np.unique(fold).tolist():
+                at = np.flatnonzero(fold == f)
+                order, begin = cut(deal.shard(w[at], v[at] & LOW48), w[at], deal.shards)
+                at = at[order]
+                for s in np.flatnonzero(np.diff(begin)).tolist():
+                    x = at[begin[s] : begin[s + 1]]
+                    rows.append((s, f, rising(w[x]), np.ascontiguousarray(v[x]).tobytes(), short(u[x])))
+            yield sent(rows, TRAINING)
         trim()
-        return pa.table([asks.column("_p"), asks.column("_s"), pa.array(blobs, pa.binary())], names=["_p", "_s", "blob"])
-
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = Asked(rows)
-        order = np.argsort(answers.column("_s").to_numpy())
-        blobs = answers.column("blob").to_pylist()
-        got = np.concatenate([np.zeros(0, ANSWER), *[unpacked(blobs[k], ANSWER) for k in order]])
-        known, rare = asked.score(got, left)
-        out = pa.table([*[rows.column(c) for c in others], pa.array(np.diff(asked.offs)), pa.array(known), pa.array(rare, pa.list_(pa.binary()))], names=[*others, "n_bytes", "known", "rare"])
+
+    return texts.select("f", "text").mapInArrow(run, ddl(TRAINING))
+
+
+def opened(mails: pa.Table) -> tuple[np.ndarray, ...]:
+    """(u, v, w) of mails of TRAINING."""
+    parts = [(lengthened(u), np.frombuffer(v, np.uint64), risen(w)) for u, v, w in zip(*[mails.column(c).to_pylist() for c in ("u", "v", "w")])]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 3
+
+
+def pair(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix(mix(v) + x)
+
+
+def types(u: np.ndarray, v: np.ndarray, w: np.ndarray):
+    """Places of the different trigrams, their counts, each one's bigram, places of the different bigrams among these and their counts."""
+    _, at, c3 = np.unique(mix(pair(v, w) + u), return_index=True, return_counts=True)
+    _, first, back, c2 = np.unique(pair(v[at], w[at]), return_index=True, return_inverse=True, return_counts=True)
+    return at, c3, back, first, c2
+
+
+def count_types(texts: DataFrame, deal: Deal, parts: int) -> list[DataFrame]:
+    """(o, f, w, c), a table a part: o = 1: after how many different tokens w stands (a row for each shard that has some); o = 2, 3: how many bigrams and trigrams have the count w."""
+
+    def run(mails: pa.Table) -> pa.Table:
+        out = []
+        for f in np.unique(mails.column("f").to_numpy()).tolist():
+            u, v, w = opened(mails.filter(pa.compute.equal(mails.column("f"), f)))
+            at, c3, _, first, c2 = types(u, v, w)
+            key, c1 = sorted_counts(w[at][first])
+            rows = [(np.full(len(key), 1), key.view(np.int64), c1)]
+            for o, c in ((2, c2), (3, c3)):
+                rows.append((np.full(4, o), np.arange(1, 5), np.bincount(np.minimum(c, 5), minlength=6)[1:5]))
+            out.append(pa.table([np.concatenate([r[0] for r in rows]), np.full(sum(len(r[0]) for r in rows), f), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])], names=["o", "f", "w", "c"]))
         trim()
-        return out
+        return pa.concat_tables(out)
+
+    return [lean(training_mail(texts, deal, "w", k, parts).groupBy("_s").applyInArrow(lambda t: run(t), "o long, f long, w long, c long")) for k in range(parts)]
 
-    asks = lean(dealt.groupBy("_p").applyInArrow(lambda t: ask(t), mail))
-    sharded = model.withColumn("_s", F.expr(f"shiftright(shiftrightunsigned(key, 32) * {shards}L, 32)"))
-    parts = []
-    for k in range(PARTS):  # a range of shards after another, so the shuffle files of one are on disk
-        here = (F.col("_s") * PARTS >= k * shards) & (F.col("_s") * PARTS < (k + 1) * shards)
-        parts.append(lean(asks.filter(here).groupBy("_s").cogroup(sharded.filter(here).groupBy("_s")).applyInArrow(lambda a, m: answer(a, m), mail)))
-    drop(model, asks)
-    answers = reduce(DataFrame.union, parts)
-    scored = lean(dealt.groupBy("_p").cogroup(answers.groupBy("_p")).applyInArrow(lambda t, a: score(t, a), made))
-    drop(*parts)
-    parts = []
+
+def three(counts: dict[int, int]) -> list[float]:
+    n1, n2, n3, n4 = (max(counts.get(i, 0), 1) for i in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(1 - 2 * y * n2 / n1, 0.05), 0.95), min(max(2 - 3 * y * n3 / n2, 0.05), 1.95), min(max(3 - 4 * y * n4 / n3, 0.05), 2.95)]
+
+
+def train_tokens(texts: DataFrame, folds: int, deal: Deal, parts: int) -> tuple[DataFrame, list[float], list[DataFrame], dict]:
+    """(_s, f, w, p): the probability of each token of each fold below bigrams, by shards; what each fold leaves to spelling, its byte model, and the discounts of bigrams and trigrams by (order, fold)."""
+    words = lean(vocabulary(texts))
+    spell = [train(words.filter(F.col("f") == k), "token") for k in range(folds)]
+    spelling = []
+    for k in range(folds):
+        out, name = spelt(words.filter(F.col("f") == k).withColumn("_t", F.array("token")), spell[k], "_t")
+        spelling.append(out.select("f", "w", F.exp(name).alias("q")))
+    counted = count_types(texts, deal, parts)
+    every = reduce(DataFrame.union, counted)
+    found: dict[tuple[int, int], dict[int, int]] = {}
+    for r in every.filter("o > 1").groupBy("o", "f", "w").agg(F.sum("c").alias("c")).collect():  # four rows an order and fold
+        found.setdefault((r["o"], r["f"]), {})[r["w"]] = r["c"]
+    taken = {(o, f): three(found.get((o, f), {})) for o in (2, 3) for f in range(folds)}
+    t1 = lean(every.filter("o = 1").groupBy("f", "w").agg(F.sum("c").alias("c")))
+    drop(*counted)
+    off, left, total = F.lit(0.0), [0.0] * folds, F.lit(1)
+    for k in range(folds):
+        mine = t1.filter(F.col("f") == k)
+        d = discounts(mine)
+        own = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        r = mine.agg(F.sum("c").alias("total"), (F.sum(own) / F.sum("c")).alias("rest")).first()
+        left[k] = float(np.log(r["rest"])) if r["rest"] else 0.0
+        off, total = F.when(F.col("f") == k, own).otherwise(off), F.when(F.col("f") == k, F.lit(r["total"] or 1)).otherwise(total)
+    rest = F.lit(1.0)
     for k in range(folds):
-        out, name = spelt(scored.filter(F.col("f") == k), spell[k], "rare")
-        parts.append(out.withColumn(name, F.col(name) + F.col("known")).drop("known", "rare"))
-    return reduce(DataFrame.unionByName, parts), name
+        rest = F.when(F.col("f") == k, F.lit(float(np.exp(left[k])))).otherwise(rest)
+    p = F.greatest(F.col("c") - off, F.lit(0.0)) / total + rest * F.col("q")
+    out = lean(dealt_tokens(t1.join(reduce(DataFrame.unionByName, spelling), ["f", "w"]).select("f", "w", p.cast("float").alias("p")), deal))
+    drop(t1, words)
+    return out, left, spell, taken
+
+
+def off(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
+
+
+def summed(mails: pa.Table, docs: list[np.ndarray], values: np.ndarray) -> pa.Table:
+    """SUMS of the values by mail and document."""
+    rows, at = [], 0
+    for chunk, doc in zip(mails.column("chunk").to_pylist(), docs):
+        total = np.bincount(doc, weights=values[at : at + len(doc)])
+        at += len(doc)
+        some = np.flatnonzero(total)
+        if len(some):
+            rows.append((chunk, None, packed(some.astype(np.uint32)), packed(total[some])))
+    return pa.Table.from_batches([sent(rows, SUMS)])
+
+
+def directory(mails: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([sent([(c, k, None, None) for c, k in zip(mails.column("chunk").to_pylist(), mails.column("v" if "v" in mails.column_names else "w").to_pylist())], SUMS)])
+
+
+def added(sums: DataFrame) -> DataFrame:
+    """(key, x): what each document of SUMS gets; copies of a row share a key and add up."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, total = None, None
+        for blob in t.column("keys").to_pylist():
+            if blob is not None:
+                keys = np.frombuffer(blob, np.int64)
+        total = np.zeros(len(keys))
+        for docs, x in zip(t.column("docs").to_pylist(), t.column("sums").to_pylist()):
+            if docs is not None:
+                np.add.at(total, unpacked(docs, np.uint32), unpacked(x, np.float64))
+        return pa.table([keys, total], names=["key", "x"])
+
+    return lean(sums.groupBy("chunk").applyInArrow(lambda t: run(t), "key long, x double"))
+
+
+def numbered(batches):
+    """(number, batch) with a number that no other batch of the job has, the same when a task is tried again."""
+    from pyspark import TaskContext
+
+    for k, batch in enumerate(batches):
+        yield (TaskContext.get().partitionId() << 32) + k, batch
+
+
+def token_sums(docs: DataFrame, tokens_of: DataFrame, left: list[float], spell: list[DataFrame], deal: Deal, parts: int) -> list[DataFrame]:
+    """(key, x) of docs (key, f, text): the tokens' log-probabilities below bigrams. Each pair of shards of the byte models takes a round of its own."""
+    folds, out, shards = len(spell), [], [list(shards_of(m)) for m in spell]
+
+    def answering(number: int):
+        def answer(asks: pa.Table, entries: pa.Table) -> pa.Table:
+            if not asks.num_rows:
+                return pa.Table.from_batches([sent([], SUMS)])
+            if asks.column("f")[0].as_py() < 0:
+                return directory(asks)
+            known = held_tokens(entries, folds)
+            values, places = [], []
+            for k, blob, q, at, doc in zip(*[asks.column(c).to_pylist() for c in ("f", "w", "spelt", "at", "doc")]):
+                want, value, (key, here) = risen(blob), unpacked(q, np.float32).astype(np.float64) + (left[k] if number == 0 else 0.0), known[k]
+                if len(key):
+                    to = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                    value = np.where(key[to] == want, np.log(here[to].astype(np.float64)) if number == 0 else 0.0, value)
+                values.append(value[unpacked(at, np.uint32)])
+                places.append(unpacked(doc, np.uint32))
+            trim()
+            return summed(asks, places, np.concatenate(values))
+
+        return lambda a, m: answer(a, m)
+
+    for number in range(max(len(s) for s in shards)):
+        shared = docs.sparkSession.sparkContext.broadcast([s[number] if number < len(s) else None for s in shards])
+        for part in range(parts):
+
+            def ask(batches, shared=shared, part=part):
+                models = shared.value
+                for chunk, batch in numbered(batches):
+                    fold, rows = batch.column(1).to_numpy(), [(deal.shards + chunk % deal.shards, chunk, -1, np.ascontiguousarray(batch.column(0).to_numpy()).tobytes(), None, None, None)]
+                    for row, t, _, (raw, starts, lens) in stretch(batch.column(2)):
+                        mine = np.flatnonzero(((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) == part)
+                        for f in range(folds):
+                            x = mine[fold[row[mine]] == f]
+                            if not len(x):
+                                continue
+                            found, at, back = np.unique(t[x], return_index=True, return_inverse=True)
+                            size = lens[x[at]] + 1
+                            ends = np.append(0, np.cumsum(size))
+                            flat = np.full(ends[-1], END[0], np.uint8)
+                            flat[ranges(ends[:-1], size - 1)] = raw[ranges(starts[x[at]], size - 1)]
+                            value = models[f].sums(flat, ends) if models[f] is not None else np.zeros(len(at))
+                            order, begin = cut(deal.shard(found), found, deal.shards)
+                            rank = np.empty(len(found), np.int64)
+                            rank[order] = np.arange(len(found))
+                            place = rank[back]
+                            by = np.argsort(place, kind="stable")
+                            ends = np.searchsorted(place[by], begin)
+                            for s in np.flatnonzero(np.diff(begin)).tolist():
+                                k, y = order[begin[s] : begin[s + 1]], by[ends[s] : ends[s + 1]]
+                                rows.append((s, chunk, f, rising(found[k]), packed(value[k].astype(np.float32)), packed((place[y] - begin[s]).astype(np.uint32)), packed(row[x[y]].astype(np.uint32))))
+                    yield sent(rows, SPELT)
+                trim()
+
+            asks = docs.select("key", "f", "text").mapInArrow(ask, ddl(SPELT))
+            sums = asks.groupBy("_s").cogroup(tokens_of.groupBy("_s")).applyInArrow(answering(number), ddl(SUMS))
+            out.append(added(sums))
+        shared.unpersist()
+    return out
+
+
+def dealt_tokens(tokens_of: DataFrame, deal: Deal) -> DataFrame:
+    """(_s, f, w, p) of tokens (f, w, p): a row a shard and fold, with the tokens in order; those that are spread are in all shards of theirs."""
+
+    def run(batches):
+        for batch in batches:
+            f, w, p = (batch.column(k).to_numpy() for k in range(3))
+            w = w.view(np.uint64)
+            n = deal.spreads(w)
+            at = np.repeat(np.arange(len(w)), n)
+            s = (deal.shard(w)[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % deal.shards
+            rows = []
+            for k in np.unique(f).tolist():
+                mine = at[f[at] == k]
+                order, begin = cut(s[f[at] == k], w[mine], deal.shards)
+                for i in np.flatnonzero(np.diff(begin)).tolist():
+                    x = mine[order[begin[i] : begin[i + 1]]]
+                    rows.append((i, k, rising(w[x]), packed(p[x])))
+            yield sent(rows, DEALT)
+        trim()
+
+    def join(t: pa.Table) -> pa.Table:
+        w, p = (np.concatenate([get(b) for b in t.column(c).to_pylist()]) for c, get in (("w", risen), ("p", lambda b: unpacked(b, np.float32))))
+        order = np.argsort(w)
+        return pa.Table.from_batches([sent([(t.column("_s")[0].as_py(), t.column("f")[0].as_py(), rising(w[order]), packed(p[order]))], DEALT)])
+
+    return tokens_of.select("f", "w", "p").mapInArrow(run, ddl(DEALT)).groupBy("_s", "f").applyInArrow(lambda t: join(t), ddl(DEALT))
+
+
+def held_tokens(entries: pa.Table, folds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The tokens of each fold in a shard, in order, and their probabilities."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.float32))] * folds
+    for f, w, p in zip(*[entries.column(c).to_pylist() for c in ("f", "w", "p")]):
+        out[f] = (risen(w), unpacked(p, np.float32))
+    return out
+
+
+def gram_sums(docs: DataFrame, texts: DataFrame, tokens_of: DataFrame, taken: dict, folds: int, deal: Deal, parts: int) -> list[DataFrame]:
+    """(key, x) of docs (key, f, text): what bigrams and trigrams add to the tokens' log-probabilities, part by part of the middle tokens."""
+
+    def trained(mails: pa.Table, entries: pa.Table) -> pa.Table:
+        rows, known = [], held_tokens(entries, folds)
+        for f in np.unique(mails.column("f").to_numpy()).tolist() if mails.num_rows else []:
+            u, v, w = opened(mails.filter(pa.compute.equal(mails.column("f"), f)))
+            at, c3, back, _, c2 = types(u, v, w)
+            key, p = known[f]
+            u, v, w = u[at], v[at], w[at]
+            p, c2 = p[np.searchsorted(key, w)], c2[back]
+            s, n = deal.shard(v, u), deal.spreads(v)
+            # All shards of a token learn of its bigrams.
+            many = np.flatnonzero(n > 1)
+            many = many[np.unique(back[many], return_index=True)[1]]
+            more = np.repeat(many, n[many])
+            step = np.arange(len(more)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+            s = np.append(s, (deal.shard(v[more]) + step) % deal.shards)
+            c3 = np.append(c3, np.zeros(len(more), np.int64))
+            take = np.append(np.arange(len(v)), more)
+            order, begin = cut(s, v[take], deal.shards)
+            for k in np.flatnonzero(np.diff(begin)).tolist():
+                x = order[begin[k] : begin[k + 1]]
+                y = take[x]
+                rows.append((k, f, rising(v[y]), short(u[y]), short(w[y]), packed(c3[x].astype(np.uint32)), packed(c2[y].astype(np.uint32)), packed(p[y])))
+        trim()
+        return pa.Table.from_batches([sent(rows, TRAINED)])
+
+    def answer(places: pa.Table, model: pa.Table) -> pa.Table:
+        if not places.num_rows:
+            return pa.Table.from_batches([sent([], SUMS)])
+        if places.column("u")[0].as_py() is None:
+            return directory(places)
+        blobs = [places.column(c).to_pylist() for c in ("v", "u", "w", "doc")]
+        v, u, w = (np.concatenate([f(b) for b in x]) for f, x in zip((risen, lengthened, lengthened), blobs))
+        codes = [unpacked(b, np.uint32) for b in blobs[3]]
+        fold, value = np.concatenate([c % folds for c in codes]), np.zeros(len(v))
+        for f in range(folds):
+            mine = np.flatnonzero(fold == f)
+            rows = model.filter(pa.compute.equal(model.column("f"), f))
+            if not rows.num_rows or not len(mine):
+                continue
+            got = [rows.column(c).to_pylist() for c in ("v", "u", "w", "c3", "c2", "p")]
+            tv, tu, tw = (np.concatenate([g(b) for b in x]) for g, x in zip((risen, lengthened, lengthened), got))
+            c3, c2 = (np.concatenate([unpacked(b, np.uint32) for b in x]).astype(np.int64) for x in got[3:5])
+            p = np.concatenate([unpacked(b, np.float32) for b in got[5]]).astype(np.float64)
+            # Bigrams and their contexts.
+            two, at, back = np.unique(pair(tv, tw), return_index=True, return_inverse=True)
+            ones, inv = np.unique(tv[at], return_inverse=True)
+            taken2, total2 = off(c2[at], taken[2, f]), np.bincount(inv, weights=c2[at])
+            rest2 = np.bincount(inv, weights=taken2) / total2
+            p2 = np.maximum(c2[at] - taken2, 0.0) / total2[inv] + rest2[inv] * p[at]
+            gain2 = np.log(p2) - np.log(p[at])
+            # Trigrams and theirs.
+            own = np.flatnonzero(c3)
+            pairs, inv = np.unique(pair(tv[own], tu[own] + np.uint64(1 << 60)), return_inverse=True)
+            taken3, total3 = off(c3[own], taken[3, f]), np.bincount(inv, weights=c3[own])
+            rest3 = np.bincount(inv, weights=taken3) / total3
+            p3 = np.maximum(c3[own] - taken3, 0.0) / total3[inv] + rest3[inv] * p2[back[own]]
+            key3 = mix(pair(tv[own], tw[own]) + tu[own])
+            order = np.argsort(key3)
+            key3, gain3 = key3[order], (np.log(p3) - np.log(p[own]))[order]
+
+            def look(key, x, want):
+                if not len(key):
+                    return np.zeros(len(want), bool), np.zeros(len(want))
+                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                return key[at] == want, x[at]
+
+            # Places come by token v, so contexts are looked up once a run.
+            qv, qu, qw = v[mine], u[mine], w[mine]
+            seen1, log1 = look(ones, np.log(rest2), qv)
+            here = np.flatnonzero(seen1)  # else nothing with v was seen
+            qv, qu, qw, mine, log1 = qv[here], qu[here], qw[here], mine[here], log1[here]
+            both = pair(qv, qw)
+            seen3, out = look(key3, gain3, mix(both + qu))
+            rest = np.flatnonzero(~seen3)
+            seen2, gain = look(two, gain2, both[rest])
+            seen, log3 = look(pairs, np.log(rest3), pair(qv[rest], qu[rest] + np.uint64(1 << 60)))
+            out[rest] = np.where(seen2, gain, log1[rest]) + np.where(seen, log3, 0.0)
+            value[mine] = out
+        trim()
+        return summed(places, [c // folds for c in codes], value)
+
+    out = []
+    for part in range(parts):
+
+        def ask(batches, part=part):
+            for chunk, batch in numbered(batches):
+                row, u, v, w = trigrams(batch.column(2), lambda v, w: deal.part(v, parts) == part)
+                code = row * folds + batch.column(1).to_numpy()[row] if len(row) else row
+                order, begin = cut(deal.shard(v, u & LOW48), v, deal.shards)
+                rows = [(deal.shards + chunk % deal.shards, chunk, np.ascontiguousarray(batch.column(0).to_numpy()).tobytes(), None, None, None)]
+                for s in np.flatnonzero(np.diff(begin)).tolist():
+                    x = order[begin[s] : begin[s + 1]]
+                    rows.append((s, chunk, rising(v[x]), short(u[x]), short(w[x]), packed(code[x].astype(np.uint32))))
+                yield sent(rows, PLACES)
+            trim()
+
+        model = training_mail(texts, deal, "v", part, parts).groupBy("_s").cogroup(tokens_of.groupBy("_s")).applyInArrow(lambda t, m: trained(t, m), ddl(TRAINED))
+        places = docs.select("key", "f", "text").mapInArrow(ask, ddl(PLACES))
+        out.append(added(places.groupBy("_s").cogroup(model.groupBy("_s")).applyInArrow(lambda a, m: answer(a, m), ddl(SUMS))))
+    return out
+
+
+def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int = BATCH, shard: int = HEAVY, parts: int = PARTS) -> tuple[DataFrame, str]:
+    """docs (f, text and more) without the text, with n_bytes and the log-probability of each text under its fold's model of `texts`, and that column's name. batch: bytes of text a shard; shard: places of a token that go to one shard."""
+    name = fresh([*docs.columns, "n_bytes", "_key"], "log_p")
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    rows = keyed.select(F.col("_key").alias("key"), "f", "text")
+    deal = Deal(*frequent_tokens(docs), n_batches(docs, "text", batch, 24), shard)
+    tokens_of, left, spell, taken = train_tokens(texts, folds, deal, TRAIN_PARTS)
+    sums = token_sums(rows, tokens_of, left, spell, deal, TRAIN_PARTS)
+    sums += gram_sums(rows, texts, tokens_of, taken, folds, deal, parts)
+    drop(tokens_of, *spell)
+    total = reduce(DataFrame.union, sums).groupBy(F.col("key").alias("_key")).agg(F.sum("x").alias("_x"), F.count("*").alias("_n"))
+    # Copies of a row have one key; each of them gave every table of sums a row.
+    value = F.coalesce(F.col("_x") / (F.col("_n") / len(sums)), F.lit(0.0))
+    held = keyed.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).drop("text")
+    return held.join(total, "_key", "left").withColumn(name, value).drop("_key", "_x", "_n"), name
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tails: tuple[float, float] = TAILS) -> DataFrame:
