@@ -200,6 +200,8 @@ def hash_spans(eight: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: in
     """64-bit hash of each span of bytes."""
     h = mix(lens.astype(np.uint64) + np.uint64(seed))
     at, done = np.arange(len(starts)), 0
+    if len(at) and lens.min() > 0:
+        h, done = mix(h ^ (eight[starts] & _MASKS[np.minimum(lens, 8)])), 8
     while len(at):
         left = lens[at] - done
         more = left > 0

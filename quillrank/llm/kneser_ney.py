@@ -47,9 +47,11 @@ FEW = 50
 #: Entries of one model shard; distinct n-grams a task holds before it sends them on; trusted ids that are broadcast.
 SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
 #: Bytes of text for each shard of the word model; places that n-grams of one token fill in a shard.
-BATCH, HEAVY = 32 << 20, 1_000_000
-#: Parts of the n-grams, by the middle token; parts of the tokens.
-PARTS, TRAIN_PARTS = 8, 2
+BATCH, HEAVY = 16 << 20, 1_000_000
+#: Parts of the n-grams, by the middle token; parts of their types, by the last.
+PARTS, TRAIN_PARTS = 4, 2
+#: Frequent tokens, which mails name by a number; the number that stands for all others; slots (a power of two) to find them by; of them, those that parts are balanced by.
+FREQUENT, RARE, SLOTS, BALANCED = 65_535, 65_535, 20, 2_000
 #: Ends a spelt token; in no UTF-8 text.
 END = b"\xff"
 
@@ -299,23 +301,46 @@ def count_words(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
     return texts.select("f", "text").mapInArrow(run, "f long, u long, v long, w long, c long").groupBy("f", "u", "v", "w").agg(F.sum("c").alias("c"))
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
+def marked(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of tokens, each with the end mark, and where each begins and ends."""
+    ends = np.append(0, np.cumsum(lens + 1))
+    out = np.full(ends[-1], END[0], np.uint8)
+    out[ranges(ends[:-1], lens)] = flat[ranges(starts, lens)]
+    return out, ends
+
+
+def vocabulary(texts: DataFrame, shards: int = 24) -> DataFrame:
     """(f, w, token): the different tokens of each fold's texts, with the end mark."""
 
     def run(batches):
         for batch in batches:
-            fold = batch.column(0).to_numpy()
-            flat, offs = utf8(batch.column(1))
-            for i, j in chunks(offs):
-                part = flat[offs[i] : offs[j]]
-                t, starts, lens, first = tokens(part, offs[i : j + 1] - offs[i])
-                f, raw = np.repeat(fold[i:j], np.diff(first)), part.tobytes()
-                _, at = np.unique(xx(f.astype(np.uint64), t), return_index=True)
-                found = [raw[s : s + n] + END for s, n in zip(starts[at].tolist(), lens[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(t[at].view(np.int64)), pa.array(found, pa.binary())], names=["f", "w", "token"])
+            fold, rows, flat, base, found = batch.column(0).to_numpy(), [], utf8(batch.column(1))[0], 0, []
+            for row, t, _, (raw, starts, lens) in stretch(batch.column(1)):
+                found.append((fold[row], t, starts + base, lens))
+                base += len(raw)
+            f, t, starts, lens = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+            for k in np.unique(f).tolist():
+                x = np.flatnonzero(f == k)
+                x = x[grouped(t[x])[0]]
+                s = (mix(t[x]) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(s, kind="stable")
+                x, begin = x[order], np.searchsorted(s[order], np.arange(shards + 1))
+                for i in np.flatnonzero(np.diff(begin)).tolist():
+                    y = x[begin[i] : begin[i + 1]]
+                    rows.append((i, k, rising(t[y]), shrunk(marked(flat, starts[y], lens[y])[0]), packed(lens[y].astype(np.uint32))))
+            yield sent(rows, TOKENS)
         trim()
 
-    return texts.select("f", "text").mapInArrow(run, "f long, w long, token binary").groupBy("f", "w").agg(F.min("token").alias("token"))
+    def join(mails: pa.Table) -> pa.Table:
+        t, size = (np.concatenate([get(b) for b in mails.column(c).to_pylist()]) for c, get in (("w", risen), ("size", lambda b: unpacked(b, np.uint32).astype(np.int64) + 1)))
+        flat = np.concatenate([grown(b) for b in mails.column("raw").to_pylist()])
+        x = grouped(t)[0]
+        begin, ends = np.cumsum(size) - size, np.append(0, np.cumsum(size[x]))
+        token = pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat[ranges(begin[x], size[x])])]).cast(pa.binary())
+        trim()
+        return pa.table([np.full(len(x), mails.column("f")[0].as_py()), t[x].view(np.int64), token], names=["f", "w", "token"])
+
+    return texts.select("f", "text").mapInArrow(run, ddl(TOKENS)).groupBy("_s", "f").applyInArrow(lambda t: join(t), "f long, w long, token binary")
 
 
 def train_words(texts: DataFrame, folds: int = 1, parts: int = PARTS) -> tuple[DataFrame, list[float], list[DataFrame]]:
@@ -384,6 +409,14 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def shrunk(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def grown(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+
+
 def rising(x: np.ndarray) -> bytes:
     return packed(np.diff(x, prepend=np.uint64(0)))
 
@@ -392,55 +425,140 @@ def risen(blob: bytes) -> np.ndarray:
     return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
 
 
-def short(x: np.ndarray) -> bytes:
-    """The low 48 bits of each hash."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+LOW48 = np.uint64((1 << 48) - 1)
 
 
-def lengthened(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.reshape(-1).view("<u8")
+def letters(c: np.ndarray, t: np.ndarray, width: int = 6) -> bytes:
+    """Tokens with the numbers c: these, and the low bytes of the hashes of those that have none."""
+    rare = t[c == RARE].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.ZstdCompressor(level=1).compress(len(c).to_bytes(4, "little") + (c & 255).astype(np.uint8).tobytes() + (c >> 8).astype(np.uint8).tobytes() + np.ascontiguousarray(rare).tobytes())
 
 
-LOW48 = np.uint64((1 << 48) - 1)
+def lettered(blob: bytes, deal: Deal, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(c, t) of `letters`."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = int.from_bytes(raw[:4].tobytes(), "little")
+    c = raw[4 : 4 + n] | raw[4 + n : 4 + 2 * n].astype(np.uint16) << 8
+    t = deal.hashes(width)[c]
+    rest = raw[4 + 2 * n :].reshape(-1, width)
+    if len(rest):
+        wide = np.zeros((len(rest), 8), np.uint8)
+        wide[:, :width] = rest
+        t[c == RARE] = wide.reshape(-1).view("<u8")
+    return c, t
+
+
+def several(blobs: list[bytes], deal: Deal, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    parts = [lettered(b, deal, width) for b in blobs]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.uint64))
+
+
+def heads(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, head, count) of equal keys: order sorts them, head has where each key begins in it."""
+    order = np.argsort(keys)
+    k = keys[order]
+    head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return order, head, np.diff(np.append(head, len(k)))
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each different key, each key's among these, and their counts."""
+    order, head, n = heads(keys)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.repeat(np.arange(len(head)), n)
+    return order[head], back, n
+
+
+class Slots:
+    """Different hashes, found by their high bits; those whose slot is taken, by binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        slot = keys >> self.shift
+        self.table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.table[slot] = np.arange(len(keys), dtype=np.int32)
+        lost = np.flatnonzero(self.table[slot] != np.arange(len(keys)))
+        self.lost = lost[np.argsort(keys[lost])]
+        self.lost_keys = keys[self.lost]
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(want), -1, np.int32)
+        at = self.table[want >> self.shift]
+        other = np.flatnonzero((self.keys[at] != want) & (at >= 0))
+        at[self.keys[at] != want] = -1
+        if len(self.lost) and len(other):
+            x = want[other]
+            to = np.minimum(np.searchsorted(self.lost_keys, x), len(self.lost) - 1)
+            at[other] = np.where(self.lost_keys[to] == x, self.lost[to], -1)
+        return at
 
 
 class Deal:
-    """Where n-grams go: parts that are worked on one after another, shards within them; tokens that fill many places (0 too, which stands before texts) get parts by their counts and several shards."""
+    """Numbers of frequent tokens, and where n-grams go: parts that are worked on one after another, shards within them; tokens that fill many places (0 too, which stands before texts) get parts by their counts and several shards."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, shards: int, heavy: int):
-        order = np.argsort(frequent)
-        self.frequent, self.counts, self.shards = frequent[order], counts[order], shards
-        self.spread = np.clip(-(-self.counts // heavy), 1, shards).astype(np.int64)
-        self.placed: dict[int, np.ndarray] = {}
-
-    def at(self, t: np.ndarray) -> np.ndarray:
-        """The place of each token among the frequent ones, or -1."""
-        if not len(self.frequent):
-            return np.full(len(t), -1)
-        at = np.minimum(np.searchsorted(self.frequent, t), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == t, at, -1)
-
-    def part(self, t: np.ndarray, parts: int) -> np.ndarray:
-        if parts not in self.placed:
-            load, where = [0] * parts, np.zeros(len(self.frequent) + 1, np.int64)
-            for k in np.argsort(-self.counts, kind="stable").tolist():
+        order = np.argsort(-counts, kind="stable")[:FREQUENT]
+        best = None
+        for shift in range(0, 64 - SLOTS + 1, 4):  # of two tokens in one slot the less frequent is not numbered
+            keep = np.sort(np.unique(self.slot(frequent[order], shift), return_index=True)[1])
+            lost = counts.sum() - counts[order][keep].sum()
+            if best is None or lost < best[0]:
+                best = lost, shift, order[keep]
+        _, self.shift, order = best
+        self.frequent, self.shards, self.counts = frequent[order], shards, counts[order][:BALANCED]
+        self.spread = np.ones(RARE + 1, np.int64)
+        self.spread[: len(order)] = np.clip(-(-counts[order] // heavy), 1, shards)
+        self.held: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": {}}
+
+    @staticmethod
+    def slot(t: np.ndarray, shift: int) -> np.ndarray:
+        return t >> np.uint64(shift) & np.uint64((1 << SLOTS) - 1)
+
+    def hashes(self, width: int) -> np.ndarray:
+        """The low bytes of the frequent tokens by number."""
+        if width not in self.held:
+            self.held[width] = np.append(self.frequent, np.zeros(RARE + 1 - len(self.frequent), np.uint64)) & np.uint64((1 << (8 * width)) - 1)
+        return self.held[width]
+
+    def code(self, t: np.ndarray) -> np.ndarray:
+        """The number of each token, RARE if it has none."""
+        if "table" not in self.held:
+            self.held["table"] = np.full(1 << SLOTS, RARE, np.uint16)
+            self.held["table"][self.slot(self.frequent, self.shift)] = np.arange(len(self.frequent), dtype=np.uint16)
+        c = self.held["table"][self.slot(t, self.shift)]
+        return np.where(self.hashes(8)[c] == t, c, np.uint16(RARE))
+
+    def part(self, c: np.ndarray, t: np.ndarray, parts: int) -> np.ndarray:
+        if ("part", parts) not in self.held:
+            load = [0] * parts
+            where = self.hashed(self.hashes(8), parts)
+            for k, n in enumerate(self.counts.tolist()):
                 where[k] = load.index(min(load))
-                load[where[k]] += int(self.counts[k])
-            self.placed[parts] = where
-        at = self.at(t)
-        return np.where(at >= 0, self.placed[parts][at], ((t >> np.uint64(40)) % np.uint64(parts)).astype(np.int64))
+                load[where[k]] += n
+            self.held["part", parts] = where
+        out = self.held["part", parts][c]
+        rare = np.flatnonzero(c == RARE)
+        out[rare] = self.hashed(t[rare], parts)
+        return out
 
-    def spreads(self, t: np.ndarray) -> np.ndarray:
-        at = self.at(t)
-        return np.where(at >= 0, np.append(self.spread, 1)[at], 1)
+    @staticmethod
+    def hashed(t: np.ndarray, parts: int) -> np.ndarray:
+        return ((t >> np.uint64(40) & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)).astype(np.uint8 if parts < 256 else np.int64)
 
-    def shard(self, t: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    def shard(self, c: np.ndarray, t: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
         """The shard of a token, or of its share of n-grams with `other` (48 bits)."""
-        first = (mix(t) % np.uint64(self.shards)).astype(np.int64)
-        return first if other is None else (first + (mix(other + np.uint64(7)) % self.spreads(t).astype(np.uint64)).astype(np.int64)) % self.shards
+        out = (mix(t) % np.uint64(self.shards)).astype(np.int64)
+        if other is not None:
+            n = self.spread[c]
+            many = np.flatnonzero(n > 1)
+            out[many] = (out[many] + (mix(other[many] + np.uint64(7)) % n[many].astype(np.uint64)).astype(np.int64)) % self.shards
+        return out
 
 
 def stretch(array: pa.Array):
@@ -452,22 +570,33 @@ def stretch(array: pa.Array):
         yield np.repeat(np.arange(i, j), size), t, np.arange(len(t)) - np.repeat(first[:-1], size), (flat[offs[i] : offs[j]], starts, lens)
 
 
-def trigrams(array: pa.Array, mine) -> tuple[np.ndarray, ...]:
-    """(row, u, v, w) of the tokens for which mine(v, w) is true."""
-    made = []
+def trigrams(array: pa.Array, deal: Deal, by: str, part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """(row, u, v, w, and their numbers) of the trigrams whose token `by` is of a part."""
+    made, none = [], np.zeros(1, np.uint64)
+    c0 = deal.code(none)
+    p0 = deal.part(c0, none, parts)[0] == part
     for row, t, seat, _ in stretch(array):
-        v = np.zeros(len(t), np.uint64)
-        v[1:] = t[:-1]
-        v[seat < 1] = 0
-        at = np.flatnonzero(mine(v, t))
-        made.append((row[at], np.where(seat[at] < 2, np.uint64(0), t[np.maximum(at - 2, 0)]), v[at], t[at]))
-    return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3)
-
-
-def cut(shard: np.ndarray, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order by shard, then key, and where each shard begins."""
-    order = np.argsort(key)
-    order = order[np.argsort(shard[order].astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")]
+        c = deal.code(t)
+        mine = deal.part(c, t, parts) == part
+        if by == "v":
+            mine[1:] = mine[:-1]
+            mine[seat == 0] = p0
+        at = np.flatnonzero(mine)
+        s = seat[at]
+        had1, had2 = s >= 1, s >= 2
+        at2, at1 = np.maximum(at - 2, 0), np.maximum(at - 1, 0)
+        u, v = np.where(had2, t[at2], np.uint64(0)), np.where(had1, t[at1], np.uint64(0))
+        made.append((row[at], u, v, t[at], np.where(had2, c[at2], c0), np.where(had1, c[at1], c0), c[at]))
+    return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3, *[np.zeros(0, np.uint16)] * 3)
+
+
+def cut(shard: np.ndarray, c: np.ndarray, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by shard, then number, then (its high half) key, and where each shard begins."""
+    u = np.uint64
+    if shards < 1 << 16:
+        order = np.argsort(shard.astype(u) << u(48) | c.astype(u) << u(32) | np.where(c == RARE, key >> u(32), u(0)))
+    else:
+        order = np.lexsort((key, c, shard))
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
@@ -480,7 +609,8 @@ TRAINING = [("_s", LONG), ("f", LONG), ("w", BLOB), ("v", BLOB), ("u", BLOB)]
 TRAINED = [("_s", LONG), ("f", LONG), ("v", BLOB), ("u", BLOB), ("w", BLOB), ("c3", BLOB), ("c2", BLOB), ("p", BLOB)]
 DEALT = [("_s", LONG), ("f", LONG), ("w", BLOB), ("p", BLOB)]
 PLACES = [("_s", LONG), ("chunk", LONG), ("v", BLOB), ("u", BLOB), ("w", BLOB), ("doc", BLOB)]
-SPELT = [("_s", LONG), ("chunk", LONG), ("f", LONG), ("w", BLOB), ("spelt", BLOB), ("at", BLOB), ("doc", BLOB)]
+TOKENS = [("_s", LONG), ("f", LONG), ("w", BLOB), ("raw", BLOB), ("size", BLOB)]
+ASKED = [("_s", LONG), ("chunk", LONG), ("f", LONG), ("w", BLOB), ("raw", BLOB), ("size", BLOB), ("at", BLOB), ("doc", BLOB)]
 SUMS = [("chunk", LONG), ("keys", BLOB), ("docs", BLOB), ("sums", BLOB)]
 
 
@@ -489,17 +619,39 @@ def ddl(kinds: list[tuple[str, pa.DataType]]) -> str:
 
 
 def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that make up over 1/2000 of some MB of text, and how many places they fill there."""
+    """The most frequent tokens, by those that make up over 1/400,000 of some task's texts, and how many places they fill there."""
 
     def run(batches):
+        keys, counts, texts = [], [], 0
+
+        def flush():
+            order, head, _ = heads(np.concatenate(keys))
+            k, n = np.concatenate(keys)[order[head]], np.add.reduceat(np.concatenate(counts)[order], head)
+            return k, n
+
+        def frequent():
+            k, n = flush()
+            keep = n * 400_000 > n.sum()
+            k, n = np.append(k[keep], np.uint64(0)), np.append(n[keep], texts)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["t", "n"])
+
         for batch in batches:
             for _, t, seat, _ in stretch(batch.column(0)):
-                keys, n = sorted_counts(t)
-                keep = n * 2000 > len(t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], np.count_nonzero(seat == 0)))], names=["t", "n"])
+                k, n = sorted_counts(t)
+                keys.append(k)
+                counts.append(n)
+                texts += np.count_nonzero(seat == 0)
+                if sum(map(len, keys)) > HELD:
+                    k, n = flush()
+                    keys, counts = [k], [n]
+                    if len(k) > HELD // 2:
+                        yield frequent()
+                        keys, counts, texts = [], [], 0
+        if keys and sum(map(len, keys)):
+            yield frequent()
         trim()
 
-    rows = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(10_000).toArrow()  # only the balance of shards depends on them
+    rows = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(FREQUENT).toArrow()  # only the balance of shards and the size of mails depend on them
     return rows.column("t").to_numpy().view(np.uint64), rows.column("n").to_numpy()
 
 
@@ -508,26 +660,26 @@ def training_mail(texts: DataFrame, deal: Deal, by: str, part: int, parts: int)
 
     def run(batches):
         for batch in batches:
-            row, u, v, w = trigrams(batch.column(1), lambda v, w: deal.part(v if by == "v" else w, parts) == part)
+            row, u, v, w, cu, cv, cw = trigrams(batch.column(1), deal, by, part, parts)
             fold = batch.column(0).to_numpy()[row] if len(row) else row
             rows = []
             for f in np.unique(fold).tolist():
                 at = np.flatnonzero(fold == f)
-                order, begin = cut(deal.shard(w[at], v[at] & LOW48), w[at], deal.shards)
+                order, begin = cut(deal.shard(cw[at], w[at], v[at] & LOW48), cw[at], w[at], deal.shards)
                 at = at[order]
                 for s in np.flatnonzero(np.diff(begin)).tolist():
                     x = at[begin[s] : begin[s + 1]]
-                    rows.append((s, f, rising(w[x]), np.ascontiguousarray(v[x]).tobytes(), short(u[x])))
+                    rows.append((s, f, letters(cw[x], w[x], 8), letters(cv[x], v[x], 8), letters(cu[x], u[x])))
             yield sent(rows, TRAINING)
         trim()
 
     return texts.select("f", "text").mapInArrow(run, ddl(TRAINING))
 
 
-def opened(mails: pa.Table) -> tuple[np.ndarray, ...]:
-    """(u, v, w) of mails of TRAINING."""
-    parts = [(lengthened(u), np.frombuffer(v, np.uint64), risen(w)) for u, v, w in zip(*[mails.column(c).to_pylist() for c in ("u", "v", "w")])]
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 3
+def opened(mails: pa.Table, deal: Deal) -> tuple[np.ndarray, ...]:
+    """(u, v, w, and their numbers) of mails of TRAINING."""
+    (cu, u), (cv, v), (cw, w) = (several(mails.column(c).to_pylist(), deal, n) for c, n in (("u", 6), ("v", 8), ("w", 8)))
+    return u, v, w, cu, cv, cw
 
 
 def pair(v: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -536,8 +688,10 @@ def pair(v: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def types(u: np.ndarray, v: np.ndarray, w: np.ndarray):
     """Places of the different trigrams, their counts, each one's bigram, places of the different bigrams among these and their counts."""
-    _, at, c3 = np.unique(mix(pair(v, w) + u), return_index=True, return_counts=True)
-    _, first, back, c2 = np.unique(pair(v[at], w[at]), return_index=True, return_inverse=True, return_counts=True)
+    both = pair(v, w)
+    order, head, c3 = heads(mix(both + u))
+    at = order[head]
+    first, back, c2 = grouped(both[at])
     return at, c3, back, first, c2
 
 
@@ -547,7 +701,7 @@ def count_types(texts: DataFrame, deal: Deal, parts: int) -> list[DataFrame]:
     def run(mails: pa.Table) -> pa.Table:
         out = []
         for f in np.unique(mails.column("f").to_numpy()).tolist():
-            u, v, w = opened(mails.filter(pa.compute.equal(mails.column("f"), f)))
+            u, v, w, *_ = opened(mails.filter(pa.compute.equal(mails.column("f"), f)), deal)
             at, c3, _, first, c2 = types(u, v, w)
             key, c1 = sorted_counts(w[at][first])
             rows = [(np.full(len(key), 1), key.view(np.int64), c1)]
@@ -568,7 +722,7 @@ def three(counts: dict[int, int]) -> list[float]:
 
 def train_tokens(texts: DataFrame, folds: int, deal: Deal, parts: int) -> tuple[DataFrame, list[float], list[DataFrame], dict]:
     """(_s, f, w, p): the probability of each token of each fold below bigrams, by shards; what each fold leaves to spelling, its byte model, and the discounts of bigrams and trigrams by (order, fold)."""
-    words = lean(vocabulary(texts))
+    words = lean(vocabulary(texts, deal.shards))
     spell = [train(words.filter(F.col("f") == k), "token") for k in range(folds)]
     spelling = []
     for k in range(folds):
@@ -616,7 +770,7 @@ def summed(mails: pa.Table, docs: list[np.ndarray], values: np.ndarray) -> pa.Ta
 
 
 def directory(mails: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([sent([(c, k, None, None) for c, k in zip(mails.column("chunk").to_pylist(), mails.column("v" if "v" in mails.column_names else "w").to_pylist())], SUMS)])
+    return pa.Table.from_batches([sent([(c, k, None, None) for c, k in zip(mails.column("chunk").to_pylist(), mails.column("v").to_pylist())], SUMS)])
 
 
 def added(sums: DataFrame) -> DataFrame:
@@ -644,66 +798,115 @@ def numbered(batches):
         yield (TaskContext.get().partitionId() << 32) + k, batch
 
 
-def token_sums(docs: DataFrame, tokens_of: DataFrame, left: list[float], spell: list[DataFrame], deal: Deal, parts: int) -> list[DataFrame]:
-    """(key, x) of docs (key, f, text): the tokens' log-probabilities below bigrams. Each pair of shards of the byte models takes a round of its own."""
-    folds, out, shards = len(spell), [], [list(shards_of(m)) for m in spell]
+def frequent_logs(tokens_of: DataFrame, folds: int, deal: Deal) -> np.ndarray:
+    """The log-probabilities of the frequent tokens by fold and number; NaN where a fold has not seen them, and for RARE."""
+
+    def run(batches):
+        for batch in batches:
+            for s, f, w, p in zip(*[c.to_pylist() for c in batch.columns]):
+                w, p = risen(w), unpacked(p, np.float32)
+                c = deal.code(w)
+                at = np.flatnonzero(c != RARE)
+                at = at[deal.shard(c[at], w[at]) == s]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f)), pa.array(c[at].astype(np.int64)), pa.array(p[at].astype(np.float64))], names=["f", "c", "p"])
+
+    rows = tokens_of.select("_s", "f", "w", "p").mapInArrow(run, "f long, c long, p double").toArrow()  # a row a frequent token and fold
+    out = np.full((folds, RARE + 1), np.nan)
+    out[rows.column("f").to_numpy(), rows.column("c").to_numpy()] = np.log(rows.column("p").to_numpy())
+    return out
+
+
+def token_sums(docs: DataFrame, tokens_of: DataFrame, left: list[float], spell: list[DataFrame], deal: Deal) -> list[DataFrame]:
+    """(key, x) of docs (key, f, text): the tokens' log-probabilities below bigrams. Those of frequent tokens are at hand, the others are asked for in the shards, where unseen ones are spelt. Each pair of shards of the byte models takes a round of its own."""
+    folds, out, shards, context = len(spell), [], [list(shards_of(m)) for m in spell], docs.sparkSession.sparkContext
+    logs = context.broadcast(frequent_logs(tokens_of, folds, deal))
 
-    def answering(number: int):
+    def answering(number: int, shared):
         def answer(asks: pa.Table, entries: pa.Table) -> pa.Table:
             if not asks.num_rows:
                 return pa.Table.from_batches([sent([], SUMS)])
             if asks.column("f")[0].as_py() < 0:
-                return directory(asks)
-            known = held_tokens(entries, folds)
-            values, places = [], []
-            for k, blob, q, at, doc in zip(*[asks.column(c).to_pylist() for c in ("f", "w", "spelt", "at", "doc")]):
-                want, value, (key, here) = risen(blob), unpacked(q, np.float32).astype(np.float64) + (left[k] if number == 0 else 0.0), known[k]
+                rows = zip(*[asks.column(c).to_pylist() for c in ("chunk", "w", "raw")])
+                return pa.Table.from_batches([sent([(chunk, keys, packed(np.arange(len(keys) // 8, dtype=np.uint32)), own) for chunk, keys, own in rows], SUMS)])
+            known, models, fold = held_tokens(entries, folds), shared.value, asks.column("f").to_numpy()
+            blobs = [asks.column(c).to_pylist() for c in ("w", "raw", "size", "at", "doc")]
+            values, places = [None] * len(fold), [unpacked(b, np.uint32) for b in blobs[4]]
+            for k in np.unique(fold).tolist():
+                mine = np.flatnonzero(fold == k).tolist()
+                each = [risen(blobs[0][i]) for i in mine]
+                want, (key, here) = np.concatenate(each), known[k]
+                value, hit = np.zeros(len(want)), np.zeros(len(want), bool)
                 if len(key):
                     to = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                    value = np.where(key[to] == want, np.log(here[to].astype(np.float64)) if number == 0 else 0.0, value)
-                values.append(value[unpacked(at, np.uint32)])
-                places.append(unpacked(doc, np.uint32))
+                    hit = key[to] == want
+                    if number == 0:
+                        value[hit] = np.log(here[to[hit]].astype(np.float64))
+                miss = np.flatnonzero(~hit)
+                if len(miss):
+                    if number == 0:
+                        value[miss] = left[k]
+                    if models[k] is not None:
+                        flat, size = np.concatenate([grown(blobs[1][i]) for i in mine]), np.concatenate([unpacked(blobs[2][i], np.uint32) for i in mine]).astype(np.int64)
+                        first, back, _ = grouped(want[miss])
+                        x = miss[first]
+                        raw, ends = marked(flat, (np.cumsum(size) - size)[x], size[x])
+                        value[miss] += np.concatenate([models[k].sums(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i]) for i, j in chunks(ends)])[back]
+                begin = 0
+                for i, w in zip(mine, each):
+                    values[i] = value[begin : begin + len(w)][unpacked(blobs[3][i], np.uint32)]
+                    begin += len(w)
             trim()
             return summed(asks, places, np.concatenate(values))
 
         return lambda a, m: answer(a, m)
 
+    def asking(number: int):
+        def ask(batches):
+            known = logs.value
+            for chunk, batch in numbered(batches):
+                fold, flat, base = batch.column(1).to_numpy(), utf8(batch.column(2))[0], 0
+                own, found = np.zeros(batch.num_rows), []
+                for row, t, _, (raw, starts, lens) in stretch(batch.column(2)):
+                    c = deal.code(t)
+                    x = known[fold[row], c]
+                    rare = np.isnan(x)
+                    if number == 0:
+                        x[rare] = 0.0
+                        own += np.bincount(row, weights=x, minlength=batch.num_rows)
+                    at = np.flatnonzero(rare)
+                    found.append((row[at], t[at], c[at], starts[at] + base, lens[at]))
+                    base += len(raw)
+                rows = [(deal.shards + chunk % deal.shards, chunk, -1, np.ascontiguousarray(batch.column(0).to_numpy()).tobytes(), packed(own), None, None, None)]
+                row, t, c, starts, lens = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+                for f in range(folds):
+                    x = np.flatnonzero(fold[row] == f)
+                    if not len(x):
+                        continue
+                    first, back, _ = grouped(t[x])
+                    y = x[first]  # the different tokens, by their hashes
+                    s = deal.shard(c[y], t[y])
+                    order = np.argsort(s, kind="stable")
+                    begin = np.searchsorted(s[order], np.arange(deal.shards + 1))
+                    rank = np.empty(len(y), np.int64)
+                    rank[order] = np.arange(len(y))
+                    place = rank[back]
+                    by = np.argsort(place)
+                    ends = np.searchsorted(place[by], begin)
+                    for i in np.flatnonzero(np.diff(begin)).tolist():
+                        k, z = y[order[begin[i] : begin[i + 1]]], by[ends[i] : ends[i + 1]]
+                        text = flat[ranges(starts[k], lens[k])]
+                        rows.append((i, chunk, f, rising(t[k]), shrunk(text), packed(lens[k].astype(np.uint32)), packed((place[z] - begin[i]).astype(np.uint32)), packed(row[x[z]].astype(np.uint32))))
+                yield sent(rows, ASKED)
+            trim()
+
+        return ask
+
     for number in range(max(len(s) for s in shards)):
-        shared = docs.sparkSession.sparkContext.broadcast([s[number] if number < len(s) else None for s in shards])
-        for part in range(parts):
-
-            def ask(batches, shared=shared, part=part):
-                models = shared.value
-                for chunk, batch in numbered(batches):
-                    fold, rows = batch.column(1).to_numpy(), [(deal.shards + chunk % deal.shards, chunk, -1, np.ascontiguousarray(batch.column(0).to_numpy()).tobytes(), None, None, None)]
-                    for row, t, _, (raw, starts, lens) in stretch(batch.column(2)):
-                        mine = np.flatnonzero(((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) == part)
-                        for f in range(folds):
-                            x = mine[fold[row[mine]] == f]
-                            if not len(x):
-                                continue
-                            found, at, back = np.unique(t[x], return_index=True, return_inverse=True)
-                            size = lens[x[at]] + 1
-                            ends = np.append(0, np.cumsum(size))
-                            flat = np.full(ends[-1], END[0], np.uint8)
-                            flat[ranges(ends[:-1], size - 1)] = raw[ranges(starts[x[at]], size - 1)]
-                            value = models[f].sums(flat, ends) if models[f] is not None else np.zeros(len(at))
-                            order, begin = cut(deal.shard(found), found, deal.shards)
-                            rank = np.empty(len(found), np.int64)
-                            rank[order] = np.arange(len(found))
-                            place = rank[back]
-                            by = np.argsort(place, kind="stable")
-                            ends = np.searchsorted(place[by], begin)
-                            for s in np.flatnonzero(np.diff(begin)).tolist():
-                                k, y = order[begin[s] : begin[s + 1]], by[ends[s] : ends[s + 1]]
-                                rows.append((s, chunk, f, rising(found[k]), packed(value[k].astype(np.float32)), packed((place[y] - begin[s]).astype(np.uint32)), packed(row[x[y]].astype(np.uint32))))
-                    yield sent(rows, SPELT)
-                trim()
-
-            asks = docs.select("key", "f", "text").mapInArrow(ask, ddl(SPELT))
-            sums = asks.groupBy("_s").cogroup(tokens_of.groupBy("_s")).applyInArrow(answering(number), ddl(SUMS))
-            out.append(added(sums))
+        shared = context.broadcast([s[number] if number < len(s) else None for s in shards])
+        asks = docs.select("key", "f", "text").mapInArrow(asking(number), ddl(ASKED))
+        out.append(added(asks.groupBy("_s").cogroup(tokens_of.groupBy("_s")).applyInArrow(answering(number, shared), ddl(SUMS))))
         shared.unpersist()
+    logs.unpersist()
     return out
 
 
@@ -714,15 +917,17 @@ def dealt_tokens(tokens_of: DataFrame, deal: Deal) -> DataFrame:
         for batch in batches:
             f, w, p = (batch.column(k).to_numpy() for k in range(3))
             w = w.view(np.uint64)
-            n = deal.spreads(w)
+            c = deal.code(w)
+            n = deal.spread[c]
             at = np.repeat(np.arange(len(w)), n)
-            s = (deal.shard(w)[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % deal.shards
+            s = (deal.shard(c, w)[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % deal.shards
             rows = []
             for k in np.unique(f).tolist():
                 mine = at[f[at] == k]
-                order, begin = cut(s[f[at] == k], w[mine], deal.shards)
+                order, begin = cut(s[f[at] == k], c[mine], w[mine], deal.shards)
                 for i in np.flatnonzero(np.diff(begin)).tolist():
                     x = mine[order[begin[i] : begin[i + 1]]]
+                    x = x[np.argsort(w[x])]
                     rows.append((i, k, rising(w[x]), packed(p[x])))
             yield sent(rows, DEALT)
         trim()
@@ -749,25 +954,25 @@ def gram_sums(docs: DataFrame, texts: DataFrame, tokens_of: DataFrame, taken: di
     def trained(mails: pa.Table, entries: pa.Table) -> pa.Table:
         rows, known = [], held_tokens(entries, folds)
         for f in np.unique(mails.column("f").to_numpy()).tolist() if mails.num_rows else []:
-            u, v, w = opened(mails.filter(pa.compute.equal(mails.column("f"), f)))
-            at, c3, back, _, c2 = types(u, v, w)
+            u, v, w, cu, cv, cw = opened(mails.filter(pa.compute.equal(mails.column("f"), f)), deal)
+            at, c3, back, first, c2 = types(u, v, w)
             key, p = known[f]
-            u, v, w = u[at], v[at], w[at]
-            p, c2 = p[np.searchsorted(key, w)], c2[back]
-            s, n = deal.shard(v, u), deal.spreads(v)
+            p, c2 = p[np.searchsorted(key, w[at[first]])][back], c2[back]
+            u, v, w, cu, cv, cw = u[at], v[at], w[at], cu[at], cv[at], cw[at]
+            s, n = deal.shard(cv, v, u), deal.spread[cv]
             # All shards of a token learn of its bigrams.
             many = np.flatnonzero(n > 1)
             many = many[np.unique(back[many], return_index=True)[1]]
             more = np.repeat(many, n[many])
             step = np.arange(len(more)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-            s = np.append(s, (deal.shard(v[more]) + step) % deal.shards)
+            s = np.append(s, (deal.shard(cv[more], v[more]) + step) % deal.shards)
             c3 = np.append(c3, np.zeros(len(more), np.int64))
             take = np.append(np.arange(len(v)), more)
-            order, begin = cut(s, v[take], deal.shards)
+            order, begin = cut(s, cv[take], v[take], deal.shards)
             for k in np.flatnonzero(np.diff(begin)).tolist():
                 x = order[begin[k] : begin[k + 1]]
                 y = take[x]
-                rows.append((k, f, rising(v[y]), short(u[y]), short(w[y]), packed(c3[x].astype(np.uint32)), packed(c2[y].astype(np.uint32)), packed(p[y])))
+                rows.append((k, f, letters(cv[y], v[y], 8), letters(cu[y], u[y]), letters(cw[y], w[y]), packed(c3[x].astype(np.uint32)), packed(c2[y].astype(np.uint32)), packed(p[y])))
         trim()
         return pa.Table.from_batches([sent(rows, TRAINED)])
 
@@ -777,7 +982,7 @@ def gram_sums(docs: DataFrame, texts: DataFrame, tokens_of: DataFrame, taken: di
         if places.column("u")[0].as_py() is None:
             return directory(places)
         blobs = [places.column(c).to_pylist() for c in ("v", "u", "w", "doc")]
-        v, u, w = (np.concatenate([f(b) for b in x]) for f, x in zip((risen, lengthened, lengthened), blobs))
+        v, u, w = (several(x, deal, n)[1] for n, x in zip((8, 6, 6), blobs))
         codes = [unpacked(b, np.uint32) for b in blobs[3]]
         fold, value = np.concatenate([c % folds for c in codes]), np.zeros(len(v))
         for f in range(folds):
@@ -786,43 +991,40 @@ def gram_sums(docs: DataFrame, texts: DataFrame, tokens_of: DataFrame, taken: di
             if not rows.num_rows or not len(mine):
                 continue
             got = [rows.column(c).to_pylist() for c in ("v", "u", "w", "c3", "c2", "p")]
-            tv, tu, tw = (np.concatenate([g(b) for b in x]) for g, x in zip((risen, lengthened, lengthened), got))
+            tv, tu, tw = (several(x, deal, n)[1] for n, x in zip((8, 6, 6), got))
             c3, c2 = (np.concatenate([unpacked(b, np.uint32) for b in x]).astype(np.int64) for x in got[3:5])
             p = np.concatenate([unpacked(b, np.float32) for b in got[5]]).astype(np.float64)
             # Bigrams and their contexts.
-            two, at, back = np.unique(pair(tv, tw), return_index=True, return_inverse=True)
-            ones, inv = np.unique(tv[at], return_inverse=True)
+            both = pair(tv, tw)
+            at, back, _ = grouped(both)
+            two = Slots(both[at])
+            one, inv, _ = grouped(tv[at])
+            ones = Slots(tv[at[one]])
             taken2, total2 = off(c2[at], taken[2, f]), np.bincount(inv, weights=c2[at])
             rest2 = np.bincount(inv, weights=taken2) / total2
             p2 = np.maximum(c2[at] - taken2, 0.0) / total2[inv] + rest2[inv] * p[at]
             gain2 = np.log(p2) - np.log(p[at])
             # Trigrams and theirs.
             own = np.flatnonzero(c3)
-            pairs, inv = np.unique(pair(tv[own], tu[own] + np.uint64(1 << 60)), return_inverse=True)
+            context = pair(tv[own], tu[own] + np.uint64(1 << 60))
+            first, inv, _ = grouped(context)
+            pairs = Slots(context[first])
             taken3, total3 = off(c3[own], taken[3, f]), np.bincount(inv, weights=c3[own])
             rest3 = np.bincount(inv, weights=taken3) / total3
             p3 = np.maximum(c3[own] - taken3, 0.0) / total3[inv] + rest3[inv] * p2[back[own]]
-            key3 = mix(pair(tv[own], tw[own]) + tu[own])
-            order = np.argsort(key3)
-            key3, gain3 = key3[order], (np.log(p3) - np.log(p[own]))[order]
-
-            def look(key, x, want):
-                if not len(key):
-                    return np.zeros(len(want), bool), np.zeros(len(want))
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                return key[at] == want, x[at]
+            three, gain3 = Slots(mix(both[own] + tu[own])), np.log(p3) - np.log(p[own])
+            log1, log3 = np.log(rest2), np.append(np.log(rest3), 0.0)
 
-            # Places come by token v, so contexts are looked up once a run.
             qv, qu, qw = v[mine], u[mine], w[mine]
-            seen1, log1 = look(ones, np.log(rest2), qv)
-            here = np.flatnonzero(seen1)  # else nothing with v was seen
-            qv, qu, qw, mine, log1 = qv[here], qu[here], qw[here], mine[here], log1[here]
+            seen = ones.find(qv)
+            here = np.flatnonzero(seen >= 0)  # else nothing with v was seen
+            qv, qu, qw, mine, left1 = qv[here], qu[here], qw[here], mine[here], log1[seen[here]]
             both = pair(qv, qw)
-            seen3, out = look(key3, gain3, mix(both + qu))
-            rest = np.flatnonzero(~seen3)
-            seen2, gain = look(two, gain2, both[rest])
-            seen, log3 = look(pairs, np.log(rest3), pair(qv[rest], qu[rest] + np.uint64(1 << 60)))
-            out[rest] = np.where(seen2, gain, log1[rest]) + np.where(seen, log3, 0.0)
+            seen = three.find(mix(both + qu))
+            out = np.append(gain3, 0.0)[seen]
+            rest = np.flatnonzero(seen < 0)
+            seen = two.find(both[rest])
+            out[rest] = np.where(seen >= 0, gain2[seen], left1[rest]) + log3[pairs.find(pair(qv[rest], qu[rest] + np.uint64(1 << 60)))]
             value[mine] = out
         trim()
         return summed(places, [c // folds for c in codes], value)
@@ -832,13 +1034,13 @@ def gram_sums(docs: DataFrame, texts: DataFrame, tokens_of: DataFrame, taken: di
 
         def ask(batches, part=part):
             for chunk, batch in numbered(batches):
-                row, u, v, w = trigrams(batch.column(2), lambda v, w: deal.part(v, parts) == part)
+                row, u, v, w, cu, cv, cw = trigrams(batch.column(2), deal, "v", part, parts)
                 code = row * folds + batch.column(1).to_numpy()[row] if len(row) else row
-                order, begin = cut(deal.shard(v, u & LOW48), v, deal.shards)
+                order, begin = cut(deal.shard(cv, v, u & LOW48), cv, v, deal.shards)
                 rows = [(deal.shards + chunk % deal.shards, chunk, np.ascontiguousarray(batch.column(0).to_numpy()).tobytes(), None, None, None)]
                 for s in np.flatnonzero(np.diff(begin)).tolist():
                     x = order[begin[s] : begin[s + 1]]
-                    rows.append((s, chunk, rising(v[x]), short(u[x]), short(w[x]), packed(code[x].astype(np.uint32))))
+                    rows.append((s, chunk, letters(cv[x], v[x], 8), letters(cu[x], u[x]), letters(cw[x], w[x]), packed(code[x].astype(np.uint32))))
                 yield sent(rows, PLACES)
             trim()
 
@@ -855,7 +1057,7 @@ def log_likelihood(docs: DataFrame, texts: DataFrame, folds: int = 1, batch: int
     rows = keyed.select(F.col("_key").alias("key"), "f", "text")
     deal = Deal(*frequent_tokens(docs), n_batches(docs, "text", batch, 24), shard)
     tokens_of, left, spell, taken = train_tokens(texts, folds, deal, TRAIN_PARTS)
-    sums = token_sums(rows, tokens_of, left, spell, deal, TRAIN_PARTS)
+    sums = token_sums(rows, tokens_of, left, spell, deal)
     sums += gram_sums(rows, texts, tokens_of, taken, folds, deal, parts)
     drop(tokens_of, *spell)
     total = reduce(DataFrame.union, sums).groupBy(F.col("key").alias("_key")).agg(F.sum("x").alias("_x"), F.count("*").alias("_n"))
