@@ -49,7 +49,7 @@ SHARD, HELD, SMALL = 2_000_000, 1_000_000, 1_000_000
 #: Bytes of text for each shard of the word model; places that n-grams of one token fill in a shard.
 BATCH, HEAVY = 16 << 20, 1_000_000
 #: Parts of the n-grams, by the middle token; parts of their types, by the last.
-PARTS, TRAIN_PARTS = 4, 2
+PARTS, TRAIN_PARTS = 5, 2
 #: Frequent tokens, which mails name by a number; the number that stands for all others; slots (a power of two) to find them by; of them, those that parts are balanced by.
 FREQUENT, RARE, SLOTS, BALANCED = 65_535, 65_535, 20, 2_000
 #: Ends a spelt token; in no UTF-8 text.
